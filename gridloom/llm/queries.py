@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, decontam, langid, pii, simhash
-from gridloom.llm.common import documents
+from gridloom.llm import bpe, decontam, langid, pii, simhash, urlfilter, warc
+from gridloom.llm.common import documents, pages
 
 
 def tokenizer_path() -> str:
@@ -25,6 +25,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(pages(spark, sf_dir)).drop("file")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(documents(spark, sf_dir))
 
@@ -37,9 +41,17 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+#: The rules that the URL query judges by.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(pages(spark, sf_dir), URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontam": decontam.ORACLE_SQL}
+    return {"op5_warc": warc.ORACLE_SQL, "op9_decontam": decontam.ORACLE_SQL}
