@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, decontam, langid, pii, simhash, urlfilter, warc
+from gridloom.llm import bpe, decontam, fingerprint, langid, pii, simhash, urlfilter, warc
 from gridloom.llm.common import documents, pages
 
 
@@ -20,6 +20,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(documents(spark, sf_dir))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.fit(docs))
