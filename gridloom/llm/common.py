@@ -64,6 +64,14 @@ def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_part))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (names don't differ by case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def range_plan(df: DataFrame, key: str, weight: Column, target: int, fine: int = 2048) -> list[tuple[int, int]]:
     """Deterministic ranges [lo, hi] of an integer key, each of about `target` total weight.
 

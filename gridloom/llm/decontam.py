@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, small
+from gridloom.llm.common import cut, fresh, small
 
 SHINGLE, THRESHOLD = 5, 0.8
 
@@ -73,8 +73,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that hold no item; all columns stay as they are. Rows without an id are searched by no one and stay."""
-    bad = cut(contained_items(docs, items, threshold).select(F.col("doc_id").alias("_bad_id")).distinct(), "contaminated")
-    return docs.join(small(bad, bad.count()), docs["doc_id"] == F.col("_bad_id"), "left_anti")
+    bad_id = fresh(docs, "_bad_id")
+    bad = cut(contained_items(docs.select("doc_id", "text"), items, threshold).select(F.col("doc_id").alias(bad_id)).distinct(), "contaminated")
+    return docs.join(small(bad, bad.count()), docs["doc_id"] == F.col(bad_id), "left_anti")
 
 
 ORACLE_SQL = r"""

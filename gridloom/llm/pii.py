@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, small
+from gridloom.llm.common import cut, fresh, small
 
 KINDS = ("email", "ip", "card", "phone")
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -204,9 +204,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     n_chars, where docs has it, follows the new text. Null texts stay null.
     """
     scanned = cut(scan(docs).where(F.size("near") > 0), "pii")
-    terms = cut(disclosing(docs, scanned).select(F.col("text_key").alias("_key"), F.col("terms").alias("_terms")), "term-spans")
+    key, found = fresh(docs, "_key"), fresh(docs, "_terms")
+    terms = cut(disclosing(docs, scanned).select(F.col("text_key").alias(key), F.col("terms").alias(found)), "term-spans")
     n_terms, text = terms.count(), docs.columns.index("text")
-    joined_docs = docs.join(small(terms, n_terms), text_key(F.col("text")) == F.col("_key"), "left").drop("_key")
+    with_terms = docs.join(small(terms, n_terms), text_key(F.col("text")) == F.col(key), "left").drop(key)
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,4 +226,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
                 cols[chars] = size
             yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
 
-    return joined_docs.mapInArrow(run, docs.schema)
+    return with_terms.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, parts_for, small
+from gridloom.llm.common import cut, fresh, parts_for, small
 from gridloom.llm.components import connected_components
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
@@ -279,14 +279,15 @@ def deduplicate(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     found = cut(near_duplicates(docs.select("doc_id", "text"), budget).where("doc_id is not null"), "groups")
     ids = cut(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id <> c or n > 1"), "copies")
-    named = ids.select(F.col("doc_id").alias("_copy_id"))
-    n_ids = named.count()
-    out = docs.join(small(named, n_ids), docs["doc_id"] == F.col("_copy_id"), "left_anti")
-    doubled = ids.where("doc_id = c").select(F.col("doc_id").alias("_copy_id"))
+    copy_id, order, least = (fresh(docs, c) for c in ("_copy_id", "_text_order", "_least"))
+    n_ids = ids.count()
+    named = ids.select(F.col("doc_id").alias(copy_id))
+    out = docs.join(small(named, n_ids), docs["doc_id"] == F.col(copy_id), "left_anti")
+    doubled = ids.where("doc_id = c").select(F.col("doc_id").alias(copy_id))
     if not doubled.isEmpty():
-        again = docs.join(small(doubled, n_ids), docs["doc_id"] == F.col("_copy_id"), "left_semi")
-        ordered = again.withColumn("_text_order", F.sha2(F.coalesce("text", F.lit("")), 256))
-        least = ordered.groupBy("doc_id").agg(F.min("_text_order").alias("_least"))
-        first = ordered.alias("a").join(least.alias("f"), (F.col("a.doc_id") == F.col("f.doc_id")) & (F.col("a._text_order") == F.col("f._least")), "left_semi")
-        out = out.unionByName(first.drop("_text_order").dropDuplicates(["doc_id"]))
+        again = docs.join(small(doubled, n_ids), docs["doc_id"] == F.col(copy_id), "left_semi")
+        ordered = again.withColumn(order, F.sha2(F.coalesce("text", F.lit("")), 256))
+        firsts = ordered.groupBy("doc_id").agg(F.min(order).alias(least))
+        first = ordered.alias("a").join(firsts.alias("f"), (F.col("a.doc_id") == F.col("f.doc_id")) & (F.col(f"a.{order}") == F.col(f"f.{least}")), "left_semi")
+        out = out.unionByName(first.drop(order).dropDuplicates(["doc_id"]))
     return out
