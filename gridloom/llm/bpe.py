@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The pre-tokeniser's pattern of byte-level BPE vocabularies of this family.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -224,7 +225,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, as_array: bool = False,
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = docs.select(*keep).schema.add("ids", "array<int>" if as_array else "binary").add("decoded", "string")
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()) if as_array else T.BinaryType()).add("decoded", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _ENCODERS:
