@@ -55,8 +55,8 @@ def as_bytes_range(tiles: np.ndarray) -> np.ndarray:
     return np.clip(tiles * scale, 0, 255).astype(np.uint8)
 
 
-def encoder_udf(make: Callable[[], Encoder], width: int, batch: int = 32, unit: bool = False):
-    """A batch UDF over numeric array columns; the model is made once for each Python worker."""
+def encoder_udf(make: Callable[[], Encoder], width: int, batch: int = 32, unit: bool = False, shape: list[int] | None = None):
+    """A batch UDF over numeric columns, or arrays of the given shape; the model is made once for each Python worker."""
 
     def loaded():
         model = make()
@@ -70,7 +70,7 @@ def encoder_udf(make: Callable[[], Encoder], width: int, batch: int = 32, unit:
 
         return predict
 
-    return predict_batch_udf(loaded, return_type=ArrayType(FloatType()), batch_size=batch)
+    return predict_batch_udf(loaded, return_type=ArrayType(FloatType()), batch_size=batch, input_tensor_shapes=[shape] if shape else None)
 
 
 def encode_slides(tiles: DataFrame, open_slide: Callable[[str], object], make: Callable[[], Encoder], tile: int, width: int, batch: int = 32) -> DataFrame:
