@@ -704,6 +704,72 @@ def augmented_crops(spark, sf):
     return views.augmented(cells, _CROP, F.concat_ws("/", F.col("slide_id").cast("string"), F.col("view").cast("string"))).select("slide_id", "view", "i", "j", "valid", "features")
 
 
+PAIRED = ORDERED.rstrip() + ",\n" + FEATURES + f""",
+two AS (SELECT slide_id, max(CASE WHEN roi_id = 0 THEN grid_i END) AS ai, max(CASE WHEN roi_id = 0 THEN grid_j END) AS aj, max(CASE WHEN roi_id = 1 THEN grid_i END) AS bi, max(CASE WHEN roi_id = 1 THEN grid_j END) AS bj FROM ord GROUP BY slide_id),
+side AS (SELECT slide_id, 'a' AS side, ai AS i0, aj AS j0 FROM two UNION ALL SELECT slide_id, 'b', bi, bj FROM two),
+pc AS (SELECT s.slide_id, side, i, j, h.t >= 0.3 AS valid, f.embedding FROM side s, range({R}) x(i), range({R}) y(j) JOIN h ON h.slide_id = s.slide_id AND h.grid_i = i0 + i AND h.grid_j = j0 + j JOIN ft f ON f.slide_id = h.slide_id AND f.grid_i = h.grid_i AND f.grid_j = h.grid_j)
+"""
+
+
+@query(PAIRED + "SELECT slide_id, side, i::INT AS i, j::INT AS j, valid, k::INT AS k, CASE WHEN valid THEN embedding[k + 1]::DOUBLE ELSE 0::DOUBLE END AS value FROM (SELECT *, unnest(range(len(embedding))) AS k FROM pc)")
+def paired_windows(spark, sf):
+    o = _ordered(spark, sf)
+    at = lambda n, c: F.max(F.when(F.col("roi_id") == n, F.col(c)))
+    two = o.groupBy("slide_id").agg(at(0, "grid_i").alias("a_i"), at(0, "grid_j").alias("a_j"), at(1, "grid_i").alias("b_i"), at(1, "grid_j").alias("b_j"))
+    out = views.paired_windows(two, _features(spark, sf), fx.tiles(spark, sf), R, 0.3)
+    return out.select("slide_id", "side", "i", "j", "valid", F.posexplode("features").alias("k", "x")).select("slide_id", "side", "i", "j", "valid", "k", F.abs(F.col("x").cast("double")).alias("m"), F.col("x").cast("double").alias("value")).select("slide_id", "side", "i", "j", "valid", "k", F.when(F.col("m") == 0, F.lit(0.0)).otherwise(F.col("value")).alias("value"))
+
+
+@query(_with(V_) + "SELECT slide_id, min(quality) AS min_quality, max(quality) AS max_quality, min(vec_id) AS min_vec_id, max(vec_id) AS max_vec_id FROM vec GROUP BY slide_id")
+def quality_extremes(spark, sf):
+    return vectors.extremes(fx.vectors(spark, sf), ["quality", "vec_id"])
+
+
+@query(
+    _with(V_, "b AS (SELECT slide_id, vec_id, embedding, row_number() OVER (PARTITION BY slide_id ORDER BY vec_id DESC) - 1 AS back FROM vec)",
+          "x AS (SELECT slide_id, back, k, embedding[k + 1]::DOUBLE AS v FROM (SELECT *, unnest(range(len(embedding))) AS k FROM b))")
+    + f"SELECT slide_id, k::INT AS k, {_q('sum(v * 0.1::DOUBLE * pow(0.9::DOUBLE, back))')} AS value FROM x GROUP BY slide_id, k"
+)
+def running_centre(spark, sf):
+    v = fx.vectors(spark, sf)
+    width = v.select(F.max(F.size("embedding"))).first()[0]
+    out = vectors.running_centre(v, "slide_id", "vec_id", "embedding", 0.9, [0.0] * width)
+    return out.select("slide_id", F.posexplode("centre").alias("k", "x")).select("slide_id", "k", sc.quantised("x").alias("value"))
+
+
+@query(
+    _with(V_, "p AS (SELECT vec_id, slide_id, embedding::DOUBLE[] AS e, list_max(embedding::DOUBLE[]) AS top FROM vec WHERE quality > 0.5)",
+          "t AS (SELECT vec_id, slide_id, e, top, list_sum(list_transform(e, lambda x: exp((x - top) / 0.4::DOUBLE))) AS zt, ln(list_sum(list_transform(e, lambda x: exp((x - top) / 1.0::DOUBLE)))) AS zs FROM p)",
+          "l AS (SELECT slide_id, -list_sum(list_transform(e, lambda x: exp((x - top) / 0.4::DOUBLE) / zt * ((x - top) / 1.0::DOUBLE - zs))) AS l FROM t)")
+    + f"SELECT slide_id, {_q('avg(l)', 5)} AS loss, count(*) AS n FROM l GROUP BY slide_id"
+)
+def masked_divergence(spark, sf):
+    v = fx.vectors(spark, sf).withColumn("masked", F.col("quality") > 0.5)
+    out = views.masked_divergence(v, "embedding", "embedding", "masked", ["slide_id"], 0.4, 1.0)
+    return out.select("slide_id", sc.quantised("loss", 5).alias("loss"), "n")
+
+
+@query(_with(G_) + "SELECT tile_id, floor((size * 5) * 0.299::DOUBLE + (tile_id % 256) * 0.587::DOUBLE + (grid_j * 12) * 0.114::DOUBLE + 0.5::DOUBLE)::INT AS grey, CASE WHEN greatest(size * 5, tile_id % 256, grid_j * 12) > 0 THEN floor((greatest(size * 5, tile_id % 256, grid_j * 12) - least(size * 5, tile_id % 256, grid_j * 12)) * 255::DOUBLE / greatest(size * 5, tile_id % 256, grid_j * 12) + 0.5::DOUBLE)::INT ELSE 0 END AS saturation FROM grid")
+def grey_and_saturation(spark, sf):
+    r, g, b = F.col("size") * 5, F.col("tile_id") % 256, F.col("grid_j") * 12
+    return fx.tiles(spark, sf).select("tile_id", sc.luminance(r, g, b).alias("grey"), sc.saturation(r, g, b).alias("saturation"))
+
+
+@query("SELECT c_custkey, list_filter(list_transform(string_split(replace(c_name, '#', ' , ,'), ','), lambda x: trim(x)), lambda x: x <> '')[1] AS first, len(list_filter(list_transform(string_split(replace(c_name, '#', ' , ,'), ','), lambda x: trim(x)), lambda x: x <> '')) AS n, CASE WHEN c_acctbal > 0 THEN c_acctbal * 1000 END AS um FROM customer")
+def comma_list(spark, sf):
+    c = fx.table(spark, sf, "customer")
+    parts = sc.comma_list(F.replace("c_name", F.lit("#"), F.lit(" , ,")))
+    return c.select("c_custkey", F.get(parts, 0).alias("first"), F.size(parts).cast("long").alias("n"), sc.micrometres("c_acctbal").alias("um"))
+
+
+@query(_with(G_, "x AS (SELECT slide_id, grid_i, grid_j, tissue_frac AS student FROM grid WHERE size % 2 = 0)", "y AS (SELECT slide_id, grid_i, grid_j, artifact_frac AS teacher FROM grid WHERE size % 3 = 0)") + "SELECT * FROM x JOIN y USING (slide_id, grid_i, grid_j)")
+def student_targets(spark, sf):
+    t = fx.tiles(spark, sf)
+    x = t.where("size % 2 = 0").select("slide_id", "grid_i", "grid_j", F.col("tissue_frac").alias("student"))
+    y = t.where("size % 3 = 0").select("slide_id", "grid_i", "grid_j", F.col("artifact_frac").alias("teacher"))
+    return views.student_targets(x, y, ["slide_id", "grid_i", "grid_j"])
+
+
 # ---------------------------------------------------------------- encoding, stores, whole jobs
 
 NEEDED = ORDERED.rstrip() + f""",

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalar import hash_order, posterised, uniform
+from gridloom.functions.scalar import hash_order, posterised, to_half, uniform
 
 # Label classes of the artifact map, their names and colours (red, green, blue).
 CLASSES = [
@@ -118,3 +118,38 @@ def batches(rows: DataFrame, key: str, size: int, epoch: int, seed: int = 0, buc
 def student_targets(students: DataFrame, teachers: DataFrame, keys: list[str]) -> DataFrame:
     """Student cells with their teacher's target; a student without one is skipped."""
     return students.join(teachers, keys, "inner")
+
+
+def paired_windows(pairs: DataFrame, features: DataFrame, tiles: DataFrame, r: int, tile_tissue: float) -> DataFrame:
+    """Cells of both windows of each pair (slide_id, a_i, a_j, b_i, b_j): side a or b, i, j in the window, features, valid.
+
+    Cells that the grid lacks are left out; invalid ones have zeros.
+    """
+    sides = pairs.select("slide_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a_i").alias("i0"), F.col("a_j").alias("j0")), F.struct(F.lit("b").alias("side"), F.col("b_i").alias("i0"), F.col("b_j").alias("j0")))).alias("x")).select("slide_id", "x.*")
+    steps = F.sequence(F.lit(0), F.lit(r - 1))
+    cells = sides.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).withColumn("grid_i", F.col("i0") + F.col("i")).withColumn("grid_j", F.col("j0") + F.col("j"))
+    known = tiles.select("slide_id", "grid_i", "grid_j", F.coalesce(to_half(F.col("tissue_frac")) >= tile_tissue, F.lit(False)).alias("valid"))
+    both = cells.join(known, ["slide_id", "grid_i", "grid_j"]).join(features, ["slide_id", "grid_i", "grid_j"])
+    return both.select("slide_id", "side", "i", "j", F.when(F.col("valid"), F.col("features")).otherwise(F.transform("features", lambda x: x * 0)).alias("features"), "valid")
+
+
+def masked_divergence(rows: DataFrame, teacher: str, student: str, masked: str, group: list[str], teacher_heat: float = 0.04, student_heat: float = 0.1) -> DataFrame:
+    """(group, loss, n): mean over masked cells of the cross-entropy of softmaxed teacher and student vectors; no gradients."""
+
+    def soft(v: Column, heat: float) -> Column:
+        top = F.array_max(v)
+        e = F.transform(v, lambda x: F.exp((x - top) / heat))
+        return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+    t, s = (F.col(c).cast("array<double>") for c in (teacher, student))
+    top = F.array_max(s)
+    log_sum = F.log(F.aggregate(s, F.lit(0.0), lambda a, y: a + F.exp((y - top) / student_heat)))
+    loss = -F.aggregate(F.zip_with(soft(t, teacher_heat), s, lambda p, y: p * ((y - top) / student_heat - log_sum)), F.lit(0.0), lambda a, x: a + x)
+    kept = rows.where(F.col(masked)).withColumn("_l", loss)
+    return kept.groupBy(*group).agg(F.avg("_l").alias("loss"), F.count("*").alias("n"))
+
+
+def legend(spark, artifacts_only: bool = False) -> DataFrame:
+    """The legend as a table, in class order."""
+    out = class_table(spark)
+    return (out.where("is_artifact") if artifacts_only else out).orderBy("class_id")

@@ -95,6 +95,96 @@ def curate_job(spark: SparkSession, args: argparse.Namespace) -> None:
             sinks.write_manifest(parts.where(F.col("split") == name).drop("split"), f"{args.out}_{name}")
 
 
+def thumbnails(slides: DataFrame, longest: int = 2048, openers: dict | None = None) -> DataFrame:
+    """(slide_id, width, height, level0_mpp, power, rows, cols, rgb) of slides (slide_id, slide_path), by the registered readers.
+
+    openers (ending -> function) are registered on the executors too. The level is the one whose downsample is nearest to what the longest side asks for. One slide's thumbnail is one row.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(frames):
+        for ending, opener in (openers or {}).items():
+            readers.register_opener(ending, opener)
+        for pdf in frames:
+            for row in pdf.itertuples():
+                slide = readers.open_slide(row.slide_path)
+                try:
+                    w, h = slide.level_dimensions[0]
+                    want = max(1.0, max(w, h) / longest)
+                    level = min(range(len(slide.level_dimensions)), key=lambda k: abs(np.log(slide.level_downsamples[k] / want)))
+                    lw, lh = slide.level_dimensions[level]
+                    rgb = np.ascontiguousarray(np.asarray(slide.read_region((0, 0), level, (lw, lh)))[..., :3], np.uint8)
+                    number = lambda k: pd.to_numeric(slide.properties.get(k), errors="coerce")
+                    yield pd.DataFrame([(row.slide_id, w, h, number("mpp"), number("objective-power"), lh, lw, rgb.tobytes())], columns=["slide_id", "width", "height", "level0_mpp", "power", "rows", "cols", "rgb"])
+                finally:
+                    if hasattr(slide, "close"):
+                        slide.close()
+
+    return slides.select("slide_id", "slide_path").mapInPandas(run, "slide_id string, width int, height int, level0_mpp double, power double, rows int, cols int, rgb binary")
+
+
+def mask_pixels(masks: DataFrame) -> DataFrame:
+    """(slide_id, y, x, flag) of packed masks (slide_id, height, width, tissue)."""
+    digit = F.conv(F.substring(F.hex("tissue"), (F.floor(F.col("p") / 4) + 1).cast("int"), F.lit(1)), 16, 10).cast("int")
+    flat = masks.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)))
+    flag = F.floor(digit / F.pow(F.lit(2), 3 - F.col("p") % 4)).cast("int") % 2 == 1
+    return flat.select("slide_id", F.floor(F.col("p") / F.col("width")).cast("int").alias("y"), (F.col("p") % F.col("width")).cast("int").alias("x"), flag.alias("flag"))
+
+
+def preprocess(slides: DataFrame, tile: int = 512, magnification: float = 20.0, least_tissue: float = 0.5, longest: int = 2048, kernel: int = 7, least_area: int = 512, artifact: DataFrame | None = None, openers: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tiles, summary) of slides (slide_id, slide_path): thumbnail, tissue mask, tile grid, judged tiles.
+
+    artifact: an optional mask (slide_id, y, x, flag) on the thumbnails' pixels. The summary has a row for every slide;
+    status is no_tissue where no tile is.
+    """
+    small_images = cut(thumbnails(slides, longest, openers), "thumbnails")
+    masks = grid.tissue_masks(small_images.select("slide_id", F.col("rows").alias("height"), F.col("cols").alias("width"), "rgb"), kernel, least_area)
+    pixels = cut(mask_pixels(masks), "tissue")
+    from gridloom.functions.scalar import base_tile_size
+
+    known = small_images.select("slide_id", "width", "height", F.when(~F.isnan("level0_mpp"), F.col("level0_mpp")).alias("mpp"), F.when(~F.isnan("power"), F.col("power")).alias("power"), (F.col("cols") / F.col("width")).alias("scale_x"), (F.col("rows") / F.col("height")).alias("scale_y"))
+    shaped = known.withColumn("tile", base_tile_size(tile, F.col("mpp"), F.col("power"), magnification))
+    tiles = cut(tile_grid(shaped, pixels, artifact, least_tissue), "tiles")
+    summary = shaped.join(grid.grid_summary(tiles), "slide_id", "left")
+    status = F.when(F.col("total_grid_tiles").isNull(), "no_tissue").otherwise("done")
+    return tiles, summary.withColumn("status", status).fillna(0, ["total_grid_tiles", "accepted_count", "rejected_count", "rejected_low_tissue"])
+
+
+def preprocess_job(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Slides under a root, or of a manifest -> tile manifests and summaries of those not done yet."""
+    if args.manifest:
+        records = spark.read.parquet(args.manifest).select(F.col("SeriesInstanceUID").alias("slide_id"), F.col("slide_path"))
+    else:
+        records = readers.slides(spark, slides_root=args.slides, output_root=args.out).select("slide_id", "slide_path")
+    if args.done:
+        records = not_done(records, spark.read.parquet(args.done))
+    tiles, summary = preprocess(records, args.tile, args.magnification, args.min_tissue)
+    sinks.write_tile_manifest(tiles, f"{args.out}/tiles")
+    summary.write.mode("append").parquet(f"{args.out}/summary")
+
+
+def encode_job(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Tiles of the windows that were chosen -> cells that the feature store lacks, by the named encoder factory."""
+    import importlib
+
+    from gridloom import schemas
+    from gridloom.operators import encode
+
+    tiles = readers.read_table(spark, args.tiles, schemas.TILE_MANIFEST)
+    samples = readers.read_table(spark, args.samples, schemas.ROI_SAMPLES)
+    windows = samples.select("slide_id", F.explode("passed_candidates").alias("c")).select("slide_id", "c.grid_i", "c.grid_j")
+    store = readers.read_table(spark, args.store, schemas.FEATURE_GRID) if args.store else spark.createDataFrame([], schemas.FEATURE_GRID)
+    todo, stats = encode_missing(windows, tiles, store, args.size, args.min_tissue, args.overwrite)
+    module, _, name = args.encoder.rpartition(":")
+    make = getattr(importlib.import_module(module), name)(args.width)
+    paths = spark.read.parquet(args.slide_paths).select("slide_id", "slide_path")
+    rows = todo.join(encode.unique_cells(tiles.select("slide_id", "grid_i", "grid_j", "x0_lvl0", "y0_lvl0")), ["slide_id", "grid_i", "grid_j"]).join(paths, "slide_id")
+    new = encode.stored_features(encode.encode_slides(rows, readers.open_slide, make, args.tile, args.width), args.width)
+    sinks.write_features(encode.upserted(store, cut(new, "encoded")), args.out)
+    stats.write.mode("append").parquet(f"{args.out}_stats")
+
+
 def sample_job(spark: SparkSession, args: argparse.Namespace) -> None:
     """Grids and features -> samples of the slides that have none yet."""
     from gridloom import schemas
@@ -139,13 +229,31 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--target", type=int, default=64)
     s.add_argument("--width", type=int, default=768)
     s.add_argument("--seed", type=int, default=0)
+    p = sub.add_parser("preprocess")
+    p.add_argument("--slides")
+    p.add_argument("--manifest")
+    p.add_argument("--out", required=True)
+    p.add_argument("--done")
+    p.add_argument("--tile", type=int, default=512)
+    p.add_argument("--magnification", type=float, default=20.0)
+    p.add_argument("--min-tissue", type=float, default=0.5)
+    e = sub.add_parser("encode")
+    for name in ("tiles", "samples", "slide-paths", "out"):
+        e.add_argument(f"--{name}", required=True)
+    e.add_argument("--store")
+    e.add_argument("--encoder", default="gridloom.operators.encode:stand_in_encoder")
+    e.add_argument("--size", type=int, default=16)
+    e.add_argument("--tile", type=int, default=512)
+    e.add_argument("--width", type=int, default=768)
+    e.add_argument("--min-tissue", type=float, default=0.5)
+    e.add_argument("--overwrite", action="store_true")
     return top
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"gridloom {args.job}").getOrCreate()
-    {"curate": curate_job, "sample": sample_job}[args.job](spark, args)
+    {"curate": curate_job, "preprocess": preprocess_job, "sample": sample_job, "encode": encode_job}[args.job](spark, args)
 
 
 if __name__ == "__main__":
