@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from gridloom.llm.common import trim
 
 # The pre-tokeniser's pattern of byte-level BPE vocabularies of this family.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -34,7 +36,7 @@ def _pattern(letter: str, number: str, space: str) -> str:
 ANY = regex.compile(_pattern(r"\p{L}", r"\p{N}", SPACE))
 LATIN = re.compile(_pattern(LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE))
 #: Characters of text encoded together, and distinct words kept from one chunk to the next.
-CHUNK_CHARS, KEPT_WORDS = 12_000_000, 250_000
+CHUNK_CHARS, KEPT_WORDS = 4_000_000, 100_000
 #: Up to so many positions of a pair are merged one by one, more with array operations.
 FEW = 10
 
@@ -227,28 +229,34 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, as_array: bool = False,
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()) if as_array else T.BinaryType()).add("decoded", T.StringType())
 
+    of = keep.index("text") if "text" in keep else len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _ENCODERS:
             _ENCODERS[tokenizer_path] = Encoder(Vocabulary(sent.value))
         encoder = _ENCODERS[tokenizer_path]
         for batch in batches:
-            lengths = np.cumsum(np.array([x.as_py() or 0 for x in pa.compute.utf8_length(batch.column("_text"))]))
+            text = batch.column(of)
+            lengths = np.cumsum(pc.fill_null(pc.utf8_length(text), 0).to_numpy().astype(np.int64))
             start = 0
             while start < batch.num_rows:
                 done = lengths[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(lengths, done + CHUNK_CHARS, "right")))
                 part = batch.slice(start, stop - start)
-                ids = encoder.encode([t or "" for t in part.column("_text").to_pylist()])
+                ids = encoder.encode([t or "" for t in part.column(of).to_pylist()])
                 decoded = pa.array([encoder.decode(x) for x in ids], pa.string())
                 if as_array:
                     ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                     coded = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
                 else:
                     coded = pa.array(ids, pa.binary())
+                del ids
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), coded, decoded], [*keep, "ids", "decoded"])
+                del coded, decoded, part
+                trim()
                 start = stop
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, held_out
+from gridloom.llm.common import cut, held_out, trim
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents of each language that the model is fitted on, about (by a hash of the id); it keeps the most
@@ -21,7 +21,7 @@ SAMPLE_DOCS, MODEL_WORDS, MODEL_GRAMS, LONGEST = 4000, 60_000, 60_000, 4
 #: Words longer than this are scored by their n-grams over pieces of this length.
 WORD_CHARS = 60
 #: Words whose scores a worker keeps.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 #: Evidence counts as that of so many words at most when scores become a probability.
 SURE_WORDS = 12
 
@@ -142,6 +142,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             got = [scorer.predict(t.as_py() or "") for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        del scorer
+        trim()
 
     return docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
@@ -159,5 +161,7 @@ def keep_identified(docs: DataFrame, least: float = 0.35, model: Model | None =
         for b in batches:
             got = [scorer.predict(str(t.as_py() or "")) for t in b.column(text)]
             yield b.filter(pa.array([lang != "und" and p >= least for lang, p in got], pa.bool_()))
+        del scorer
+        trim()
 
     return docs.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, fresh, small
+from gridloom.llm.common import cut, fresh, small, trim
 
 KINDS = ("email", "ip", "card", "phone")
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -225,5 +225,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
                 size = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(cols[chars].type)
                 cols[chars] = size
             yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
+        trim()
 
     return with_terms.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, fresh, parts_for, small
+from gridloom.llm.common import cut, fresh, parts_for, small, trim
 from gridloom.llm.components import connected_components
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             got = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
@@ -238,9 +239,11 @@ def hamming_links(prints: DataFrame, budget: int = BUDGET, block: int = BLOCK) -
     n = parts_for(spark, rows * (3 + 3 * depth // 2), 200_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        found = list(batches)
+        if not sum(b.num_rows for b in found):
             return
+        table = pa.Table.from_batches(found)
+        del found
         cols = {c: table.column(c).to_numpy() for c in table.column_names}
         del table
         keys = np.rec.fromarrays([cols["part"], cols["cell"], cols["i"], cols["j"]])
