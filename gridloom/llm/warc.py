@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import parts_for, cut, range_index, range_plan, scratch_path
+from gridloom.llm.common import cut, parts_for, range_index, range_plan, scratch_path, small
 
 DATE = "2020-01-01T00:00:00Z"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:gridloom:warc")
@@ -110,8 +110,10 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     meta = cut(rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("size")), "payloads")
     # who is revisited: summed by payload before the shuffle; only payloads that repeat are joined back
-    repeated = meta.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    marks = cut(meta.join(repeated.select("digest", "first_id"), "digest").select("page_id", "digest", "first_id").distinct(), "revisits")
+    counted = meta.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    # written, so that a payload that many pages share can be split over tasks in the join
+    repeated = cut(counted.select("digest", "first_id"), "repeated-payloads")
+    marks = cut(meta.join(small(repeated, repeated.count()), "digest").select("page_id", "digest", "first_id").distinct(), "revisits")
     total = meta.agg(F.sum("size")).first()[0]
     if total is None:
         return cut(spark.createDataFrame([], _MANIFEST), "manifest")
