@@ -121,15 +121,10 @@ def range_plan(df: DataFrame, key: str, weight: Column, target: int, fine: int =
 
 
 def range_index(key: Column, ranges: list[tuple[int, int]]) -> Column:
-    """Which range a key is in, by binary search over the upper ends as nested conditions would not scale."""
-    uppers = F.array(*[F.lit(hi) for _, hi in ranges[:-1]]).cast("array<bigint>")
-    lo, steps = F.lit(0), max(1, math.ceil(math.log2(len(ranges) + 1)))
-    if len(ranges) == 1:
+    """Which range a key is in: a binary search over the upper ends, as a fold, so that the expression stays small."""
+    if len(ranges) < 2:
         return F.lit(0)
-    # position = number of upper ends below the key, by halving
-    size = 1 << (steps - 1)
-    while size:
-        probe = lo + F.lit(size)
-        lo = F.when((probe <= len(ranges) - 1) & (F.get(uppers, probe - 1) < key), probe).otherwise(lo)
-        size >>= 1
-    return lo
+    uppers = F.array(*[F.lit(hi) for _, hi in ranges[:-1]]).cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((len(ranges) - 1).bit_length()))])
+    # the result is the number of upper ends below the key
+    return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(uppers, lo + step - 1) < key, lo + step).otherwise(lo))
