@@ -1,4 +1,4 @@
-"""What the text operators share: tables written between steps, sizes, range plans."""
+"""What the text operators share: inputs, sizes, range plans; tables between steps are those of gridloom.storage."""
 
 from __future__ import annotations
 
@@ -6,44 +6,14 @@ import contextlib
 import ctypes
 import gc
 import math
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a broadcast side may have at most; callers that go over it use a shuffled join instead.
-BROADCAST_ROWS = 1_000_000
+from gridloom.storage import cut, scratch_path, small
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: the cluster's spark.checkpoint.dir, else (tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            root = found.get()
-        else:
-            root = "file:///tmp/gridloom-checkpoints"
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it goes when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/gridloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and any executor can be lost."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "documents", "fresh", "held_out", "pages", "parts_for", "range_index", "range_plan", "scratch_path", "small", "trim"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +37,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if its counted rows are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_part))
 
