@@ -2,7 +2,8 @@
 
 Every entity found (email, ip, card, phone) has windows: the words next to it. A term discloses an entity if it stands
 in several different windows of that entity and most of the term's occurrences in the whole corpus are there, so that
-whoever reads the term can tell the entity. Such terms are spans too and are generalised with the entity.
+whoever reads the term can tell the entity. Such terms are spans too, wherever they stand in any text: beside the entity,
+further off, and in texts that do not name it.
 """
 
 from __future__ import annotations
@@ -80,13 +81,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def blanked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """text with blanks in the place of each span."""
+    masked = list(text)
+    for _, a, b in spans:
+        masked[a:b] = " " * (b - a)
+    return "".join(masked)
+
+
 def windows(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     """The words beside each span, outside all spans: entity and window as hashes, the term and its place."""
     out = []
-    masked = list(text) if spans else []
-    for _, a, b in spans:
-        masked[a:b] = " " * (b - a)
-    blank = "".join(masked)
+    blank = blanked(text, spans) if spans else ""
     for kind, a, b in spans:
         lo, hi = max(0, a - SIDE_CHARS), min(len(text), b + SIDE_CHARS)
         near = [m for m in WORD.finditer(blank, lo, hi) if (m.start() > lo or not lo) and (m.end() < hi or hi == len(text))]
@@ -134,17 +140,23 @@ def _filter_words(terms: DataFrame) -> np.ndarray:
     return out
 
 
+class Maybe:
+    """Whether a word may be one of the terms that a filter was made of; a term itself always may."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __call__(self, word: str) -> bool:
+        h, mask = xxhash.xxh64_intdigest(word.encode(), 42), (1 << FILTER_BITS) - 1
+        return all(int(self.bits[(h >> s & mask) >> 6]) >> (h >> s & 63) & 1 for s in (0, 20, 40))
+
+
 def term_totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, total): how often each of the terms stands in all of docs, in lower case."""
     sent = docs.sparkSession.sparkContext.broadcast(_filter_words(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, mask = sent.value, (1 << FILTER_BITS) - 1
-
-        def maybe(word: str) -> bool:
-            h = xxhash.xxh64_intdigest(word.encode(), 42)
-            return all(int(bits[(h >> s & mask) >> 6]) >> (h >> s & 63) & 1 for s in (0, 20, 40))
-
+        maybe = Maybe(sent.value)
         for b in batches:
             found: Counter = Counter()
             for t in b.column(0):
@@ -156,8 +168,44 @@ def term_totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counts.join(terms, "term", "left_semi")
 
 
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(text_key, start, end): every place outside the entities, in all of docs, where one of the terms stands.
+
+    The filter leaves out texts and words that cannot be meant; what it lets through is joined with the terms themselves.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_filter_words(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = Maybe(sent.value)
+        for b in batches:
+            known: dict[str, bool] = {}
+            rows: list[tuple] = []
+            for key, t in zip(b.column(0), b.column(1)):
+                text = t.as_py() or ""
+                blank = blanked(text, spans) if (spans := base_spans(text)) else text
+                for word in {*WORD.findall(blank)}:
+                    if word not in known:
+                        known[word] = maybe(word.lower())
+                    if known[word]:
+                        break
+                else:
+                    continue
+                name = key.as_py()
+                for m in WORD.finditer(blank):
+                    word = m.group()
+                    if word not in known:
+                        known[word] = maybe(word.lower())
+                    if known[word]:
+                        rows.append((name, word.lower(), m.start(), m.end()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))], ["text_key", "term", "start", "end"])
+
+    text = F.col("text").cast("string")
+    found = docs.select(text_key(text).alias("text_key"), text).mapInArrow(run, "text_key string, term string, start int, end int")
+    return found.join(small(terms), "term", "left_semi").select("text_key", "start", "end").distinct()
+
+
 def disclosing(docs: DataFrame, scanned: DataFrame, least_windows: int = LEAST_WINDOWS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(text_key, terms): the spans of disclosing terms, joined as text, of every text that has any."""
+    """(text_key, terms): the spans of disclosing terms, joined as text, of every text of docs that has any."""
     near = scanned.where(F.size("near") > 0).select("text_key", F.explode("near").alias("x")).select("text_key", "x.*")
     joint = near.groupBy("entity", "term").agg(F.count_distinct("window").alias("windows")).where(F.col("windows") >= least_windows)
     pairs = cut(joint, "joint")
@@ -166,7 +214,9 @@ def disclosing(docs: DataFrame, scanned: DataFrame, least_windows: int = LEAST_W
         return scanned.sparkSession.createDataFrame([], "text_key string, terms string")
     totals = term_totals(docs, terms)
     passed = cut(pairs.join(totals, "term").where(F.col("windows") >= F.col("total") * F.lit(least_share)).select("entity", "term"), "disclosing")
-    spans = near.join(small(passed, passed.count()), ["entity", "term"], "left_semi").select("text_key", "start", "end").distinct()
+    if passed.isEmpty():
+        return scanned.sparkSession.createDataFrame([], "text_key string, terms string")
+    spans = occurrences(docs, passed.select("term").distinct())
     listed = spans.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
     return listed.select("text_key", F.array_join(F.transform("s", lambda x: F.concat(F.lit("term:"), x["start"], F.lit(":"), x["end"])), ",").alias("terms"))
 

@@ -83,6 +83,22 @@ def test_terms_that_disclose(spark):
     assert clean[len(texts) - 1] == texts[-1]
 
 
+def test_disclosing_terms_are_found_in_all_texts(spark):
+    far = "Zanzibar " + "filler " * 60
+    texts = [f"{far if c == 'a' else ''} one{c} Zanzibar writes zed@mail.example.org and the{c} rest" for c in "abcd"] + ["No person here, ZANZIBAR aside.", None, "", "zanzibars are others"]
+    texts += [f"one{c} İstanbul Quagga writes yak@mail.example.org and the{c} rest" for c in "pqr"] + ["İ quagga ééquagga@mail.example.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    for i, t in enumerate(texts):
+        blank = pii.blanked(t or "", brute(t or ""))
+        places = {m.span() for m in re.finditer(r"(?i)\b(zanzibar|quagga)\b", blank)}
+        terms = {(int(a), int(b)) for k, a, b in (x.split(":") for x in got[i].split(",") if x) if k == "term"}
+        assert places <= terms, t
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[4] == "No person here, [TERM] aside." and clean[5] is None and clean[6] == "" and clean[7] == texts[7]
+    assert not any(re.search(r"(?i)\b(zanzibar|quagga)\b", t or "") for t in clean.values())
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = pii.find(odd_docs).collect()
     assert len(got) == odd_docs.count() and {r.doc_id: r.n_email for r in got}[None] == 1 and all(r.spans == "" for r in got if r.doc_id)
