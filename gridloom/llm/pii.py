@@ -1,7 +1,8 @@
 """Personal data: patterns for the entities themselves, and corpus co-occurrence for the terms that give them away.
 
 Every entity found (email, ip, card, phone) has windows: the words next to it. A term discloses an entity if it stands
-in several different windows of that entity and most of the term's occurrences in the whole corpus are there, so that
+in several different windows of that entity (in all of them, if they are fewer), more than once, and at least half of the
+term's occurrences in the whole corpus are beside the entity; copies count on both sides of that share, so that
 whoever reads the term can tell the entity. Such terms are spans too, wherever they stand in any text: beside the entity,
 further off, and in texts that do not name it.
 """
@@ -33,6 +34,8 @@ WORD = re.compile(r"[^\W\d_]{3,}")
 SIDE_WORDS, SIDE_CHARS = 5, 160
 #: A term discloses an entity if so many different windows of it hold the term, and that share of all its occurrences.
 LEAST_WINDOWS, LEAST_SHARE = 3, 0.5
+#: An entity with fewer different windows is disclosed by what all of them hold; one occurrence shows nothing.
+LEAST_TIMES = 2
 #: Bits of the filter that keeps the second reading's counts to terms that may matter.
 FILTER_BITS = 23
 
@@ -90,8 +93,11 @@ def blanked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def windows(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """The words beside each span, outside all spans: entity and window as hashes, the term and its place."""
-    out = []
+    """The words beside each span, outside all spans: entity and window as hashes, the term and its place.
+
+    again: the same place was already beside an earlier span of this entity, so it is no further occurrence.
+    """
+    out, seen = [], set()
     blank = blanked(text, spans) if spans else ""
     for kind, a, b in spans:
         lo, hi = max(0, a - SIDE_CHARS), min(len(text), b + SIDE_CHARS)
@@ -99,17 +105,18 @@ def windows(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         found = [m for m in near if m.end() <= a][-SIDE_WORDS:] + [m for m in near if m.start() >= b][:SIDE_WORDS]
         entity = _signed(xxhash.xxh64_intdigest(f"{kind} {text[a:b]}".encode()))
         window = _signed(xxhash.xxh64_intdigest(" ".join(m.group().lower() for m in found).encode()))
-        out += [{"entity": entity, "window": window, "term": m.group().lower(), "start": m.start(), "end": m.end()} for m in found]
+        out += [{"entity": entity, "window": window, "term": m.group().lower(), "start": m.start(), "end": m.end(), "again": (entity, m.start()) in seen} for m in found]
+        seen.update((entity, m.start()) for m in found)
     return out
 
 
-_NEAR = "array<struct<entity: long, window: long, term: string, start: int, end: int>>"
+_NEAR = "array<struct<entity: long, window: long, term: string, start: int, end: int, again: boolean>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, base, n_email, n_ip, n_card, n_phone, near) of every row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("window", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("window", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("again", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,8 +167,8 @@ def term_totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
         for b in batches:
             found: Counter = Counter()
             for t in b.column(0):
-                found.update(WORD.findall((t.as_py() or "").lower()))
-            kept = [(w, n) for w, n in found.items() if maybe(w)]
+                found.update(WORD.findall(t.as_py() or ""))
+            kept = [(w, n) for w, n in ((w.lower(), n) for w, n in found.items()) if maybe(w)]  # as windows() writes terms
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["term", "n"])
 
     counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("total"))
@@ -207,13 +214,14 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, scanned: DataFrame, least_windows: int = LEAST_WINDOWS, least_share: float = LEAST_SHARE) -> DataFrame:
     """(text_key, terms): the spans of disclosing terms, joined as text, of every text of docs that has any."""
     near = scanned.where(F.size("near") > 0).select("text_key", F.explode("near").alias("x")).select("text_key", "x.*")
-    joint = near.groupBy("entity", "term").agg(F.count_distinct("window").alias("windows")).where(F.col("windows") >= least_windows)
-    pairs = cut(joint, "joint")
+    joint = near.groupBy("entity", "term").agg(F.count_distinct("window").alias("windows"), F.count_if(~F.col("again")).alias("times")).where(F.col("times") >= LEAST_TIMES)
+    each = near.groupBy("entity").agg(F.least(F.count_distinct("window"), F.lit(least_windows)).alias("asked"))
+    pairs = cut(joint.join(each, "entity").where(F.col("windows") >= F.col("asked")), "joint")
     terms = cut(pairs.select("term").distinct(), "terms")
     if terms.isEmpty():  # no term can pass, so the corpus need not be read again
         return scanned.sparkSession.createDataFrame([], "text_key string, terms string")
     totals = term_totals(docs, terms)
-    passed = cut(pairs.join(totals, "term").where(F.col("windows") >= F.col("total") * F.lit(least_share)).select("entity", "term"), "disclosing")
+    passed = cut(pairs.join(totals, "term").where(F.col("times") >= F.col("total") * F.lit(least_share)).select("entity", "term"), "disclosing")
     if passed.isEmpty():
         return scanned.sparkSession.createDataFrame([], "text_key string, terms string")
     spans = occurrences(docs, passed.select("term").distinct())

@@ -99,6 +99,19 @@ def test_disclosing_terms_are_found_in_all_texts(spark):
     assert not any(re.search(r"(?i)\b(zanzibar|quagga)\b", t or "") for t in clean.values())
 
 
+def test_share_counts_occurrences_on_both_sides(spark):
+    copied = [f"one{c} Zanzibar writes zed@mail.example.org and the{c} rest" for c in "abc" for _ in range(10)]  # 3 windows, 30 occurrences
+    twice = ["by Quagga at yak@mail.example.org yes"] * 2  # the entity's only window
+    once = ["by Okapi at gnu@mail.example.org yes"]
+    half = ["in Tapir to emu@mail.example.org or"] * 2 + ["Tapir elsewhere, Tapir again, Tapir"]  # 2 of 5
+    both = ["cat@mail.example.org Bongo cat@mail.example.org"]  # one occurrence, beside two spans
+    other = ["the writes and at yes by " * 40]
+    docs = spark.createDataFrame(list(enumerate(copied + twice + once + half + both + other)), "doc_id long, text string")
+    text = " ".join(r.text for r in pii.sanitise(docs).collect())
+    assert "Zanzibar" not in text and "Quagga" not in text
+    assert text.count("Okapi") == 1 and text.count("Tapir") == 5 and text.count("Bongo") == 1 and "writes" in text
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = pii.find(odd_docs).collect()
     assert len(got) == odd_docs.count() and {r.doc_id: r.n_email for r in got}[None] == 1 and all(r.spans == "" for r in got if r.doc_id)
