@@ -1,4 +1,6 @@
-"""License scan: sparse TF-IDF cosine of lines to licence templates, then inheritance from the nearest directory.
+"""License scan: sparse TF-IDF cosine to licence templates, then inheritance from the nearest directory.
+
+Lines are compared with one-line notices; runs of words, and whole texts, with headers of several lines and licence texts.
 
 Everything is built-in functions. Template terms are few and fixed; their document frequencies are counted over all texts.
 A line can only reach the threshold if it holds one of the heaviest terms of a template (what is left of the template
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut, small
+from gridloom.llm.licence_blocks import BLOCKS
 
 # Licence notices as they stand in file headers.
 TEMPLATES = {
@@ -31,6 +34,9 @@ TEMPLATES = {
 THRESHOLD = 0.75
 #: Share of a file's words that must be in matching lines for it to be a licence file, whatever its name.
 FILE_SHARE = 0.5
+#: A block's run of words begins at each 64th part of the block's length (an 8th, if it has over 256 words; one word at
+#: least), and at the last place where it fits: versions of a header differ in a word, so a run must not miss its start.
+HEADER_STEPS, BODY_STEPS, HEADER_WORDS = 64, 8, 256
 LICENCE_NAME = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
 
@@ -65,7 +71,7 @@ def needed_terms(weights: dict[str, float], threshold: float) -> list[str]:
 
 
 def licence_lines(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, path, text_words, matches array<struct<score, licence, line_words>>) of every row of docs (doc_id, path, text).
+    """(doc_id, path, text_words, matches array<struct<score, licence, line_words>>, text_key) of every row of docs (doc_id, path, text).
 
     matches: the lines whose best template reaches the threshold, with that template (ties: the first by name).
     """
@@ -118,7 +124,48 @@ def licence_lines(docs: DataFrame, templates: dict[str, str] | None = None, thre
     # only texts with a match are counted in words
     with_lines = rows.select("doc_id", "path", "text", lines.alias("lines"))
     parted = with_lines.select("doc_id", "path", "text", each.alias("line_words")).select("doc_id", "path", "text", scored.alias("scored")).select("doc_id", "path", "text", found.alias("matches"))
-    return parted.select("doc_id", "path", F.when(F.size("matches") > 0, F.size(words(F.col("text")))).alias("text_words"), "matches")
+    return parted.select("doc_id", "path", F.when(F.size("matches") > 0, F.size(words(F.col("text")))).alias("text_words"), "matches", F.md5("text").alias("text_key"))
+
+
+def block_matches(docs: DataFrame, blocks: tuple = BLOCKS, threshold: float = THRESHOLD) -> DataFrame:
+    """(text_key, block array of score, licence and words, block_words) of every text that holds a block.
+
+    Units are a text as a whole and its runs of as many words as the block has. A unit reaches the threshold only if the
+    block's terms in the whole text make up threshold squared of its squared norm (Cauchy-Schwarz), so other texts are not
+    taken apart; this loses nothing. Best score, ties by name; block_words are those of the largest unit that matches.
+    """
+    spark = docs.sparkSession
+    counts = [(f"{k}", name, {w: int(n) for w, n in zip(*[iter(text.split())] * 2)}) for k, (name, text) in enumerate(blocks)]
+    terms = sorted({w for _, _, c in counts for w in c})
+    n, df = document_frequencies(docs, terms)
+    idf = {t: math.log((n + 1) / (df[t] + 1)) + 1 for t in terms}
+    unseen = math.log(n + 1) + 1
+    rows = []
+    for key, name, c in counts:
+        norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in c.items()))
+        rows += [(key, name, sum(c.values()), t, k * idf[t] / norm) for t, k in c.items()]
+    own = F.broadcast(spark.createDataFrame(rows, "block string, licence string, m int, term string, w double"))
+    idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.md5("text").alias("text_key"), "text")
+    named = F.array(*[F.lit(t) for t in terms])
+    held = texts.select("text_key", F.explode_outer(F.array_intersect(words(F.col("text")), named)).alias("term")).distinct()
+    gate = held.join(own, "term").groupBy("text_key", "block", "m").agg(F.sum(F.col("w") * F.col("w")).alias("s")).where(F.col("s") >= threshold * threshold - 1e-9)
+    pairs = cut(gate.select("text_key", "block", "m"), "licence-block-pairs")
+    n_pairs = pairs.count()
+    kept = texts.join(small(pairs.select("text_key").distinct(), n_pairs), "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", words(F.col("text")).alias("words"))
+    last = F.greatest(F.size("words") - F.col("m"), F.lit(0))
+    step = F.greatest(F.floor(F.col("m") / F.when(F.col("m") <= HEADER_WORDS, HEADER_STEPS).otherwise(BODY_STEPS)).cast("int"), F.lit(1))
+    starts = F.array_distinct(F.concat(F.array(F.lit(-1)), F.sequence(F.lit(0), last, step), F.array(last)))
+    units = kept.join(small(pairs, n_pairs), "text_key").select("text_key", "block", "m", "words", F.explode(starts).alias("at"))
+    unit = F.when(F.col("at") < 0, F.col("words")).otherwise(F.slice("words", F.col("at") + 1, F.col("m")))
+    tf = units.select("text_key", "block", "at", F.explode(unit).alias("term")).groupBy("text_key", "block", "at", "term").agg(F.count("*").alias("tf"))
+    weighed = tf.join(idfs, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unseen))).join(own.select("block", "term", "w"), ["block", "term"], "left")
+    sums = weighed.groupBy("text_key", "block", "at").agg(F.sum(F.col("x") * F.coalesce("w", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").cast("int").alias("n"))
+    labels = F.broadcast(spark.createDataFrame([(key, name) for key, name, _ in counts], "block string, licence string"))
+    hits = sums.where(F.col("dot") >= F.col("norm") * F.lit(threshold)).join(labels, "block")
+    score = F.floor(F.col("dot") / F.col("norm") * 1e6 + 0.5) / 1e6
+    best = hits.select("text_key", "n", score.alias("score"), "licence").groupBy("text_key").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence", "n")).alias("b"), F.max("n").alias("block_words"))
+    return best.select("text_key", F.array(F.struct((-F.col("b.s")).alias("score"), F.col("b.licence").alias("licence"), F.col("b.n").alias("n"))).alias("block"), "block_words").join(kept.select("text_key", F.size("words").alias("block_text_words")), "text_key")
 
 
 def parent(path: Column) -> Column:
@@ -129,14 +176,21 @@ def parent(path: Column) -> Column:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, path, own_licence, score, licence, basis, from_dir) of every row of docs (doc_id, path, text).
 
-    own_licence: that of the best matching line (ties: the first by name). Licence files, by name or because matching
-    lines hold half of their words, give their licence to their directory (several: the best score, then name). A file
+    own_licence: that of the best matching line, run of words or whole text (ties: the first by name); given templates
+    replace the notices and the blocks. Licence files, by name or because what matches holds half of their words, give their licence to their directory (several: the best score, then name). A file
     without an own licence has that of the nearest directory at or above it which has one; basis is own, inherited or
     none. Null texts match nothing; a null path is in no directory. Repeated rows each have their result.
     """
     lines = licence_lines(docs, templates, threshold)
+    empty = F.array().cast(lines.schema["matches"].dataType)
+    blocks = None if templates else cut(block_matches(docs, BLOCKS, threshold), "licence-blocks")
+    if blocks is None or not (n_blocks := blocks.count()):
+        lines = lines.withColumn("block_words", F.lit(0)).withColumn("lines", F.col("matches"))
+    else:
+        lines = lines.join(small(blocks, n_blocks), "text_key", "left").withColumn("lines", F.col("matches"))
+        lines = lines.withColumn("matches", F.concat("matches", F.coalesce("block", empty))).withColumn("text_words", F.coalesce("text_words", "block_text_words"))
     best = F.get(F.array_sort("matches", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["licence"] < b["licence"], -1).when(a["licence"] > b["licence"], 1).otherwise(0)), 0)
-    held = F.aggregate("matches", F.lit(0), lambda a, m: a + m["n"])
+    held = F.greatest(F.aggregate("lines", F.lit(0), lambda a, m: a + m["n"]), F.coalesce("block_words", F.lit(0)))
     name = F.regexp_extract("path", r"[^/]*$", 0)
     files = cut(
         lines.select(

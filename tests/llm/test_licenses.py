@@ -29,3 +29,40 @@ def test_no_python_on_the_main_path(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = licenses.licence_lines(licenses.as_files(docs))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_headers_and_whole_licences(spark):
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+    code = "\n".join(f"value{i} = load(source{i}, target{i})" for i in range(300))
+    whole = {name: " ".join(w for w, n in zip(*[iter(text.split())] * 2) for _ in range(int(n))) for name, text in reversed(licenses.BLOCKS)}
+    rows = [(1, "a/x.py", apache + code), (2, "b/x.c", f"{code}\n{gpl}\n{code}"), (3, "m/LICENSE", "Copyright (c) 2020 Jane Doe\n" + whole["MIT"]), (4, "m/src/y.py", code), (5, "g/text", whole["GPL-3.0"]), (6, "g/z", code), (7, None, whole["MIT"])]
+    rows += [(8 + i, f"n/{i}.txt", f"other plain text number{i} of the software and the license") for i in range(20)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in licenses.scan(files).collect()}
+    assert len(got) == len(rows)
+    assert [(got[i].licence, got[i].basis) for i in range(1, 8)] == [("Apache-2.0", "own"), ("GPL-3.0", "own"), ("MIT", "own"), ("MIT", "inherited"), ("GPL-3.0", "own"), ("GPL-3.0", "inherited"), ("MIT", "own")]
+    assert all(got[8 + i].basis == "none" for i in range(20))
