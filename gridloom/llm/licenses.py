@@ -37,6 +37,8 @@ FILE_SHARE = 0.5
 #: A block's run of words begins at each 64th part of the block's length (an 8th, if it has over 256 words; one word at
 #: least), and at the last place where it fits: versions of a header differ in a word, so a run must not miss its start.
 HEADER_STEPS, BODY_STEPS, HEADER_WORDS = 64, 8, 256
+#: Ratio of the levels to which the first bound rounds shares up.
+LEVEL = 1.25
 LICENCE_NAME = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
 
@@ -49,13 +51,23 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
-    """Rows of docs, and in how many of them each of the terms stands."""
+def terms_held(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(text_key, held): which of the terms stand in the text of each row of docs."""
     named = F.array(*[F.lit(t) for t in terms])
-    # explode_outer: explode would add a filter that takes the words apart once more
-    held = docs.select(F.explode_outer(F.array_intersect(words(F.col("text").cast("string")), named)).alias("term"))
-    found = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}
-    return docs.count(), {t: found.get(t, 0) for t in terms}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.md5(text).alias("text_key"), F.array_intersect(words(text), named).alias("held"))
+
+
+def document_frequencies(held: DataFrame) -> tuple[int, dict[str, int]]:
+    """Rows of docs, and in how many of them each term stands; a number for each term is all that the driver gets."""
+    counts = held.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return held.count(), {r["term"]: r["n"] for r in counts.collect()}
+
+
+def inverse_frequencies(held: DataFrame, terms: list[str]) -> tuple[dict[str, float], float]:
+    """Smoothed idf of each of the terms, and that of a word which is none of them."""
+    n, df = document_frequencies(held)
+    return {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in terms}, math.log(n + 1) + 1
 
 
 def needed_terms(weights: dict[str, float], threshold: float) -> list[str]:
@@ -70,17 +82,16 @@ def needed_terms(weights: dict[str, float], threshold: float) -> list[str]:
     return out
 
 
-def licence_lines(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def licence_lines(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, idfs: tuple[dict[str, float], float] | None = None) -> DataFrame:
     """(doc_id, path, text_words, matches array<struct<score, licence, line_words>>, text_key) of every row of docs (doc_id, path, text).
 
-    matches: the lines whose best template reaches the threshold, with that template (ties: the first by name).
+    matches: the lines whose best template reaches the threshold, with that template (ties: the first by name). idfs, as
+    inverse_frequencies makes them, are counted over docs if not given.
     """
     templates = templates or TEMPLATES
     counts = {name: _words(t) for name, t in sorted(templates.items())}
     terms = sorted({w for ws in counts.values() for w in ws})
-    n, df = document_frequencies(docs, terms)
-    idf = {t: math.log((n + 1) / (df[t] + 1)) + 1 for t in terms}
-    unseen = math.log(n + 1) + 1
+    idf, unseen = idfs or inverse_frequencies(terms_held(docs, terms), terms)
     weights = {name: {t: ws.count(t) * idf[t] for t in ws} for name, ws in counts.items()}
     needed = sorted({t for w in weights.values() for t in needed_terms(w, threshold)})
     holds = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(map(re.escape, needed)) + r")(?![\p{L}\p{N}])"
@@ -127,41 +138,67 @@ def licence_lines(docs: DataFrame, templates: dict[str, str] | None = None, thre
     return parted.select("doc_id", "path", F.when(F.size("matches") > 0, F.size(words(F.col("text")))).alias("text_words"), "matches", F.md5("text").alias("text_key"))
 
 
-def block_matches(docs: DataFrame, blocks: tuple = BLOCKS, threshold: float = THRESHOLD) -> DataFrame:
-    """(text_key, block array of score, licence and words, block_words) of every text that holds a block.
+def block_terms(blocks: tuple) -> list[tuple[str, str, dict[str, int]]]:
+    """(key, licence, count of each term) of each block."""
+    return [(f"{k}", name, {w: int(n) for w, n in zip(*[iter(text.split())] * 2)}) for k, (name, text) in enumerate(blocks)]
+
+
+def may_hold(held: Column, share: dict[str, float], least: float) -> Column:
+    """Whether the shares of the held terms, each rounded up by at most a LEVEL, sum to `least`: never false if they do."""
+    levels: dict[int, list[str]] = {}
+    for term, x in sorted(share.items()):
+        if x > 0:
+            levels.setdefault(math.floor(math.log(x) / math.log(LEVEL)) + 1, []).append(term)
+    total = F.lit(0.0)
+    for level, terms in sorted(levels.items()):
+        total += F.size(F.array_intersect(held, F.array(*[F.lit(t) for t in terms]))) * F.lit(LEVEL**level)
+    return total >= F.lit(least)
 
-    Units are a text as a whole and its runs of as many words as the block has. A unit reaches the threshold only if the
-    block's terms in the whole text make up threshold squared of its squared norm (Cauchy-Schwarz), so other texts are not
-    taken apart; this loses nothing. Best score, ties by name; block_words are those of the largest unit that matches.
+
+def block_matches(docs: DataFrame, held: DataFrame, idfs: tuple[dict[str, float], float], blocks: tuple = BLOCKS, threshold: float = THRESHOLD) -> DataFrame | None:
+    """(text_key, block array of score, licence and words, block_words) of every text that holds a block; None if there is none.
+
+    held: terms_held of docs with all terms of the blocks. Units are a text as a whole and its runs of as many words as
+    the block has. Two bounds keep other texts and runs from being taken apart, and lose nothing:
+    * a unit reaches the threshold only if the block's terms in the whole text make up threshold squared of the block's
+      squared norm (Cauchy-Schwarz); this is first asked of all blocks at once, by each term's largest share in any;
+    * a unit's norm is at least the root of the summed squared idf of its words, a sliding sum like its product.
+    Best score, ties by name; block_words are those of the largest unit that matches.
     """
     spark = docs.sparkSession
-    counts = [(f"{k}", name, {w: int(n) for w, n in zip(*[iter(text.split())] * 2)}) for k, (name, text) in enumerate(blocks)]
-    terms = sorted({w for _, _, c in counts for w in c})
-    n, df = document_frequencies(docs, terms)
-    idf = {t: math.log((n + 1) / (df[t] + 1)) + 1 for t in terms}
-    unseen = math.log(n + 1) + 1
-    rows = []
-    for key, name, c in counts:
+    idf, unseen = idfs
+    rows, share = [], {}
+    for key, name, c in block_terms(blocks):
         norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in c.items()))
-        rows += [(key, name, sum(c.values()), t, k * idf[t] / norm) for t, k in c.items()]
+        for t, k in c.items():
+            rows.append((key, name, sum(c.values()), t, k * idf[t] / norm))
+            share[t] = max(share.get(t, 0.0), (k * idf[t] / norm) ** 2)
     own = F.broadcast(spark.createDataFrame(rows, "block string, licence string, m int, term string, w double"))
-    idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.md5("text").alias("text_key"), "text")
-    named = F.array(*[F.lit(t) for t in terms])
-    held = texts.select("text_key", F.explode_outer(F.array_intersect(words(F.col("text")), named)).alias("term")).distinct()
-    gate = held.join(own, "term").groupBy("text_key", "block", "m").agg(F.sum(F.col("w") * F.col("w")).alias("s")).where(F.col("s") >= threshold * threshold - 1e-9)
+    least = threshold * threshold - 1e-9
+    some = held.where(may_hold(F.col("held"), share, least)).dropDuplicates(["text_key"])
+    gate = some.select("text_key", F.explode("held").alias("term")).join(own, "term").groupBy("text_key", "block", "m").agg(F.sum(F.col("w") * F.col("w")).alias("s")).where(F.col("s") >= least)
     pairs = cut(gate.select("text_key", "block", "m"), "licence-block-pairs")
-    n_pairs = pairs.count()
-    kept = texts.join(small(pairs.select("text_key").distinct(), n_pairs), "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", words(F.col("text")).alias("words"))
-    last = F.greatest(F.size("words") - F.col("m"), F.lit(0))
+    if not (n_pairs := pairs.count()):
+        return None
+    known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.md5("text").alias("text_key"), "text")
+    kept = cut(texts.join(small(pairs.select("text_key").distinct(), n_pairs), "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", words(F.col("text")).alias("words")), "licence-block-texts")
+    # runs that the second bound lets pass
+    at = kept.join(small(pairs, n_pairs), "text_key").select("text_key", "block", "m", F.size("words").alias("size"), F.posexplode("words").alias("at", "term"))
+    valued = at.join(known, "term", "left").join(own.select("block", "term", "w"), ["block", "term"], "left").withColumn("idf", F.coalesce("idf", F.lit(unseen)))
+    # in units of the block's length, so that one frame serves all blocks
+    ahead = "OVER (PARTITION BY text_key, block ORDER BY at / m RANGE BETWEEN CURRENT ROW AND 0.999999999D FOLLOWING)"
+    runs = valued.select("text_key", "block", "m", "size", "at", F.expr(f"sum(idf * coalesce(w, 0D)) {ahead}").alias("dot"), F.expr(f"sum(idf * idf) {ahead}").alias("least_square"))
+    last = F.greatest(F.col("size") - F.col("m"), F.lit(0))
     step = F.greatest(F.floor(F.col("m") / F.when(F.col("m") <= HEADER_WORDS, HEADER_STEPS).otherwise(BODY_STEPS)).cast("int"), F.lit(1))
-    starts = F.array_distinct(F.concat(F.array(F.lit(-1)), F.sequence(F.lit(0), last, step), F.array(last)))
-    units = kept.join(small(pairs, n_pairs), "text_key").select("text_key", "block", "m", "words", F.explode(starts).alias("at"))
+    starts = runs.where((F.col("at") <= last) & ((F.col("at") % step == 0) | (F.col("at") == last)) & (F.col("dot") >= F.sqrt("least_square") * F.lit(threshold - 1e-9)))
+    units = cut(starts.select("text_key", "block", "m", "at").unionByName(pairs.withColumn("at", F.lit(-1))), "licence-block-units")
     unit = F.when(F.col("at") < 0, F.col("words")).otherwise(F.slice("words", F.col("at") + 1, F.col("m")))
-    tf = units.select("text_key", "block", "at", F.explode(unit).alias("term")).groupBy("text_key", "block", "at", "term").agg(F.count("*").alias("tf"))
-    weighed = tf.join(idfs, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unseen))).join(own.select("block", "term", "w"), ["block", "term"], "left")
+    taken = kept.join(units, "text_key").select("text_key", "block", "at", F.explode(unit).alias("term"))
+    tf = taken.groupBy("text_key", "block", "at", "term").agg(F.count("*").alias("tf"))
+    weighed = tf.join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unseen))).join(own.select("block", "term", "w"), ["block", "term"], "left")
     sums = weighed.groupBy("text_key", "block", "at").agg(F.sum(F.col("x") * F.coalesce("w", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").cast("int").alias("n"))
-    labels = F.broadcast(spark.createDataFrame([(key, name) for key, name, _ in counts], "block string, licence string"))
+    labels = F.broadcast(spark.createDataFrame([(key, name) for key, name, _ in block_terms(blocks)], "block string, licence string"))
     hits = sums.where(F.col("dot") >= F.col("norm") * F.lit(threshold)).join(labels, "block")
     score = F.floor(F.col("dot") / F.col("norm") * 1e6 + 0.5) / 1e6
     best = hits.select("text_key", "n", score.alias("score"), "licence").groupBy("text_key").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence", "n")).alias("b"), F.max("n").alias("block_words"))
@@ -177,13 +214,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     """(doc_id, path, own_licence, score, licence, basis, from_dir) of every row of docs (doc_id, path, text).
 
     own_licence: that of the best matching line, run of words or whole text (ties: the first by name); given templates
-    replace the notices and the blocks. Licence files, by name or because what matches holds half of their words, give their licence to their directory (several: the best score, then name). A file
-    without an own licence has that of the nearest directory at or above it which has one; basis is own, inherited or
-    none. Null texts match nothing; a null path is in no directory. Repeated rows each have their result.
+    replace the notices and the blocks. Licence files, by name or because what matches holds half of their words, give
+    their licence to their directory (several: the best score, then name). A file without an own licence has that of the
+    nearest directory at or above it which has one; basis is own, inherited or none. Null texts match nothing; a null path is in no directory. Repeated rows each have their result.
     """
-    lines = licence_lines(docs, templates, threshold)
+    blocks, terms = None, {w for t in (templates or TEMPLATES).values() for w in _words(t)}
+    if not templates:
+        terms = sorted(terms.union(*(c for _, _, c in block_terms(BLOCKS))))
+        held = cut(terms_held(docs, terms), "licence-terms")
+        idfs = inverse_frequencies(held, terms)
+        blocks = block_matches(docs, held, idfs, BLOCKS, threshold)
+    lines = licence_lines(docs, templates, threshold, None if templates else idfs)
     empty = F.array().cast(lines.schema["matches"].dataType)
-    blocks = None if templates else cut(block_matches(docs, BLOCKS, threshold), "licence-blocks")
+    blocks = cut(blocks, "licence-blocks") if blocks else None
     if blocks is None or not (n_blocks := blocks.count()):
         lines = lines.withColumn("block_words", F.lit(0)).withColumn("lines", F.col("matches"))
     else:
