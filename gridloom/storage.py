@@ -78,7 +78,16 @@ def cut(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     if kept:
         _kept.add(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of cut() at the end of the present scratch(), which must write what replaces it."""
+    path, written = getattr(df, "_scratch_path", None), _written.get()
+    if path and written is not None:
+        written.append(path)
 
 
 def width(value: Column, kind: DataType) -> Column | int:
