@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, range_index, range_plan
+from gridloom.llm.common import cut, range_index, range_plan, small
 
 #: Minimum hashes of a fingerprint. Each is 16 bits; 0 marks a bin that no phrase fell into.
 BINS = 128
@@ -103,28 +103,38 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
+#: Bytes of a text by which rows of one id are dealt to ranges, in the order of their texts.
+TIE_BYTES = 7
+
+
+def _tie(text: Column) -> Column:
+    """0 to 256 ** TIE_BYTES - 1: the larger, the earlier a text comes among rows of its id."""
+    first = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, TIE_BYTES)), 2 * TIE_BYTES, "0")
+    return F.lit(256**TIE_BYTES - 1) - F.conv(first, 16, 10).cast("long")
+
+
 def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """docs' (doc_id, text) dealt into ranges of doc_id, descending, each with the row that follows it as a guest.
 
     Columns part, guest (0, or 1 for the first row of the next range), doc_id, text; sorted within partitions, null ids
-    last, rows of one id by text. The rows of a range reach one task; ranges have about equal numbers of characters.
-    The guests' ids, one for each range, are all that the driver sees.
+    last, rows of one id by text. A range has about range_chars characters, more where there would be over MOST_RANGES of
+    them; a task reads its rows one by one, so their number costs no memory. The driver sees the first id of each range.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sizes = cut(rows.select("doc_id", F.length("text").cast("long").alias("n")), "lengths")
-    ranges = range_plan(sizes, "doc_id", F.col("n") + 64, range_chars) or [(0, 0)]
-    upward = F.coalesce(range_index(F.col("doc_id"), ranges), F.lit(0))
-    part = (F.lit(len(ranges) - 1) - upward).cast("int")  # descending; null ids go with the least
-    heads = dict(sizes.where("doc_id is not null").groupBy(part.alias("part")).agg(F.max("doc_id")).collect())
-    full = sorted(heads)
-    # the range before, in descending order, also gets the first row of each range; the first range's goes to the last
-    to = [(heads[full[(k + 1) % len(full)]], p) for k, p in enumerate(full)]
-    dealt = rows.select(part.alias("part"), F.lit(0).alias("guest"), "doc_id", "text")
-    if to:
-        guests = spark.createDataFrame(to, "doc_id long, part int")
-        first = rows.join(F.broadcast(guests), "doc_id").select("part", F.lit(1).alias("guest"), "doc_id", "text")
-        dealt = dealt.unionByName(first)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", _tie(F.col("text")))
+    sizes = cut(rows.select("doc_id", "tie", F.length("text").cast("long").alias("n")), "lengths")
+    ranges = range_plan(sizes, "doc_id", F.col("n") + 64, range_chars, F.col("tie"), 256**TIE_BYTES)
+    # ranges ascend, parts descend; nulls are below all ids
+    part = (F.lit(len(ranges) - 1) - range_index(F.col("doc_id"), ranges, F.col("tie"))).cast("int")
+    head = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("h")
+    heads = sorted((r["part"], r["h"]["doc_id"], r["h"]["tie"]) for r in sizes.groupBy(part.alias("part")).agg(head).collect())
+    # the part before also gets the first row of each part; the first part's goes to the last
+    to = [(heads[(k + 1) % len(heads)][1], heads[(k + 1) % len(heads)][2], p) for k, (p, _, _) in enumerate(heads)]
+    guests = small(spark.createDataFrame(to, "head_id long, head_tie long, to int"), len(to))
+    own = F.struct(part.alias("part"), F.lit(0).alias("guest"))
+    first = F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("part"), F.lit(1).alias("guest")))
+    named = rows.join(guests, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie")), "left")
+    dealt = named.select(F.explode(F.array_compact(F.array(own, first))).alias("x"), "doc_id", "text").select("x.part", "x.guest", "doc_id", "text")
     return dealt.repartitionById(len(ranges), F.col("part")).sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
 
 
@@ -177,6 +187,8 @@ def compare_edits(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
                 if len(rows) > 512:
                     yield batch(rows[:-1], rows[-1][3])
                     rows = rows[-1:]
+        if held is not None and not done:
+            raise RuntimeError(f"no document follows {held[0]}")
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     return with_next(docs, range_chars).select("guest", "doc_id", "text").mapInArrow(run, _OUT)

@@ -13,6 +13,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -25,10 +26,15 @@ from gridloom.llm.common import cut, parts_for, range_index, range_plan, scratch
 DATE = "2020-01-01T00:00:00Z"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:gridloom:warc")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payload of a shard (more when there would be over MOST_SHARDS of them), and the compressed size from which a file is rolled.
-SHARD_BYTES, MOST_SHARDS, ROLL_BYTES = 16 << 20, 20_000, 4 << 20
+#: Payload of a shard, about (more where there would be over common.MOST_RANGES of them), and the compressed size from which
+#: a file is rolled. A shard is the part of one task and says nothing of the files' sizes.
+SHARD_BYTES, ROLL_BYTES = 16 << 20, 4 << 20
+#: Hex digits of the digest by which the records of one page id are dealt to shards.
+TIE_DIGITS = 15
 #: Payloads of at least so many bytes are written once.
 REVISIT_BYTES = 0
+#: Records and payload that the reader hands on at once.
+BATCH_RECORDS, BATCH_BYTES = 256, 8 << 20
 _MANIFEST = "file string, shard int, seq int, records long, bytes long, sha256 string, least_id long, greatest_id long"
 
 
@@ -103,8 +109,9 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
 
     The payload is html in UTF-8 (null: empty). Of records with equal payloads of at least revisit_bytes, the one with the
     largest page_id is a response and the others are revisits of it; where rows repeat that id and payload, the first is
-    the response. Null ids come first in the first shard and are responses only if no id has their payload. No pages: no
-    file and an empty manifest.
+    the response. Null ids come first, and are responses only if no id has their payload; records of one id follow each
+    other by digest, and many of them have several shards. No pages: no file and an empty manifest. A payload is held in
+    memory whole, but only one at a time.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -114,20 +121,19 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
     # written, so that a payload that many pages share can be split over tasks in the join
     repeated = cut(counted.select("digest", "first_id"), "repeated-payloads")
     marks = cut(meta.join(small(repeated, repeated.count()), "digest").select("page_id", "digest", "first_id").distinct(), "revisits")
-    total = meta.agg(F.sum("size")).first()[0]
-    if total is None:
-        return cut(spark.createDataFrame([], _MANIFEST), "manifest")
-    ranges = range_plan(meta, "page_id", F.col("size") + 512, max(shard_bytes, total // MOST_SHARDS)) or [(0, 0)]
-    shard = F.coalesce(range_index(F.col("page_id"), ranges), F.lit(0)).cast("int")
+    tie = F.conv(F.substring("digest", 1, TIE_DIGITS), 16, 10).cast("long")
+    ranges = range_plan(meta, "page_id", F.col("size") + 512, shard_bytes, tie, 16**TIE_DIGITS)
+    shard = range_index(F.col("page_id"), ranges, tie).cast("int")
     dealt = (
-        rows.select(shard.alias("shard"), "page_id", F.lit(1).alias("kind"), F.sha1("html").alias("digest"), "url", "html", F.lit(None).cast("long").alias("first_id"))
+        rows.withColumn("digest", F.sha1("html"))
+        .select(shard.alias("shard"), "page_id", F.lit(1).alias("kind"), "digest", "url", "html", F.lit(None).cast("long").alias("first_id"))
         .unionByName(marks.select(shard.alias("shard"), "page_id", F.lit(0).alias("kind"), "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first_id"))
         .repartitionById(len(ranges), F.col("shard"))
-        .sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
+        .sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, current, marked, copies = _Roller(folder, roll_bytes), None, {}, {}
+        roller, current, marked, first_id, k = _Roller(folder, roll_bytes), None, False, None, 0
 
         def told(files) -> Iterator[pa.RecordBatch]:
             for f in files:
@@ -135,14 +141,14 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
 
         for b in batches:
             for at, page, kind, digest, url, html, first in zip(*(c.to_pylist() for c in b.columns)):
-                if (at, page) != current:
-                    current, marked, copies = (at, page), {}, {}
+                if (at, page, digest) != current:
+                    current, marked, first_id, k = (at, page, digest), False, None, -1
                 if kind == 0:
-                    marked[digest] = first
+                    marked, first_id = True, first
                     continue
-                k = copies[digest] = copies.get(digest, -1) + 1
-                again = digest in marked and (marked[digest] != page or k > 0)
-                yield from told(roller.add(at, page, record(page, k, url, html.encode(), marked.get(digest), again)))
+                k += 1
+                again = marked and (first_id != page or k > 0)
+                yield from told(roller.add(at, page, record(page, k, url, html.encode(), first_id, again)))
         yield from told(roller.close())
 
     names = [x.split()[0] for x in _MANIFEST.split(", ")]
@@ -151,12 +157,24 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
     return cut(dealt.mapInArrow(run, _MANIFEST), "manifest")
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive; a member is unpacked at a time."""
-    while content:
-        unpacker = zlib.decompressobj(31)
-        raw = unpacker.decompress(content)
-        content = unpacker.unused_data
+def members(source: BinaryIO, step: int = 1 << 16) -> Iterator[bytes]:
+    """What each gzip member of a stream unpacks to; read `step` bytes at a time, so a file costs no more than its largest record."""
+    unpacker, found, left = zlib.decompressobj(31), [], source.read(step)
+    while left:
+        found.append(unpacker.decompress(left))
+        left = unpacker.unused_data
+        if unpacker.eof:
+            yield b"".join(found)
+            unpacker, found = zlib.decompressobj(31), []
+        # what is left over is at most one step, so handing it on costs little; then the stream goes on
+        left = left or source.read(step)
+    if found:
+        raise ValueError("the archive ends within a record")
+
+
+def parse(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive."""
+    for raw in members(source):
         head, _, rest = raw.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         if version != "WARC/1.1":
@@ -168,38 +186,52 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+class _Hashed:
+    """A stream that sums what is read from it."""
+
+    def __init__(self, source: BinaryIO):
+        self.source, self.sha = source, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        got = self.source.read(n)
+        self.sha.update(got)
+        return got
+
+
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, file) of every record of the manifest's files.
 
     payload is null for revisits; its size and digest are those of the full payload. A file with other bytes than the
-    manifest says is an error.
+    manifest says, or with a damaged record, is an error. Files are read as streams, a record at a time.
     """
     wanted = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "file": pa.string()}
     schema = pa.schema(list(wanted.items()))
-    step = 256
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), wanted.values())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, sha in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 store, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
                 with store.open_input_stream(path, compression=None) as f:
-                    content = f.read()
-                if hashlib.sha256(content).hexdigest() != sha:
+                    source, rows, held = _Hashed(f), [], 0
+                    for fields, block in parse(source):
+                        http, _, payload = block.partition(b"\r\n\r\n")
+                        size = next(int(line.split(b":")[1]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:"))
+                        digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
+                        if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
+                            raise ValueError(f"damaged payload in {fields['warc-record-id']}")
+                        number = lambda k: int(fields[k]) if k in fields else None
+                        rows.append((number("x-page-id"), fields.get("warc-target-uri"), payload.decode() if kind == "response" else None, size, digest, kind, number("x-refers-to-page-id"), name))
+                        held += len(payload)
+                        if len(rows) >= BATCH_RECORDS or held >= BATCH_BYTES:
+                            yield batch(rows)
+                            rows, held = [], 0
+                if source.sha.hexdigest() != sha:
                     raise ValueError(f"{name} has other bytes than its manifest says")
-                rows = []
-                for fields, block in parse(content):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    size = next(int(line.split(b":")[1]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:"))
-                    digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
-                    if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
-                        raise ValueError(f"damaged payload in {fields['warc-record-id']}")
-                    number = lambda k: int(fields[k]) if k in fields else None
-                    rows.append((number("x-page-id"), fields.get("warc-target-uri"), payload.decode() if kind == "response" else None, size, digest, kind, number("x-refers-to-page-id"), name))
-                    if len(rows) >= step:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), wanted.values())], schema=schema)
-                        rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), wanted.values())], schema=schema)
+                    yield batch(rows)
 
     files = manifest.select("file", "sha256")
     return files.repartition(parts_for(spark, files.count(), 8)).mapInArrow(run, "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string")

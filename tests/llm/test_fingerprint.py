@@ -61,3 +61,19 @@ def test_odd_rows(odd_docs, no_docs, spark):
     one = fp.compare_edits(spark.createDataFrame([(1, "abcabc")], "doc_id long, text string")).collect()
     assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abcaab").hexdigest()
     assert fp.likeness(fp.minima([]), fp.minima([])) == 1.0 and fp.likeness(fp.minima([]), fp.minima(["a"])) == 0.0
+
+
+def test_hot_and_null_ids_are_split(spark):
+    rows = [(7, f"{k * 37 % 200:03d} text of one id") for k in range(200)] + [(None, f"{k * 53 % 200:03d} no id") for k in range(200)] + [(9, "first"), (1, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.near_next) for r in fp.compare_edits(docs, 2000).collect()]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        want.append((i, len(t), hashlib.sha256(fp.edited_text(t, after).encode()).hexdigest(), fp.likeness(fp.minima(lz78(t)), fp.minima(lz78(after)))))
+    key = lambda r: (r[0] or 0, *r[1:])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert fp.with_next(docs, 2000).where("doc_id = 7 and guest = 0").select("part").distinct().count() > 3
+    none = docs.where("doc_id is null")
+    assert fp.compare_edits(none, 2000).count() == 200

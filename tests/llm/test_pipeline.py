@@ -1,9 +1,12 @@
+import os
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import decontam, langid, pii, simhash
-from gridloom.llm.common import cut, range_index, range_plan
+from gridloom.llm.common import cut, range_index, range_plan, scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,10 +51,25 @@ def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs):
         assert docs.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "exact"]
 
 
-@pytest.mark.parametrize("keys", [[5], list(range(0, 1000, 7)), [1] * 50 + [10**15, -(10**15)] + list(range(100))])
-def test_ranges_cover_all_keys(spark, keys):
-    df = spark.createDataFrame([(k,) for k in keys], "k long")
-    ranges = range_plan(df, "k", F.lit(10), 100, fine=16)
-    assert ranges[0][0] == min(keys) and ranges[-1][1] == max(keys) and all(a[1] + 1 == b[0] for a, b in zip(ranges, ranges[1:]))
-    for r in df.select("k", range_index(F.col("k"), ranges).alias("i")).collect():
-        assert ranges[r.i][0] <= r.k <= ranges[r.i][1]
+@pytest.mark.parametrize("keys", [[5], list(range(0, 1000, 7)), [1] * 50 + [10**15, -(10**15)] + list(range(100)), [None] * 60 + [3] * 60 + [-(2**63), 2**63 - 1], [None]])
+def test_ranges_follow_keys_and_ties(spark, keys):
+    rows = [(k, i * 7919 % 1000) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k long, t long")
+    ranges = range_plan(df, "k", F.lit(10), 100, F.col("t"), 1000, fine=16)
+    got = [(r.k is not None, r.k or 0, r.t, r.i) for r in df.select("k", "t", range_index(F.col("k"), ranges, F.col("t")).alias("i")).collect()]
+    assert [x[3] for x in sorted(got)] == sorted(x[3] for x in got) and len(got) == len(keys)  # in order
+    sizes = Counter(x[3] for x in got)
+    assert set(sizes) == set(range(len(ranges))) and max(sizes.values()) <= 30
+
+
+def test_a_plan_has_a_bounded_number_of_ranges_and_jobs(spark):
+    df = spark.range(20000).select((F.col("id") * F.col("id")).alias("k"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    ranges = range_plan(df, "k", F.lit(10), 10, most=50, fine=16)
+    assert 20 < len(ranges) <= 50 and len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before < 20
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    with scratch(spark):
+        gone, stays = cut(spark.range(3), "gone"), cut(spark.range(4), "stays", kept=True)
+    assert stays.count() == 4 and not any(os.path.exists(p.removeprefix("file://").removeprefix("file:")) for p in gone.inputFiles())

@@ -1,6 +1,9 @@
 import base64
 import gzip
 import hashlib
+import io
+
+import pytest
 
 from gridloom.llm import warc
 from gridloom.llm.common import scratch_path
@@ -54,3 +57,43 @@ def test_small_payloads_are_not_revisited(spark):
 
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_one_page_id_and_null_ids_are_split(spark):
+    rows = [(7 if k % 2 else None, f"http://h/{k}", f"text {k % 150} " * 20) for k in range(300)]
+    folder = scratch_path(spark, "warc-test")
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, shard_bytes=4000)
+    got = warc.read_archives(spark, folder, manifest).collect()
+    assert sorted((r.page_id or 0, r.payload_digest) for r in got) == sorted((i or 0, warc.payload_digest(h.encode())) for i, _, h in rows)
+    assert len({r.file.split("-")[1] for r in got if r.page_id is None}) > 5 and len({r.file.split("-")[1] for r in got if r.page_id}) > 5
+    assert sum(r.record_type == "response" for r in got) == 150
+
+
+def test_a_task_that_runs_again_leaves_the_same_archive(spark):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    folder = scratch_path(spark, "warc-test")
+    first = warc.write_archives(pages, folder, shard_bytes=2000)
+    again = warc.write_archives(pages, folder, shard_bytes=2000)  # over the parts that are there
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
+    assert warc.read_archives(spark, folder, first).count() == len(ROWS)
+
+
+def test_damage_is_an_error(spark):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    folder = scratch_path(spark, "warc-test")
+    manifest = warc.write_archives(pages, folder)
+    path = f"{folder.removeprefix('file://')}/{manifest.first().file}"
+    with open(path, "rb") as f:
+        raw = f.read()
+    for bad in (raw[:-20], raw[:100] + bytes([raw[100] ^ 255]) + raw[101:], raw + gzip.compress(b"WARC/1.1\r\n\r\n")):
+        with open(path, "wb") as f:
+            f.write(bad)
+        with pytest.raises(Exception):
+            warc.read_archives(spark, folder, manifest).collect()
+
+
+def test_members_over_many_reads():
+    parts = [b"", b"a", b"b" * 5000, bytes(range(256)) * 300]
+    raw = b"".join(gzip.compress(p) for p in parts)
+    for step in (1, 7, 1 << 16):
+        assert list(warc.members(io.BytesIO(raw), step)) == parts
