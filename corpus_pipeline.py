@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontam, langid, pii, simhash
-from gridloom.llm.common import cut, documents
+from gridloom.llm.common import cut, documents, release, scratch
 from gridloom.llm.queries import tokenizer_path
 
 
@@ -57,5 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the whole documents table."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):  # a stage's own tables, and what it read, go when its result is written
+            release(docs)
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{name}", kept=True)
     return docs
