@@ -101,10 +101,11 @@ def expand(x: np.ndarray) -> np.ndarray:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: mean x and mean y of each block, by x."""
+    """Pool adjacent violators: mean x and mean y of each block, by x. Equal x are one point, of their mean y."""
     blocks: list[list[float]] = []
-    for a, b in sorted(zip(x.tolist(), y.tolist())):
-        blocks.append([a, b, 1.0])
+    at, which, times = np.unique(x, return_inverse=True, return_counts=True)
+    for a, b, n in zip(at.tolist(), (np.bincount(which, y, len(at)) / times).tolist(), times.tolist()):
+        blocks.append([a, b, float(n)])
         while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
             c, d = blocks.pop(), blocks.pop()
             n = c[2] + d[2]
@@ -156,7 +157,8 @@ def fit(table: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     sums = summed(learn, equations)
     d = FEATURES + 1
     model.weight = np.linalg.solve(sums[: d * d].reshape(d, d) + RIDGE * rows * np.eye(d), sums[d * d :])
-    held = check.select("stats", "y").collect() or learn.select("stats", "y").limit(1000).collect()
+    # without a row to calibrate on, the rows learned from do; the sample's size bounds both
+    held = check.select("stats", "y").collect() or learn.select("stats", "y").collect()
     raw = model.raw(np.array([r["stats"] for r in held], np.float64).reshape(-1, m))
     model.knots, model.values = isotonic(raw, np.array([r["y"] for r in held]))
     return model
