@@ -50,18 +50,21 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     """(doc_id, item_id, n_item, n_found, containment): the documents that hold at least `threshold` of an item's shingles.
 
     Shingles are five words, in lower case; an item of fewer words is one shingle, which only a document of the same words
-    has. Null texts and ids: no match. Equal items each have their own rows. Documents are read twice: for the search, and
+    has (a phrase of a few words is no evidence in a long text). Null texts and ids: no match. Equal items each have their
+    own rows; no documents or no items: no rows. Documents are read twice: for the search, and
     those found again for the count; neither moves a text unless the found ids pass the broadcast bound.
     """
     parts = cut(item_shingles(items, threshold), "item-shingles")
     n_parts = parts.count()
-    texts = docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull()).select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingle_hashes(F.col("w")).alias("hs"))
+    texts = docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull()).select("doc_id", "text")
+    hashed = lambda t: t.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingle_hashes(F.col("w")).alias("hs"))
     signature = parts.where("signature").groupBy("h").agg(F.collect_list("item_id").alias("items"))
-    held = texts.select("doc_id", F.explode_outer("hs").alias("h")).join(small(signature, n_parts), "h").select("doc_id", F.explode("items").alias("item_id"))
+    held = hashed(texts).select("doc_id", F.explode_outer("hs").alias("h")).join(small(signature, n_parts), "h").select("doc_id", F.explode("items").alias("item_id"))
     found = cut(held.distinct(), "candidates")
     ids = found.select("doc_id").distinct()
     n_found = found.count()
-    again = texts.join(small(ids, n_found), "doc_id", "left_semi").select("doc_id", F.explode_outer(F.array_distinct("hs")).alias("h"))
+    # joined before it is taken into words, so only the texts found are
+    again = hashed(texts.join(small(ids, n_found), "doc_id", "left_semi")).select("doc_id", F.explode_outer(F.array_distinct("hs")).alias("h"))
     # explode_outer: explode would add a filter on the array's size, which pushed down takes the words apart again and again
     # the count: (document, shingle) meets the items that the search found in this document
     wanted = again.join(small(parts.select("item_id", "h", "n"), n_parts), "h")
@@ -72,7 +75,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that hold no item; all columns stay as they are. Rows without an id are searched by no one and stay."""
+    """The rows of docs that hold no item; all columns stay as they are.
+
+    Rows without an id are searched by no one and stay. Rows that repeat an id stay or go together; no documents: no rows.
+    """
     bad_id = fresh(docs, "_bad_id")
     bad = cut(contained_items(docs.select("doc_id", "text"), items, threshold).select(F.col("doc_id").alias(bad_id)).distinct(), "contaminated")
     return docs.join(small(bad, bad.count()), docs["doc_id"] == F.col(bad_id), "left_anti")
