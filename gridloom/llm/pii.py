@@ -1,10 +1,11 @@
 """Personal data: patterns for the entities themselves, and corpus co-occurrence for the terms that give them away.
 
-Every entity found (email, ip, card, phone) has windows: the words next to it. A term discloses an entity if it stands
-in several different windows of that entity (in all of them, if they are fewer), more than once, and at least half of the
-term's occurrences in the whole corpus are beside the entity; copies count on both sides of that share, so that
-whoever reads the term can tell the entity. Such terms are spans too, wherever they stand in any text: beside the entity,
-further off, and in texts that do not name it.
+Every entity found (email, ip, card, phone) has windows: the words next to it. What a term tells of an entity is measured
+in bits, over the words of all different texts (copies tell no more than one of them): the entity's surprisal is that of its
+share of all word places, and falls to that of its share of the term's places once the term is read. A term discloses an
+entity if at most MOST_LEFT bits are left and at least LEAST_GAIN bits are gained. It also has to stand beside the entity
+more than once, and in several different windows of it (in all, if they are fewer). Such terms are spans too, wherever they
+stand in any text: beside the entity, further off, and in texts that do not name it.
 """
 
 from __future__ import annotations
@@ -13,13 +14,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, fresh, small, trim
+from gridloom.llm.common import Bloom, cut, fresh, small, trim
 
 KINDS = ("email", "ip", "card", "phone")
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -30,14 +30,14 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 WORD = re.compile(r"[^\W\d_]{3,}")
+#: Words of which a worker remembers what the filter says.
+KEPT_WORDS = 200_000
 #: Words on each side of an entity that can disclose it, and the characters in which they are looked for.
 SIDE_WORDS, SIDE_CHARS = 5, 160
-#: A term discloses an entity if so many different windows of it hold the term, and that share of all its occurrences.
-LEAST_WINDOWS, LEAST_SHARE = 3, 0.5
-#: An entity with fewer different windows is disclosed by what all of them hold; one occurrence shows nothing.
-LEAST_TIMES = 2
-#: Bits of the filter that keeps the second reading's counts to terms that may matter.
-FILTER_BITS = 23
+#: Bits of an entity's surprisal that may be left when a term is read for it to be disclosed, and that must be gained.
+MOST_LEFT, LEAST_GAIN = 1.0, 1.0
+#: Different windows of an entity that must hold the term (all, if it has fewer), and places beside it: one shows nothing.
+LEAST_WINDOWS, LEAST_TIMES = 3, 2
 
 
 def luhn(digits: str) -> bool:
@@ -136,43 +136,41 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
-def _filter_words(terms: DataFrame) -> np.ndarray:
-    """A Bloom filter of the terms (column term): at most 2 ** (FILTER_BITS - 6) numbers reach the driver."""
-    h = F.xxhash64("term")
-    bits = terms.select(F.explode(F.array(*[F.shiftrightunsigned(h, s).bitwiseAND((1 << FILTER_BITS) - 1) for s in (0, 20, 40)])).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for r in words.collect():
-        out[r["w"]] = np.uint64(r["v"] % (1 << 64))
-    return out
-
-
-class Maybe:
-    """Whether a word may be one of the terms that a filter was made of; a term itself always may."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+def term_totals(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, int]:
+    """(term, total): at how many places of all different texts of docs each of the terms stands, and all words' places.
 
-    def __call__(self, word: str) -> bool:
-        h, mask = xxhash.xxh64_intdigest(word.encode(), 42), (1 << FILTER_BITS) - 1
-        return all(int(self.bits[(h >> s & mask) >> 6]) >> (h >> s & 63) & 1 for s in (0, 20, 40))
-
-
-def term_totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, total): how often each of the terms stands in all of docs, in lower case."""
-    sent = docs.sparkSession.sparkContext.broadcast(_filter_words(terms))
+    Texts are told apart by a 64-bit hash.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(Bloom(terms, "term"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = Maybe(sent.value)
+        maybe, known = sent.value, {}
         for b in batches:
-            found: Counter = Counter()
-            for t in b.column(0):
-                found.update(WORD.findall(t.as_py() or ""))
-            kept = [(w, n) for w, n in ((w.lower(), n) for w, n in found.items()) if maybe(w)]  # as windows() writes terms
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["term", "n"])
-
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("total"))
-    return counts.join(terms, "term", "left_semi")
+            rows: list[tuple] = []
+            seen: set[int] = set()
+            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if key in seen:
+                    continue
+                seen.add(key)
+                found = Counter(WORD.findall(t or ""))
+                rows.append((key, None, sum(found.values())))
+                kept: Counter = Counter()
+                for word, n in found.items():
+                    if (term := known.get(word)) is None:
+                        low = word.lower()  # as windows() writes terms
+                        term = known[word] = low if maybe(low) else ""
+                    if term:
+                        kept[term] += n
+                rows += [(key, term, n) for term, n in kept.items()]
+            if len(known) > KEPT_WORDS:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["text", "term", "n"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    each = docs.select(F.xxhash64(text).alias("text"), text).mapInArrow(run, "text long, term string, n long").groupBy("text", "term").agg(F.max("n").alias("n"))
+    counts = cut(each.groupBy("term").agg(F.sum("n").alias("total")), "term-totals")
+    words = counts.where("term is null").first()
+    return counts.where("term is not null").join(terms, "term", "left_semi"), words["total"] if words else 0
 
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -180,10 +178,10 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     The filter leaves out texts and words that cannot be meant; what it lets through is joined with the terms themselves.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(_filter_words(terms))
+    sent = docs.sparkSession.sparkContext.broadcast(Bloom(terms, "term"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = Maybe(sent.value)
+        maybe = sent.value
         for b in batches:
             known: dict[str, bool] = {}
             rows: list[tuple] = []
@@ -211,17 +209,31 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found.join(small(terms), "term", "left_semi").select("text_key", "start", "end").distinct()
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, least_windows: int = LEAST_WINDOWS, least_share: float = LEAST_SHARE) -> DataFrame:
+def bits(times: Column, total: Column, slots: Column, words: int) -> tuple[Column, Column]:
+    """Bits of an entity's surprisal that are left when a term is read, and bits gained (their pointwise mutual information).
+
+    The entity has `slots` of all `words` places beside it; the term stands beside it at `times` of its `total` places,
+    smoothed by one more place that is as likely beside it as any.
+    """
+    before = slots / F.lit(float(max(1, words)))
+    after = (times + before) / (total + 1)
+    return -F.log2(after), F.log2(after / before)
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, most_left: float = MOST_LEFT, least_gain: float = LEAST_GAIN) -> DataFrame:
     """(text_key, terms): the spans of disclosing terms, joined as text, of every text of docs that has any."""
-    near = scanned.where(F.size("near") > 0).select("text_key", F.explode("near").alias("x")).select("text_key", "x.*")
+    # a text counts once, however many rows have it
+    near = scanned.where(F.size("near") > 0).select("text_key", "near").dropDuplicates(["text_key"]).select(F.explode("near").alias("x")).select("x.*")
+    near = cut(near.select("entity", "term", "window", "again"), "near")
     joint = near.groupBy("entity", "term").agg(F.count_distinct("window").alias("windows"), F.count_if(~F.col("again")).alias("times")).where(F.col("times") >= LEAST_TIMES)
-    each = near.groupBy("entity").agg(F.least(F.count_distinct("window"), F.lit(least_windows)).alias("asked"))
+    each = near.groupBy("entity").agg(F.least(F.count_distinct("window"), F.lit(LEAST_WINDOWS)).alias("asked"), F.count_if(~F.col("again")).alias("slots"))
     pairs = cut(joint.join(each, "entity").where(F.col("windows") >= F.col("asked")), "joint")
     terms = cut(pairs.select("term").distinct(), "terms")
     if terms.isEmpty():  # no term can pass, so the corpus need not be read again
         return scanned.sparkSession.createDataFrame([], "text_key string, terms string")
-    totals = term_totals(docs, terms)
-    passed = cut(pairs.join(totals, "term").where(F.col("times") >= F.col("total") * F.lit(least_share)).select("entity", "term"), "disclosing")
+    totals, words = term_totals(docs, terms)
+    left, gain = bits(F.col("times"), F.col("total"), F.col("slots"), words)
+    passed = cut(pairs.join(totals, "term").where((left <= most_left) & (gain >= least_gain)).select("entity", "term"), "disclosing")
     if passed.isEmpty():
         return scanned.sparkSession.createDataFrame([], "text_key string, terms string")
     spans = occurrences(docs, passed.select("term").distinct())
@@ -232,7 +244,8 @@ def disclosing(docs: DataFrame, scanned: DataFrame, least_windows: int = LEAST_W
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) of every row of docs; other columns are ignored.
 
-    Null and empty texts have no spans. Repeated rows each have theirs. base and spans are `kind:start:end`, joined by
+    Null and empty texts have no spans. Repeated rows each have theirs and count once. No documents: no rows. Texts are
+    read whole, however long. base and spans are `kind:start:end`, joined by
     commas, by kind (email, ip, card, phone, then term) and start.
     """
     scanned = cut(scan(docs), "pii")
@@ -259,7 +272,8 @@ def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with personal data and disclosing terms in `text` replaced by their kind; all columns and rows stay.
 
-    n_chars, where docs has it, follows the new text. Null texts stay null.
+    n_chars, where docs has it, follows the new text. Null texts stay null. Repeated rows stay and count once; no
+    documents: no rows.
     """
     scanned = cut(scan(docs).where(F.size("near") > 0), "pii")
     key, found = fresh(docs, "_key"), fresh(docs, "_terms")

@@ -1,6 +1,9 @@
 import hashlib
+import math
 import re
+from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -53,34 +56,60 @@ def test_documents(spark):
 
 
 def disclosed(texts):
-    """{text: {(start, end)}} by counting over all texts."""
-    wins, totals, near = {}, {}, []
-    for t in texts:
-        for w in pii.WORD.findall(t.lower()):
-            totals[w] = totals.get(w, 0) + 1
+    """{text: {(start, end)}} by counting over all different texts."""
+    wins, slots, times, totals = {}, Counter(), Counter(), Counter()
+    different = {t or "" for t in texts}
+    for t in different:
+        totals.update(w.lower() for w in pii.WORD.findall(t))
+        places = set()
         for x in pii.windows(t, pii.base_spans(t)):
-            wins.setdefault((x["entity"], x["term"]), set()).add(x["window"])
-            near.append((t, x))
-    ok = {k for k, v in wins.items() if len(v) >= pii.LEAST_WINDOWS and len(v) >= pii.LEAST_SHARE * totals[k[1]]}
+            wins.setdefault(x["entity"], {}).setdefault(x["term"], set()).add(x["window"])
+            if (x["entity"], x["start"]) not in places:
+                places.add((x["entity"], x["start"]))
+                slots[x["entity"]] += 1
+                times[x["entity"], x["term"]] += 1
+    ok, words = set(), sum(totals.values())
+    for (entity, term), n in times.items():
+        asked = min(3, len(set().union(*wins[entity].values())))
+        before = slots[entity] / words
+        after = (n + before) / (totals[term] + 1)
+        if n >= 2 and len(wins[entity][term]) >= asked and -math.log2(after) <= 1 and math.log2(after / before) >= 1:
+            ok.add(term)
     out = {}
-    for t, x in near:
-        if (x["entity"], x["term"]) in ok:
-            out.setdefault(t, set()).add((x["start"], x["end"]))
+    for t in different:
+        out[t] = {m.span() for m in pii.WORD.finditer(pii.blanked(t, brute(t))) if m.group().lower() in ok}
     return out
 
 
-def test_terms_that_disclose(spark):
-    mail = "zed@mail.example.org"
-    texts = [f"one{c} Zanzibar writes {mail} and the{c} rest" for c in "abcd"] + [f"the common writes {c} and" for c in "efghijkl"] + ["No person here, Zanzibar aside."]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+ZED = [f"one{c} Zanzibar writes zed@mail.example.org and the{c} rest" for c in "abcd"] + [f"the common writes {c} and" for c in "efghijkl"] + ["No person here, Zanzibar aside.", None, ""]
+MIXED = [f"Holder{'abcdefghi'[k]} {w} {x} call +1 555 010 {k}{k}77 for {w} or {x}{k}" for k in range(1, 9) for w in ("Ada", "Quagga") for x in ("now", "then")] + [f"Ada {x} Quagga {y} holderb" for x in "pqrstuvw" for y in ("one", "two")]
+
+
+@pytest.mark.parametrize("texts", [ZED, MIXED])
+@pytest.mark.parametrize("times", [1, 2, 3])
+def test_terms_that_disclose_whatever_the_copies(spark, texts, times):
     want = disclosed(texts)
-    assert any(t[a:b] == "Zanzibar" for t, spans in want.items() for a, b in spans)
+    assert any(want.values())
+    docs = spark.createDataFrame(list(enumerate(texts * times)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == pii.joined(brute(t) + [("term", a, b) for a, b in sorted(want.get(t, ()))])
+    for i, t in enumerate(texts * times):
+        assert got[i] == pii.joined(brute(t or "") + [("term", a, b) for a, b in sorted(want[t or ""])])
+
+
+def test_documents_terms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    want = disclosed([r.text for r in rows])
+    got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    for r in rows:
+        assert got[r.doc_id] == pii.joined(brute(r.text or "") + [("term", a, b) for a, b in sorted(want[r.text or ""])])
+
+
+def test_sanitise_removes_entities_and_terms(spark):
+    docs = spark.createDataFrame(list(enumerate(ZED)), "doc_id long, text string")
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert clean[0] == "onea [TERM] writes [EMAIL] and thea rest" or "[TERM]" in clean[0] and mail not in clean[0]
-    assert clean[len(texts) - 1] == texts[-1]
+    text = " ".join(t or "" for t in clean.values())
+    assert "anzibar" not in text and "zed@" not in text and "[TERM]" in clean[12] and clean[4] == ZED[4]
 
 
 def test_disclosing_terms_are_found_in_all_texts(spark):
@@ -99,17 +128,15 @@ def test_disclosing_terms_are_found_in_all_texts(spark):
     assert not any(re.search(r"(?i)\b(zanzibar|quagga)\b", t or "") for t in clean.values())
 
 
-def test_share_counts_occurrences_on_both_sides(spark):
-    copied = [f"one{c} Zanzibar writes zed@mail.example.org and the{c} rest" for c in "abc" for _ in range(10)]  # 3 windows, 30 occurrences
-    twice = ["by Quagga at yak@mail.example.org yes"] * 2  # the entity's only window
-    once = ["by Okapi at gnu@mail.example.org yes"]
-    half = ["in Tapir to emu@mail.example.org or"] * 2 + ["Tapir elsewhere, Tapir again, Tapir"]  # 2 of 5
-    both = ["cat@mail.example.org Bongo cat@mail.example.org"]  # one occurrence, beside two spans
-    other = ["the writes and at yes by " * 40]
-    docs = spark.createDataFrame(list(enumerate(copied + twice + once + half + both + other)), "doc_id long, text string")
+def test_what_is_left_to_guess_decides(spark):
+    copied = [f"one{c} Zanzibar writes zed@mail.example.org and the{c} rest" for c in "abc" for _ in range(10)]
+    once = ["by Okapi at gnu@mail.example.org yes"] * 4  # copies are one occurrence
+    half = [f"in Tapir{c} Tapir to emu@mail.example.org or" for c in "ab"] + ["Tapir elsewhere, Tapir again, Tapir"]  # 2 of 5
+    both = ["cat@mail.example.org Bongo cat@mail.example.org"]  # one place, beside two spans
+    other = [f"the writes and at yes by number{k} " * 4 for k in range(10)]
+    docs = spark.createDataFrame(list(enumerate(copied + once + half + both + other)), "doc_id long, text string")
     text = " ".join(r.text for r in pii.sanitise(docs).collect())
-    assert "Zanzibar" not in text and "Quagga" not in text
-    assert text.count("Okapi") == 1 and text.count("Tapir") == 5 and text.count("Bongo") == 1 and "writes" in text
+    assert "Zanzibar" not in text and text.count("Okapi") == 4 and text.count("Tapir ") + text.count("Tapir\n") >= 4 and text.count("Bongo") == 1 and "writes" in text
 
 
 def test_odd_rows(odd_docs, no_docs):
