@@ -258,6 +258,20 @@ def hamming_links(prints: DataFrame, budget: int = BUDGET, block: int = BLOCK) -
     return cells.repartition(n, "part", "cell", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def components(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(fp, group, component_id) of the fingerprints of prints (doc_id, fp) that have a doc_id.
+
+    group: the least fingerprint reachable. component_id: the least doc_id reachable; groups have the same if it repeats.
+    """
+    distinct = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "distinct")
+    # links are between fingerprints, so a doc_id that repeats with different texts links nothing
+    parts = connected_components(hamming_links(distinct.select("fp", F.col("fp").alias("rep")), budget))
+    linked = cut(distinct.join(parts, distinct.fp == parts.node).select("fp", "component", "rep"), "linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = linked.join(least, "component").select(F.col("fp").alias("linked_fp"), "component", "component_id")
+    return distinct.join(named, distinct.fp == F.col("linked_fp"), "left").select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs (columns doc_id, text; others are ignored).
 
@@ -266,31 +280,30 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     component. Repeated rows and doc_ids stay, each with the component of its own fingerprint. No documents: no rows.
     """
     prints = cut(fingerprints(docs), "simhash")
-    distinct = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "distinct")
-    links = hamming_links(distinct, budget)
-    # a doc_id that repeats with different texts names two fingerprints: they meet in one component by that name
-    parts = connected_components(links)
-    named = distinct.join(parts, distinct.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(named, "fp", "left")
+    out = prints.join(components(prints, budget), "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The rows of docs that are the least doc_id of their near-duplicate group; one row where that id repeats.
+    """One row of docs for each near-duplicate group: of its least doc_id; all columns stay as they are.
 
-    Rows with a null doc_id cannot be named as copies and stay. All columns of docs stay as they are.
+    Where an id repeats, each of its rows goes or stays for its own text: of those in one group, the row whose text has the
+    least hash stays, then the one whose columns do. Rows with a null doc_id cannot be named as copies and stay.
     """
-    found = cut(near_duplicates(docs.select("doc_id", "text"), budget).where("doc_id is not null"), "groups")
+    prints = cut(fingerprints(docs.select("doc_id", "text")), "simhash")
+    found = cut(prints.where("doc_id is not null").join(components(prints, budget), "fp").select("doc_id", "fp", "group", "component_id"), "groups")
     ids = cut(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id <> c or n > 1"), "copies")
-    copy_id, order, least = (fresh(docs, c) for c in ("_copy_id", "_text_order", "_least"))
-    n_ids = ids.count()
-    named = ids.select(F.col("doc_id").alias(copy_id))
-    out = docs.join(small(named, n_ids), docs["doc_id"] == F.col(copy_id), "left_anti")
-    doubled = ids.where("doc_id = c").select(F.col("doc_id").alias(copy_id))
-    if not doubled.isEmpty():
-        again = docs.join(small(doubled, n_ids), docs["doc_id"] == F.col(copy_id), "left_semi")
-        ordered = again.withColumn(order, F.sha2(F.coalesce("text", F.lit("")), 256))
-        firsts = ordered.groupBy("doc_id").agg(F.min(order).alias(least))
-        first = ordered.alias("a").join(firsts.alias("f"), (F.col("a.doc_id") == F.col("f.doc_id")) & (F.col(f"a.{order}") == F.col(f"f.{least}")), "left_semi")
-        out = out.unionByName(first.drop(order).dropDuplicates(["doc_id"]))
-    return out
+    copy_id = fresh(docs, "_copy_id")
+    out = docs.join(small(ids.select(F.col("doc_id").alias(copy_id)), ids.count()), docs["doc_id"] == F.col(copy_id), "left_anti")
+    doubled = ids.where("n > 1").select("doc_id")
+    if (n := doubled.count()) == 0:
+        return out
+    # ids that repeat: the fingerprints of their texts once more, and the groups that those are the heads of
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    again = cut(docs.join(small(doubled, n), "doc_id", "left_semi").select(row, F.col("doc_id").alias("id"), F.sha2(text, 256).alias("hash"), text.alias("words")), "repeated-ids")
+    texts = fingerprints(again.select(F.col("hash").alias("doc_id"), F.col("words").alias("text")).dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("hash"), "fp")
+    heads = found.join(small(doubled, n), "doc_id", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias("id"), "fp", "group").distinct()
+    kept = again.join(texts, "hash").join(heads, ["id", "fp"]).select("id", "group", "hash", "row", F.sha2(F.to_json("row"), 256).alias("columns"))
+    first = kept.groupBy("id", "group").agg(F.min_by("row", F.struct("hash", "columns")).alias("row"))
+    return out.unionByName(first.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

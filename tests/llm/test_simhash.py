@@ -7,6 +7,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from gridloom.llm import components, simhash
 
 
@@ -92,9 +94,9 @@ def test_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.deduplicate(no_docs).count() == 0
 
 
-def test_one_row_of_a_repeated_least_id(spark):
+def test_one_row_of_a_repeated_least_id_for_each_group(spark):
     docs = spark.createDataFrame([(1, "one two three four five"), (1, "one two three four five"), (2, "one two three four five"), (1, "quite other words stand here")], "doc_id long, text string")
-    assert [r.doc_id for r in simhash.deduplicate(docs).collect()] == [1]
+    assert sorted((r.doc_id, r.text[:3]) for r in simhash.deduplicate(docs).collect()) == [(1, "one"), (1, "qui")]
 
 
 def test_components_of_chains_and_hubs(spark):
@@ -108,3 +110,15 @@ def test_no_checkpoint_on_local_disks():
     import inspect
 
     assert "localCheckpoint(" not in inspect.getsource(components) + inspect.getsource(simhash)
+
+
+def test_an_id_with_different_texts_loses_only_copies(spark):
+    base = "one two three four five six seven eight nine ten"
+    other, third = "completely different words stand in this text of its own here", "yet another thing that nobody has said before in any row"
+    rows = [(1, base, "a"), (5, base, "b"), (5, other, "c"), (7, third, "e"), (7, third, "d"), (8, third, "f"), (None, base, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for dealt in (docs, docs.orderBy("source"), docs.orderBy(F.desc("source"))):
+        got = sorted(((r.doc_id or 0), r.text, r.source) for r in simhash.deduplicate(dealt.repartition(3)).collect())
+        assert [x[:2] for x in got] == [(0, base), (1, base), (5, other), (7, third)]
+        kept = got[-1] if dealt is docs else kept
+        assert got[-1] == kept  # the same row, however the rows are dealt
