@@ -172,17 +172,17 @@ FILTER_BITS = 23
 
 
 class Bloom:
-    """Which words may be among those a filter was made of; one that is always may. Sent to Python workers."""
+    """Which words (or numbers) may be among those a filter was made of; one that is always may. Sent to Python workers."""
 
     def __init__(self, words: DataFrame, column: str):
         """At most 2 ** (FILTER_BITS - 6) numbers reach the driver, however many words there are."""
-        h = F.xxhash64(column)
+        h = F.xxhash64(F.col(column).cast("string"))
         bits = words.select(F.explode(F.array(*[F.shiftrightunsigned(h, s).bitwiseAND((1 << FILTER_BITS) - 1) for s in (0, 20, 40)])).alias("bit"))
         packed = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v"))
         self.bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
         for r in packed.collect():
             self.bits[r["w"]] = np.uint64(r["v"] % (1 << 64))
 
-    def __call__(self, word: str) -> bool:
-        h, mask = xxhash.xxh64_intdigest(word.encode(), 42), (1 << FILTER_BITS) - 1
+    def __call__(self, word: str | int) -> bool:
+        h, mask = xxhash.xxh64_intdigest(str(word).encode(), 42), (1 << FILTER_BITS) - 1
         return all(int(self.bits[(h >> s & mask) >> 6]) >> (h >> s & 63) & 1 for s in (0, 20, 40))

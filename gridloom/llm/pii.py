@@ -136,38 +136,58 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
+class Known(dict):
+    """Word -> itself in lower case if a filter lets it pass, else an empty text; as windows() writes terms."""
+
+    def __init__(self, maybe: Bloom):
+        self.maybe = maybe
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        low = word.lower()
+        self[word] = term = low if self.maybe(low) else ""
+        return term
+
+
 def term_totals(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, int]:
     """(term, total): at how many places of all different texts of docs each of the terms stands, and all words' places.
 
-    Texts are told apart by a 64-bit hash.
+    Texts that stand once are summed by the task that reads them. Those that may be copies, by a filter of the copied ones'
+    hashes, are counted text by text, and equal counts of equal texts become one. Texts are told apart by 64 bits.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Bloom(terms, "term"))
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    copied = cut(docs.select(F.xxhash64(text).alias("text")).groupBy("text").agg(F.count("*").alias("n")).where("n > 1").select("text"), "copied-texts")
+    sent, twice = spark.sparkContext.broadcast(Bloom(terms, "term")), spark.sparkContext.broadcast(Bloom(copied, "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe, known = sent.value, {}
+        known, may_repeat = Known(sent.value), twice.value
         for b in batches:
             rows: list[tuple] = []
-            seen: set[int] = set()
-            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if key in seen:
-                    continue
-                seen.add(key)
-                found = Counter(WORD.findall(t or ""))
-                rows.append((key, None, sum(found.values())))
+            single: Counter = Counter()
+
+            def add(key: int | None, found: Counter) -> None:
                 kept: Counter = Counter()
                 for word, n in found.items():
-                    if (term := known.get(word)) is None:
-                        low = word.lower()  # as windows() writes terms
-                        term = known[word] = low if maybe(low) else ""
-                    if term:
+                    if term := known[word]:
                         kept[term] += n
-                rows += [(key, term, n) for term, n in kept.items()]
-            if len(known) > KEPT_WORDS:
-                known.clear()
+                rows.append((key, None, sum(found.values())))
+                rows.extend((key, term, n) for term, n in kept.items())
+
+            seen: set[int] = set()
+            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not may_repeat(key):
+                    single.update(WORD.findall(t))
+                elif key not in seen:
+                    seen.add(key)
+                    add(key, Counter(WORD.findall(t)))
+            add(None, single)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["text", "term", "n"])
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    each = docs.select(F.xxhash64(text).alias("text"), text).mapInArrow(run, "text long, term string, n long").groupBy("text", "term").agg(F.max("n").alias("n"))
+    counted = docs.select(F.xxhash64(text).alias("text"), text).mapInArrow(run, "text long, term string, n long")
+    # summed where no text is named; one of each where one is
+    each = counted.groupBy("text", "term").agg(F.when(F.col("text").isNull(), F.sum("n")).otherwise(F.max("n")).alias("n"))
     counts = cut(each.groupBy("term").agg(F.sum("n").alias("total")), "term-totals")
     words = counts.where("term is null").first()
     return counts.where("term is not null").join(terms, "term", "left_semi"), words["total"] if words else 0
@@ -181,31 +201,23 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(Bloom(terms, "term"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = sent.value
+        known = Known(sent.value)
         for b in batches:
-            known: dict[str, bool] = {}
             rows: list[tuple] = []
-            for key, t in zip(b.column(0), b.column(1)):
-                text = t.as_py() or ""
-                blank = blanked(text, spans) if (spans := base_spans(text)) else text
-                for word in {*WORD.findall(blank)}:
-                    if word not in known:
-                        known[word] = maybe(word.lower())
-                    if known[word]:
-                        break
-                else:
+            for key, t in zip(b.column(0), b.column(1).to_pylist()):
+                # without an address, the words outside the entities are words of the text
+                if "@" not in t and not any(map(known.__getitem__, {*WORD.findall(t)})):
                     continue
-                name = key.as_py()
+                blank = blanked(t, spans) if (spans := base_spans(t)) else t
+                name = None
                 for m in WORD.finditer(blank):
-                    word = m.group()
-                    if word not in known:
-                        known[word] = maybe(word.lower())
-                    if known[word]:
-                        rows.append((name, word.lower(), m.start(), m.end()))
+                    if term := known[m.group()]:
+                        name = name or key.as_py()
+                        rows.append((name, term, m.start(), m.end()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))], ["text_key", "term", "start", "end"])
 
-    text = F.col("text").cast("string")
-    found = docs.select(text_key(text).alias("text_key"), text).mapInArrow(run, "text_key string, term string, start int, end int")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select(text_key(text).alias("text_key"), text.alias("text")).mapInArrow(run, "text_key string, term string, start int, end int")
     return found.join(small(terms), "term", "left_semi").select("text_key", "start", "end").distinct()
 
 
