@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Target pixel spacing in millimetres.
@@ -66,12 +66,39 @@ def as_text(x: Column | str) -> Column:
     return F.coalesce(_c(x).cast("string"), F.lit("None"))
 
 
-def group_key(mode: str, site: Column | str, codec: Column | str, collection: Column | str) -> Column:
-    """The group of a slide in one of three modes."""
-    parts = {"site": [site], "site_codec": [site, codec], "collection_site_codec": [collection, site, codec]}
-    if mode not in parts:
+# What makes up a group, when slides are ranked by density and when they are balanced.
+DENSITY_GROUPS = {"site": ("site",), "site_codec": ("site", "codec"), "collection_site_codec": ("collection", "site", "codec")}
+BALANCE_GROUPS = {"collection": ("collection",), "collection_site": ("collection", "site"), "collection_site_stain": ("collection", "site", "stain")}
+
+
+def _parts(modes: dict[str, tuple[str, ...]], mode: str, columns: dict[str, Column | str]) -> list[Column]:
+    if mode not in modes:
         raise ValueError(f"unknown group mode: {mode}")
-    return F.concat_ws("||", *(as_text(p) for p in parts[mode]))
+    return [_c(columns[name]) for name in modes[mode]]
+
+
+def density_key(mode: str, **columns: Column | str) -> Column:
+    """The group in which a slide is ranked by density (columns site, codec, collection); null where a part is null."""
+    return F.concat(*[x for i, p in enumerate(_parts(DENSITY_GROUPS, mode, columns)) for x in ([F.lit("||")] if i else []) + [p.cast("string")]])
+
+
+def balance_key(mode: str, **columns: Column | str) -> Column:
+    """The group that a balanced sample takes a slide from (columns collection, site, stain); a null part counts as the text None."""
+    return F.concat_ws("||", *(as_text(p) for p in _parts(BALANCE_GROUPS, mode, columns)))
+
+
+def unknown_filled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with UNKNOWN for null in those of the text columns that it has."""
+    return df.fillna("UNKNOWN", [c for c in columns if c in df.columns])
+
+
+def bucket_of(value: Column, bounds: list[float]) -> Column:
+    """How many of the ascending bounds are below the value: a halving search, as a fold."""
+    if not bounds:
+        return F.lit(0)
+    at = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(at, lo + step - 1) < value, lo + step).otherwise(lo))
 
 
 def micrometres(mm: Column | str) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalar import finite, hash_order, no_nan
+from gridloom.functions.scalar import bucket_of, finite, hash_order, no_nan
 from gridloom.storage import cut, small
 
 
@@ -39,7 +39,7 @@ class QualityLimits:
     least_cols: float | None = None
     least_rows: float | None = None
     size_mb: tuple[float | None, float | None] = (None, None)
-    power: tuple[float, float] | None = None
+    power: tuple[float | None, float | None] = (None, None)
     spacing: tuple[float, float] | None = None  # centre, tolerance
     most_spacing: float | None = None
     require_x20: bool = False
@@ -47,23 +47,21 @@ class QualityLimits:
 
 
 def quality_filters(slides: DataFrame, limits: QualityLimits, names: dict[str, str], required: tuple[str, ...] = ()) -> DataFrame:
-    """The rows within all limits. names: which column is cols, rows, size_mb, power, near_spacing, base_spacing, has_x20, syntax."""
+    """The rows within all limits. names: which column is cols, rows, size_mb, power, spacing, base_spacing, has_x20, syntax."""
     col = lambda n: no_nan(F.col(names[n]).cast("double"))
     tests: list[Column] = [F.col(c).isNotNull() for c in required]
     if limits.least_cols is not None:
         tests.append(col("cols") >= limits.least_cols)
     if limits.least_rows is not None:
         tests.append(col("rows") >= limits.least_rows)
-    lo, hi = limits.size_mb
-    if lo is not None:
-        tests.append(col("size_mb") >= lo)
-    if hi is not None:
-        tests.append(col("size_mb") <= hi)
-    if limits.power is not None:
-        tests.append(col("power").between(*limits.power))
+    for name, (lo, hi) in (("size_mb", limits.size_mb), ("power", limits.power)):
+        if lo is not None:
+            tests.append(col(name) >= lo)
+        if hi is not None:
+            tests.append(col(name) <= hi)
     if limits.spacing is not None:
         centre, tolerance = limits.spacing
-        tests.append(col("near_spacing").between(centre - tolerance, centre + tolerance))
+        tests.append(col("spacing").between(centre - tolerance, centre + tolerance))
     if limits.most_spacing is not None:
         tests.append(col("base_spacing") <= limits.most_spacing)
     if limits.require_x20:
@@ -83,52 +81,49 @@ def density(slides: DataFrame, size_mb: str, cols: Column, rows: Column, has_x20
     return slides.withColumn("area_mpix", area).withColumn("mb_per_mpix", finite(F.try_divide(F.col(size_mb).cast("double"), F.col("area_mpix"))))
 
 
-def global_percent_rank(df: DataFrame, value: str, out: str = "pct", buckets: int = 64) -> DataFrame:
-    """Average-tie percent rank of a value over all rows, without gathering them in one task.
+#: Different values that one task ranks, about, and the most buckets that values are dealt into.
+BUCKET_ROWS, MOST_BUCKETS = 500_000, 2048
 
-    Rows are dealt by value into buckets at approximate quantiles; the exact counts of the buckets, `buckets` numbers, are
-    added to ranks within each. Rows without a value are dropped.
+
+def percent_rank(df: DataFrame, value: str, group: str | None = None, out: str = "pct") -> DataFrame:
+    """Average-tie percent rank of a value over all rows or within groups; rows without a value or a group are dropped.
+
+    Equal values are counted before they are shuffled, and different ones are dealt by value into buckets at approximate
+    quantiles, in each of which a task sums the counts; bucket totals give the starts. So neither a hot value nor a hot
+    group is sorted in one task, and the driver sees the bounds of the buckets alone.
     """
     clean = df.withColumn("_v", no_nan(F.col(value).cast("double"))).where("_v is not null")
-    bounds = sorted(set(clean.approxQuantile("_v", [k / buckets for k in range(1, buckets)], 0.005)))
-    b = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x < F.col("_v"))) if bounds else F.lit(0)
-    dealt = clean.withColumn("_b", b.cast("int"))
-    sizes = dict(dealt.groupBy("_b").count().collect())
-    before, total, starts = 0, sum(sizes.values()), {}
-    for k in sorted(sizes):
-        starts[k], before = before, before + sizes[k]
-    if not total:
-        return df.limit(0).withColumn(out, F.lit(None).cast("double"))
-    start = F.element_at(F.create_map(*[F.lit(x) for k in starts for x in (k, starts[k])]), F.col("_b"))
-    w = Window.partitionBy("_b").orderBy("_v")
-    peers = F.count("*").over(Window.partitionBy("_b", "_v"))
-    rank = start + F.rank().over(w) + (peers - 1) / F.lit(2.0)
-    return dealt.withColumn(out, rank / F.lit(float(total))).drop("_v", "_b")
-
-
-def grouped_percent_rank(df: DataFrame, group: str, value: str, out: str = "pct") -> DataFrame:
-    """Average-tie percent rank within groups; rows without a group or a value are dropped."""
-    clean = df.withColumn("_v", no_nan(F.col(value).cast("double"))).where(F.col(group).isNotNull() & F.col("_v").isNotNull())
-    peers = F.count("*").over(Window.partitionBy(group, "_v"))
-    rank = F.rank().over(Window.partitionBy(group).orderBy("_v")) + (peers - 1) / F.lit(2.0)
-    return clean.withColumn(out, rank / F.count("*").over(Window.partitionBy(group))).drop("_v")
-
-
-def density_filter(df: DataFrame, mode: str, keep: float = 1.0, threshold: float | None = None, group: str | None = None, value: str = "mb_per_mpix", least: float | None = None) -> DataFrame:
-    """The densest rows: above a threshold, or the top share of all rows or of each group."""
-    df = df.where(no_nan(F.col(value)).isNotNull())
-    if least is not None:
-        df = df.where(F.col(value) >= least)
+    clean = clean.withColumn("_g", F.col(group).cast("string") if group else F.lit("")).where("_g is not null")
+    counts = cut(clean.groupBy("_g", "_v").agg(F.count("*").alias("_n")), "value-counts")
+    buckets = min(MOST_BUCKETS, counts.count() // BUCKET_ROWS + 1)
+    bounds = sorted(set(counts.approxQuantile("_v", [k / buckets for k in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
+    dealt = counts.withColumn("_b", bucket_of(F.col("_v"), bounds))
+    before = lambda w: F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    totals = dealt.groupBy("_g", "_b").agg(F.sum("_n").alias("_n"))
+    starts = totals.select("_g", "_b", before(Window.partitionBy("_g").orderBy("_b")).alias("_start"), F.sum("_n").over(Window.partitionBy("_g")).alias("_all"))
+    inside = dealt.select("_g", "_b", "_v", "_n", before(Window.partitionBy("_g", "_b").orderBy("_v")).alias("_below"))
+    rank = F.col("_start") + F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)
+    ranks = cut(inside.join(starts, ["_g", "_b"]).select("_g", "_v", (rank / F.col("_all")).alias(out)), "percent-ranks")
+    return clean.join(small(ranks), ["_g", "_v"]).select(*df.columns, out)
+
+
+def density_filter(df: DataFrame, mode: str, keep: float = 1.0, group: str | None = None, value: str = "mb_per_mpix", least: float | None = None) -> DataFrame:
+    """The densest rows: those at or above the floor `least` (threshold), or of them the top share of all or of each group.
+
+    Mode none leaves df as it is, rows without a density included; the others drop those, and group_topq rows without a
+    group.
+    """
     if mode == "none":
         return df
+    if mode not in ("threshold", "global_topq", "group_topq"):
+        raise ValueError(f"unknown density mode: {mode}")
+    df = df.where(no_nan(F.col(value)).isNotNull() & F.col("area_mpix").isNotNull())
+    if least is not None:
+        df = df.where(F.col(value) >= least)
     if mode == "threshold":
-        return df.where(F.col(value) >= threshold)
+        return df
     cut_at = F.lit(1.0 - min(max(keep, 0.0), 1.0))
-    if mode == "global_topq":
-        return global_percent_rank(df, value).where(F.col("pct") >= cut_at)
-    if mode == "group_topq":
-        return grouped_percent_rank(df, group, value).where(F.col("pct") >= cut_at)
-    raise ValueError(f"unknown density mode: {mode}")
+    return percent_rank(df, value, group if mode == "group_topq" else None).where(F.col("pct") >= cut_at)
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -159,26 +154,31 @@ def balanced_unique(df: DataFrame, group: str, patient: str, key: str, n: int, s
     return out if out is not None else spark.createDataFrame([], df.schema)
 
 
+def hash_positions(rows: DataFrame, key: str, seed: int | str) -> tuple[DataFrame, int]:
+    """rows with `position`, their place from 0 in the order of a hash of their key (then the key), and how many there are.
+
+    Hashes are dealt by their first digits into buckets of about BUCKET_ROWS; counts of the buckets, at most 65,536, give
+    where each begins, so no task sorts all rows.
+    """
+    total = rows.count()
+    digits = next(d for d in range(5) if d == 4 or total <= BUCKET_ROWS * 16**d)
+    keyed = rows.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
+    counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
+    starts = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1
+    return keyed.withColumn("_i", inside).join(F.broadcast(starts), "_b").withColumn("position", F.col("_start") + F.col("_i")).drop("_h", "_b", "_start", "_i"), total
+
+
 def split_groups(df: DataFrame, group: str, test: float, val: float, seed: int = 0) -> DataFrame:
     """df with `split`: whole groups go to test (that share of groups, rounded up), of the rest to val, the others to train.
 
-    The order of groups is a hash with the seed for test and the next seed for val. Positions come from two counts of hash
-    buckets instead of one sort of all groups.
+    The order of groups is a hash with the seed for test and the next seed for val.
     """
     names = df.where(F.col(group).isNotNull()).select(group).distinct()
 
     def first(share: float, of: DataFrame, s: int) -> DataFrame:
-        keyed = of.select(group, hash_order(group, s).alias("_h")).withColumn("_b", F.substring("_h", 1, 2))
-        sizes = dict(keyed.groupBy("_b").count().collect())
-        total = sum(sizes.values())
-        starts, before = {}, 0
-        for k in sorted(sizes):
-            starts[k], before = before, before + sizes[k]
-        if not total:
-            return of
-        start = F.element_at(F.create_map(*[F.lit(x) for k in starts for x in (k, starts[k])]), F.col("_b"))
-        at = start + F.row_number().over(Window.partitionBy("_b").orderBy("_h", group))
-        return keyed.withColumn("_at", at).where(F.col("_at") <= F.ceil(F.lit(float(share)) * F.lit(total))).select(group)
+        placed, total = hash_positions(of.select(group), group, s)
+        return placed.where(F.col("position") < F.ceil(F.lit(float(share)) * F.lit(total))).select(group)
 
     tests = cut(first(test, names, seed), "test-groups") if test > 0 else names.limit(0)
     rest = names.join(tests, group, "left_anti")

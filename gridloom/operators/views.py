@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalar import hash_order, posterised, to_half, uniform
+from gridloom.functions.scalar import posterised, to_half, uniform
+from gridloom.operators.curate import hash_positions
 
 # Label classes of the artifact map, their names and colours (red, green, blue).
 CLASSES = [
@@ -101,18 +102,10 @@ def augmented(cells: DataFrame, crop: int, view_key: Column, features: str = "fe
     return cells.withColumn("_f", F.when(F.col(valid), v).otherwise(F.transform(v, lambda x: F.lit(0.0)))).withColumn("i", i).withColumn("j", j).drop(features).withColumnRenamed("_f", features)
 
 
-def batches(rows: DataFrame, key: str, size: int, epoch: int, seed: int = 0, buckets: int = 16) -> DataFrame:
-    """rows with position and batch, in the epoch's hash order; counts of hash buckets replace one sort of all rows."""
-    keyed = rows.withColumn("_h", hash_order(key, f"{seed}:{epoch}")).withColumn("_b", F.substring("_h", 1, 1))
-    sizes = dict(keyed.groupBy("_b").count().collect())
-    starts, before = {}, 0
-    for k in sorted(sizes):
-        starts[k], before = before, before + sizes[k]
-    if not sizes:
-        return rows.limit(0).withColumn("position", F.lit(None).cast("long")).withColumn("batch", F.lit(None).cast("long"))
-    start = F.element_at(F.create_map(*[F.lit(x) for k in starts for x in (k, starts[k])]), F.col("_b"))
-    at = start + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1
-    return keyed.withColumn("position", at.cast("long")).withColumn("batch", F.floor(F.col("position") / size)).drop("_h", "_b")
+def batches(rows: DataFrame, key: str, size: int, epoch: int, seed: int = 0) -> DataFrame:
+    """rows with position and batch, in the epoch's hash order."""
+    placed, _ = hash_positions(rows, key, f"{seed}:{epoch}")
+    return placed.withColumn("position", F.col("position").cast("long")).withColumn("batch", F.floor(F.col("position") / size))
 
 
 def student_targets(students: DataFrame, teachers: DataFrame, keys: list[str]) -> DataFrame:
