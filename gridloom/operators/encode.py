@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from gridloom.functions.scalar import to_half
 from gridloom.operators.vectors import window_cells
+from gridloom.sources import readers
 
 Encoder = Callable[[np.ndarray], np.ndarray]
 
@@ -73,10 +74,38 @@ def encoder_udf(make: Callable[[], Encoder], width: int, batch: int = 32, unit:
     return predict_batch_udf(loaded, return_type=ArrayType(FloatType()), batch_size=batch, input_tensor_shapes=[shape] if shape else None)
 
 
-def encode_slides(tiles: DataFrame, open_slide: Callable[[str], object], make: Callable[[], Encoder], tile: int, width: int, batch: int = 32) -> DataFrame:
+def prepared(tiles: np.ndarray, side: int, mean: tuple[float, ...] = (0.485, 0.456, 0.406), deviation: tuple[float, ...] = (0.229, 0.224, 0.225)) -> np.ndarray:
+    """uint8 tiles (n, h, w, 3) as a model's input (n, 3, side, side): the shorter side resized, the centre cut out, normalised."""
+    n, h, w, _ = tiles.shape
+    scale = side / min(h, w)
+    size = tuple(max(side, int(x * scale)) for x in (h, w))
+    x = tiles.astype(float)
+    for axis, to in ((1, size[0]), (2, size[1])):
+        x = _linear(x, axis, to)
+    top, left = (round((s - side) / 2) for s in size)
+    x = x[:, top : top + side, left : left + side] / 255.0
+    return ((x - np.array(mean)) / np.array(deviation)).transpose(0, 3, 1, 2).astype(np.float32)
+
+
+def _linear(x: np.ndarray, axis: int, to: int) -> np.ndarray:
+    """Linear resampling of an axis by pixel centres; where it shrinks, each pixel's triangle is as wide as what it covers."""
+    n = x.shape[axis]
+    if n == to:
+        return x
+    ratio = n / to
+    reach = max(1.0, ratio)
+    centres = (np.arange(to) + 0.5) * ratio - 0.5
+    weight = np.maximum(0.0, 1 - np.abs(np.arange(n)[None] - centres[:, None]) / reach)
+    weight /= weight.sum(1, keepdims=True)
+    return np.moveaxis(np.tensordot(weight, x, axes=(1, axis)), 0, axis)
+
+
+def encode_slides(tiles: DataFrame, make: Callable[[], Encoder], tile: int, width: int, batch: int = 32, openers: dict | None = None, transform: Callable[[np.ndarray], np.ndarray] | None = None, progress: Callable[[str, int], None] | None = None) -> DataFrame:
     """(slide_id, grid_i, grid_j, features) read straight from slides (tiles: slide_id, slide_path, grid_i, grid_j, x0_lvl0, y0_lvl0).
 
-    Rows should come sorted by slide; a task opens a slide once for each run of its rows and closes it.
+    A task opens a slide once for each run of its rows and closes it. openers go with the task (readers.open_slide).
+    transform is put before the model (prepared, for one); progress is told the slide and the cells done after each batch,
+    in the worker.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,10 +118,13 @@ def encode_slides(tiles: DataFrame, open_slide: Callable[[str], object], make: C
                         if row.slide_path != path:
                             if slide is not None and hasattr(slide, "close"):
                                 slide.close()
-                            path, slide = row.slide_path, open_slide(row.slide_path)
+                            path, slide = row.slide_path, readers.open_slide(row.slide_path, openers)
                         images.append(np.asarray(slide.read_region((row.x0_lvl0, row.y0_lvl0), 0, (tile, tile)))[..., :3])
-                    v = selected_output(model(as_bytes_range(np.stack(images))), width)
+                    x = as_bytes_range(np.stack(images))
+                    v = selected_output(model(transform(x) if transform else x), width)
                     yield pd.DataFrame({"slide_id": part.slide_id.to_numpy(), "grid_i": part.grid_i.to_numpy(), "grid_j": part.grid_j.to_numpy(), "features": list(v.astype(np.float32))})
+                    if progress:
+                        progress(str(part.slide_id.iloc[-1]), len(part))
         finally:
             if slide is not None and hasattr(slide, "close"):
                 slide.close()

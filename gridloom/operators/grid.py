@@ -137,20 +137,29 @@ def dilated(cells: DataFrame, radius: int, dims: DataFrame | None = None) -> Dat
     return moved.distinct()
 
 
-def eroded(cells: DataFrame, radius: int) -> DataFrame:
-    """The cells whose ellipse lies within the given cells, outside the grid counting as covered by its border rule: not."""
+def eroded(cells: DataFrame, radius: int, dims: DataFrame | None = None) -> DataFrame:
+    """The cells whose ellipse lies within the given cells; of it, only what is inside the grid counts.
+
+    dims (slide_id, n_rows, n_cols) says where the grid ends; without it, it never does.
+    """
     kernel = ellipse(radius)
-    moved = cells.select("slide_id", "grid_i", "grid_j", F.explode(F.array(*[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx")) for dy, dx in kernel])).alias("o"))
-    hits = moved.groupBy("slide_id", (F.col("grid_i") + F.col("o.dy")).alias("grid_i"), (F.col("grid_j") + F.col("o.dx")).alias("grid_j")).agg(F.count("*").alias("n"))
-    return hits.where(F.col("n") == len(kernel)).select("slide_id", "grid_i", "grid_j")
+    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in kernel])
+    moved = cells.select("slide_id", "grid_i", "grid_j", F.explode(offsets).alias("o"))
+    hits = moved.groupBy("slide_id", (F.col("grid_i") - F.col("o.dy")).alias("grid_i"), (F.col("grid_j") - F.col("o.dx")).alias("grid_j")).agg(F.count("*").alias("n"))
+    if dims is None:
+        return hits.where(F.col("n") == len(kernel)).select("slide_id", "grid_i", "grid_j")
+    at = lambda axis, o, n: (F.col(axis) + o >= 0) & (F.col(axis) + o < F.col(n))
+    inside = F.size(F.filter(offsets, lambda o: at("grid_i", o["dy"], "n_rows") & at("grid_j", o["dx"], "n_cols")))
+    there = at("grid_i", F.lit(0), "n_rows") & at("grid_j", F.lit(0), "n_cols")
+    return hits.join(dims, "slide_id").where(there & (F.col("n") == inside)).select("slide_id", "grid_i", "grid_j")
 
 
-def opened(cells: DataFrame, radius: int) -> DataFrame:
-    return dilated(eroded(cells, radius), radius)
+def opened(cells: DataFrame, radius: int, dims: DataFrame | None = None) -> DataFrame:
+    return dilated(eroded(cells, radius, dims), radius, dims)
 
 
-def closed(cells: DataFrame, radius: int) -> DataFrame:
-    return eroded(dilated(cells, radius), radius)
+def closed(cells: DataFrame, radius: int, dims: DataFrame | None = None) -> DataFrame:
+    return eroded(dilated(cells, radius, dims), radius, dims)
 
 
 def otsu_threshold(values: DataFrame, value: str, group: str, n: int = 256) -> DataFrame:
@@ -183,13 +192,24 @@ def resampled(cells: DataFrame, size_in: tuple[int, int], size_out: tuple[int, i
     return keyed.join(cells.select("slide_id", F.col("y").alias("_y"), F.col("x").alias("_x"), value), ["slide_id", "_y", "_x"]).select("slide_id", "y", "x", value)
 
 
-def _blurred(a: np.ndarray) -> np.ndarray:
-    """3 x 3 Gaussian blur of deviation 1, mirrored at the border without repeating it."""
-    w = np.exp(-np.array([-1.0, 0.0, 1.0]) ** 2 / 2)
+def blurred(a: np.ndarray, deviation: float = 1.0) -> np.ndarray:
+    """Gaussian blur of an 8-bit image, mirrored at the border without repeating it; rounded half up.
+
+    The kernel has as many taps as reach three deviations on each side (7 for 1).
+    """
+    reach = int(np.floor(deviation * 3 + 0.5))
+    w = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * deviation**2))
     w /= w.sum()
-    p = np.pad(a.astype(float), 1, mode="reflect" if min(a.shape) > 1 else "edge")
-    rows = w[0] * p[:-2] + w[1] * p[1:-1] + w[2] * p[2:]
-    return np.floor(w[0] * rows[:, :-2] + w[1] * rows[:, 1:-1] + w[2] * rows[:, 2:] + 0.5)
+    out = a.astype(float)
+    for axis in (0, 1):
+        n = out.shape[axis]
+        at = np.abs(np.arange(-reach, n + reach))  # mirrored about the first pixel …
+        period = max(1, 2 * (n - 1))
+        at %= period
+        at = np.where(at < n, at, period - at)  # … and about the last
+        wide = out.take(at, axis)
+        out = sum(w[k] * wide.take(range(k, k + n), axis) for k in range(2 * reach + 1))
+    return np.floor(out + 0.5)
 
 
 def _otsu(a: np.ndarray) -> int:
@@ -202,15 +222,15 @@ def _otsu(a: np.ndarray) -> int:
 
 
 def tissue_mask_array(rgb: np.ndarray, kernel: int = 7, least_area: int = 512) -> np.ndarray:
-    """Tissue of a thumbnail: dark or saturated by Otsu's thresholds, opened, closed, without small components."""
+    """Tissue of a thumbnail: darker than Otsu's grey threshold or over that of saturation, opened, closed, without small components."""
     from gridloom.operators.groups import label_components
 
     r, g, b = (rgb[..., k].astype(float) for k in range(3))
     grey = np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)
     top, low = rgb.max(-1).astype(float), rgb.min(-1).astype(float)
     sat = np.floor(np.where(top > 0, (top - low) * 255 / np.maximum(top, 1), 0) + 0.5)
-    grey, sat = _blurred(grey), _blurred(sat)
-    mask = (grey <= _otsu(grey)) | (sat > _otsu(sat))
+    grey, sat = blurred(grey), blurred(sat)
+    mask = (grey < _otsu(grey)) | (sat > _otsu(sat))
     offsets = ellipse(max(3, kernel | 1) // 2)
     reach = max(3, kernel | 1) // 2
 
@@ -234,3 +254,52 @@ def tissue_masks(thumbnails: DataFrame, kernel: int = 7, least_area: int = 512)
             yield pd.DataFrame({"slide_id": pdf.slide_id, "height": pdf.height, "width": pdf.width, "tissue": [np.packbits(m).tobytes() for m in masks]})
 
     return thumbnails.select("slide_id", "height", "width", "rgb").mapInPandas(run, "slide_id string, height int, width int, tissue binary")
+
+
+def unpacked(bits: bytes, height: int, width: int) -> np.ndarray:
+    """A mask from its packed bits, row by row."""
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=height * width).reshape(height, width).astype(bool)
+
+
+def packed_box(masks: DataFrame, column: str = "tissue") -> DataFrame:
+    """(slide_id, min_y, max_y, min_x, max_x), ends excluded, of packed masks (slide_id, height, width, column); none for an empty one."""
+    kind = masks.schema["slide_id"].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for slide, h, w, bits in zip(pdf.slide_id, pdf.height, pdf.width, pdf[column]):
+                m = unpacked(bits, h, w)
+                if m.any():
+                    ys, xs = np.flatnonzero(m.any(1)), np.flatnonzero(m.any(0))
+                    rows.append((slide, ys[0], ys[-1] + 1, xs[0], xs[-1] + 1))
+            yield pd.DataFrame(rows, columns=["slide_id", "min_y", "max_y", "min_x", "max_x"])
+
+    return masks.select("slide_id", "height", "width", column).mapInPandas(run, f"slide_id {kind}, min_y int, max_y int, min_x int, max_x int")
+
+
+def packed_fractions(tiles: DataFrame, masks: DataFrame, column: str, out: str) -> DataFrame:
+    """tiles with the mean of a packed mask (slide_id, height, width, column) over each tile's pixels, like mask_fractions.
+
+    One slide's tiles meet its mask in one row: a thumbnail is some megabytes and a grid some ten thousand tiles, whatever the
+    number of slides. No row is made of a pixel; a task sums the mask once and looks four numbers up for each tile.
+    """
+    kind = tiles.schema["slide_id"].dataType.simpleString()
+    item = F.struct("tile_id", "x0_lvl0", "y0_lvl0", "x1_lvl0", "y1_lvl0", F.col("scale_x").cast("double").alias("scale_x"), F.col("scale_y").cast("double").alias("scale_y"))
+    both = tiles.groupBy("slide_id").agg(F.collect_list(item).alias("tiles")).join(masks.select("slide_id", "height", "width", column), "slide_id")
+
+    def run(batches):
+        for pdf in batches:
+            for slide, listed, h, w, bits in zip(pdf.slide_id, pdf.tiles, pdf.height, pdf.width, pdf[column]):
+                sums = np.zeros((h + 1, w + 1), np.int64)
+                sums[1:, 1:] = unpacked(bits, h, w).cumsum(0).cumsum(1)
+                t = pd.DataFrame([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in listed], columns=["tile_id", "x0", "y0", "x1", "y1", "sx", "sy"])
+                at = lambda v, s, n, f: np.clip(f(v.to_numpy(float) * s.to_numpy(float)), 0, n).astype(np.int64)
+                x0, x1 = at(t.x0, t.sx, w, np.floor), at(t.x1, t.sx, w, np.ceil)
+                y0, y1 = at(t.y0, t.sy, h, np.floor), at(t.y1, t.sy, h, np.ceil)
+                n = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0)
+                total = sums[y1, x1] - sums[y0, x1] - sums[y1, x0] + sums[y0, x0]
+                yield pd.DataFrame({"slide_id": slide, "tile_id": t.tile_id.astype(np.int64), out: np.where(n > 0, total / np.maximum(n, 1), 0.0)})
+
+    found = both.mapInPandas(run, f"slide_id {kind}, tile_id long, {out} double")
+    return tiles.join(found, ["slide_id", "tile_id"])

@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from gridloom.functions.scalar import checked_percentile, clip, uniform
 
 
-def candidate_order(placements: DataFrame, weight: Column, key: Column, seed: int = 0, r: int | None = None) -> DataFrame:
+def drawn_at(weight: Column, key: Column, seed: int = 0) -> Column:
+    """When a row is first drawn, by its key and the seed alone: exponential with its weight as the rate."""
+    return -F.log(uniform(key, seed)) / weight
+
+
+def in_order(drawn: DataFrame) -> DataFrame:
+    """drawn with roi_id, the place from 0 of each row of a slide by sort_key, then position."""
+    order = Window.partitionBy("slide_id").orderBy("sort_key", "grid_i", "grid_j")
+    return drawn.withColumn("roi_id", F.row_number().over(order) - 1)
+
+
+def candidate_order(placements: DataFrame, weight: Column, key: Column, seed: int = 0) -> DataFrame:
     """placements with sort_key and roi_id, their place in a weighted draw without replacement per slide.
 
     Drawing a group by its weight, then a position of its box, and refusing what does not fit or was drawn before, takes
     the fitting positions in the order of -ln(u) / w with w the group's weight over its box's positions. So the order is
-    one sort per slide instead of a loop of refusals, and the draw u depends on the row's key and the seed alone.
+    one sort per slide instead of a loop of refusals.
     """
-    drawn = placements.withColumn("sort_key", -F.log(uniform(key, seed)) / weight)
-    order = Window.partitionBy("slide_id").orderBy("sort_key", "grid_i", "grid_j")
-    return drawn.withColumn("roi_id", F.row_number().over(order) - 1)
+    return in_order(placements.withColumn("sort_key", drawn_at(weight, key, seed)))
 
 
 def hard_rejected(most_artifact: float, factor: float = 2.0) -> Column:
@@ -38,7 +47,8 @@ def until_passed(candidates: DataFrame, target: int) -> DataFrame:
     return candidates.withColumn("_run", F.sum(passed).over(order)).where(F.col("_run") - passed < target).drop("_run")
 
 
-def attempt_cap(n: int, target: int | None) -> int:
+def attempt_cap(n: int | None, target: int | None) -> int:
+    """How many draws are tried at most for n candidates, or until target have passed."""
     return max(200 * target, 1000) if target else max(50 * n, 1000)
 
 
@@ -66,11 +76,13 @@ def gate_summary(candidates: DataFrame) -> DataFrame:
     )
 
 
-def candidates_of(slides_cells: DataFrame, r: int, n: int | None, target: int | None, *, least_tissue: float = 0.7, most_artifact: float = 0.05, tile_tissue: float = 0.3, valid_share: float = 0.5, cover: float = 0.8, member_tissue: float = 0.2, member_artifact: float = 0.25, radius: int = 4, least_group: float = 0.3, tissue_percentile: float | None = None, artifact_percentile: float | None = None, seed: int = 0) -> DataFrame:
+def candidates_of(slides_cells: DataFrame, r: int, n: int | None, target: int | None, *, least_tissue: float = 0.7, most_artifact: float = 0.05, tile_tissue: float = 0.3, valid_share: float = 0.5, cover: float = 0.8, member_tissue: float = 0.2, member_artifact: float = 0.25, radius: int = 4, least_group: float = 0.3, tissue_percentile: float | None = None, artifact_percentile: float | None = None, attempts: int | None = None, seed: int = 0) -> DataFrame:
     """Gated candidates of every slide: placements in groups, weighted order, thresholds, the first n or until target passed.
 
     Percentile thresholds come from the first calibration_size(target) in the order; those are all kept, so more than the
-    target may pass.
+    target may pass. A window that fits two groups is a candidate once, of the group that draws it first. The loop of draws
+    ends after attempts (attempt_cap by default): with weights that are chances of one draw, the sort key is the time of a
+    window's first draw where one is made in each unit of time, so the cap is a bound on it.
     """
     from gridloom.operators.grid import window_metrics
     from gridloom.operators.groups import component_stats, group_placements, group_weights, tissue_groups
@@ -78,13 +90,17 @@ def candidates_of(slides_cells: DataFrame, r: int, n: int | None, target: int |
     labelled = tissue_groups(slides_cells, r, member_tissue, member_artifact, radius)
     placed = group_placements(labelled, r, cover, least_group)
     weights = group_weights(placed, component_stats(labelled))
+    weights = weights.withColumn("chance", F.col("weight") / F.sum("weight").over(Window.partitionBy("slide_id")))
     metrics = window_metrics(slides_cells, r, tile_tissue).where(F.col("n_valid") >= valid_share * r * r)
     both = placed.join(weights, ["slide_id", "component_id"]).join(metrics, ["slide_id", "grid_i", "grid_j"])
     if target:
         both = both.where(~hard_rejected(most_artifact))
     positions = (F.col("max_i") - F.col("min_i") - r + 1) * (F.col("max_j") - F.col("min_j") - r + 1)
-    key = F.concat_ws("/", F.col("slide_id").cast("string"), "grid_i", "grid_j")
-    ordered = candidate_order(both, F.col("weight") / positions, key, seed).withColumnRenamed("component_id", "group_id")
+    key = F.concat_ws("/", F.col("slide_id").cast("string"), "component_id", "grid_i", "grid_j")
+    drawn = both.withColumn("sort_key", drawn_at(F.col("chance") / positions, key, seed))
+    drawn = drawn.where(F.col("sort_key") <= (attempts if attempts is not None else attempt_cap(n, target)))
+    first = Window.partitionBy("slide_id", "grid_i", "grid_j").orderBy("sort_key", "component_id")
+    ordered = in_order(drawn.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")).withColumnRenamed("component_id", "group_id")
     if target is None:
         ordered = ordered.where(F.col("roi_id") < n)
     measured = ordered.where(F.col("roi_id") < calibration_size(target)) if target else ordered

@@ -77,8 +77,12 @@ def iou(a: np.ndarray, b: np.ndarray, size: int) -> float:
     return inter / (2 * size * size - inter)
 
 
-def diverse(x: np.ndarray, q: np.ndarray, ij: np.ndarray, group: np.ndarray, history: np.ndarray, k: int, size: int, nms: float = 0.3, most_history: float | None = 0.6, method: str = "fps", seed: int = 0, tau: float | None = None) -> list[int]:
-    """Indices picked from one slide's candidates: a diverse set, without overlaps, filled up by quality, over two groups if possible."""
+def diverse(x: np.ndarray, q: np.ndarray, ij: np.ndarray, group: np.ndarray, history: np.ndarray, k: int, size: int, nms: float = 0.3, most_history: float | None = 0.6, method: str = "fps", seed: int = 0, tau: float | None = None, spread: bool = False) -> list[int]:
+    """Indices picked from one slide's candidates: a diverse set, without overlaps, filled up by quality.
+
+    spread: where two or more picks are all of one known group, the weakest of them makes room for the best candidate of
+    another group that may stand beside the rest.
+    """
     n = len(x)
     if n == 0 or k <= 0:
         return []
@@ -108,11 +112,11 @@ def diverse(x: np.ndarray, q: np.ndarray, ij: np.ndarray, group: np.ndarray, his
         if i not in picked and admissible(i, picked):
             picked.append(i)
     known = [group[i] for i in picked]
-    if len(picked) >= 2 and len(picked) == k and all(g >= 0 for g in known) and len(set(known)) == 1:
+    if spread and len(picked) >= 2 and all(g >= 0 for g in known) and len(set(known)) == 1:
         weakest = min(picked, key=lambda i: (q[i], picked.index(i)))
         rest = [i for i in picked if i != weakest]
         for i in by_quality:
-            if i not in picked and group[i] >= 0 and group[i] != known[0] and admissible(i, rest):
+            if i not in picked and group[i] >= 0 and group[i] != known[0] and fresh(i) and all(iou(ij[i], ij[j], size) <= nms for j in rest):
                 return [*rest, i]
     return picked
 
@@ -153,15 +157,26 @@ def quality_farthest(candidates: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return candidates.select("slide_id", F.col("roi_id").cast("int"), "quality", "embedding").groupBy("slide_id").applyInPandas(run, _PICKED.format(kind=kind))
 
 
+#: Items of one slide or group that are put into one row.
+MOST_LISTED = 20_000
+
+
+def checked_list(listed: DataFrame, key: str, items: str, most: int = MOST_LISTED) -> DataFrame:
+    """listed, with an error for a row of more than `most` items."""
+    message = F.concat(F.lit(f"more than {most} items of one group: "), F.col(key).cast("string"))
+    return listed.withColumn(items, F.when(F.size(items) <= most, F.col(items)).otherwise(F.raise_error(message).cast(listed.schema[items].dataType)))
+
+
 def overlap_free(candidates: DataFrame, size: int, most: float, order: Column) -> DataFrame:
     """The candidates that a greedy pass in ascending `order` keeps: each overlaps no kept one by more than `most`.
 
-    A fold over one slide's candidates in built-in functions; a bound of 0 or less keeps all.
+    A fold over one slide's candidates in built-in functions; a bound of 0 or less keeps all. More than MOST_LISTED
+    candidates of one slide are an error: they are those that a slide was asked for, not all its windows.
     """
     if most <= 0:
         return candidates.select("slide_id", "grid_i", "grid_j")
     item = F.struct(order.alias("o"), F.col("grid_i").cast("int").alias("i"), F.col("grid_j").cast("int").alias("j"))
-    listed = candidates.groupBy("slide_id").agg(F.array_sort(F.collect_list(item)).alias("_c"))
+    listed = checked_list(candidates.groupBy("slide_id").agg(F.array_sort(F.collect_list(item)).alias("_c")), "slide_id", "_c")
 
     def overlap(a: Column, b: Column) -> Column:
         inter = F.greatest(F.lit(0), F.lit(size) - F.abs(a["i"] - b["i"])) * F.greatest(F.lit(0), F.lit(size) - F.abs(a["j"] - b["j"]))
@@ -171,6 +186,18 @@ def overlap_free(candidates: DataFrame, size: int, most: float, order: Column) -
     return listed.select("slide_id", F.explode(kept).alias("x")).select("slide_id", F.col("x.i").alias("grid_i"), F.col("x.j").alias("grid_j"))
 
 
+def overlapping_pairs(windows: DataFrame, size: int) -> DataFrame:
+    """(slide_id, a_grid_i, a_grid_j, b_grid_i, b_grid_j) of the ordered pairs of one slide's windows that share a cell.
+
+    Each window meets those at every offset under its side by an equi-join: a fan-out of (2 size - 1)², not all pairs.
+    """
+    steps = F.sequence(F.lit(1 - size), F.lit(size - 1))
+    moved = windows.select("slide_id", F.col("grid_i").alias("a_grid_i"), F.col("grid_j").alias("a_grid_j"), F.explode(steps).alias("di")).withColumn("dj", F.explode(steps)).where("di <> 0 or dj <> 0")
+    keyed = moved.select("slide_id", "a_grid_i", "a_grid_j", (F.col("a_grid_i") + F.col("di")).alias("b_grid_i"), (F.col("a_grid_j") + F.col("dj")).alias("b_grid_j"))
+    other = windows.select("slide_id", F.col("grid_i").alias("b_grid_i"), F.col("grid_j").alias("b_grid_j")).distinct()
+    return keyed.join(other, ["slide_id", "b_grid_i", "b_grid_j"]).select("slide_id", "a_grid_i", "a_grid_j", "b_grid_i", "b_grid_j")
+
+
 def away_from(candidates: DataFrame, history: DataFrame, size: int, most: float | None) -> DataFrame:
     """The candidates that overlap no earlier pick of the slide by more than `most`; no bound keeps all."""
     if most is None or most <= 0:

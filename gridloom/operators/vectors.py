@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalar import dot, novelty, squared_distance, tile_weight, to_half, unit_vector
+from gridloom.functions.scalar import novelty, tile_weight, to_half
 
 
 def window_cells(windows: DataFrame, r: int, keep: tuple[str, ...] = ("slide_id", "roi_id")) -> DataFrame:
@@ -15,12 +20,83 @@ def window_cells(windows: DataFrame, r: int, keep: tuple[str, ...] = ("slide_id"
     return rows.select(*keep, "_j", (F.col("_i") + F.col("di")).alias("grid_i"), F.explode(offsets).alias("dj")).select(*keep, "grid_i", (F.col("_j") + F.col("dj")).alias("grid_j"))
 
 
+#: Keys whose sums a task holds before it hands them on.
+HELD_KEYS = 4096
+
+
+def vector_sums(rows: DataFrame, keys: list[str], vector: str, weights: dict[str, Column]) -> DataFrame:
+    """Of each key, for each named weight: the weighted sum of the vectors (name) and of the weights (name_total).
+
+    A task first adds up its own rows of a key in numpy, so a hot key is a row for each task when it is shuffled, and no
+    vector is ever taken apart into rows. Rows without a vector are left out; vectors of one task have one length.
+    """
+    names = list(weights)
+    given = rows.where(F.col(vector).isNotNull()).select(*keys, *(w.cast("double").alias(f"_w{i}") for i, w in enumerate(weights.values())), F.col(vector).cast("array<double>").alias("_v"))
+    key_types = [f.dataType.simpleString() for f in given.select(*keys).schema]
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, key_types)), *(f"_s{i} array<double>, _t{i} double" for i in range(len(names)))])
+    k = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, int] = {}
+        sums = totals = kinds = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                n = len(held)
+                cols = [pa.array([key[i] for key in held], kinds[i]) for i in range(k)]
+                for i in range(len(names)):
+                    ends = np.arange(0, (n + 1) * sums.shape[2], sums.shape[2], dtype=np.int32) if sums.shape[2] else np.zeros(n + 1, np.int32)
+                    cols += [pa.ListArray.from_arrays(pa.array(ends), pa.array(sums[i, :n].ravel())), pa.array(totals[i, :n])]
+                yield pa.RecordBatch.from_arrays(cols, [*keys, *(x for i in range(len(names)) for x in (f"_s{i}", f"_t{i}"))])
+                held.clear()
+                sums[:], totals[:] = 0, 0
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(k + len(names))
+            lengths = np.diff(lists.offsets.to_numpy())
+            if lengths.min() != lengths.max():
+                raise ValueError("vectors differ in length")
+            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, lengths[0])
+            w = [b.column(k + i).to_numpy(zero_copy_only=False) for i in range(len(names))]
+            kinds = [b.column(i).type for i in range(k)]
+            if sums is not None and sums.shape[2] != x.shape[1]:
+                raise ValueError("vectors differ in length")
+            if sums is None:
+                sums, totals = np.zeros((len(names), HELD_KEYS, x.shape[1])), np.zeros((len(names), HELD_KEYS))
+            rows_of = list(zip(*(b.column(i).to_pylist() for i in range(k))))
+            at = 0
+            while at < len(rows_of):
+                codes = []
+                for key in rows_of[at:]:
+                    if key not in held and len(held) == HELD_KEYS:
+                        break
+                    codes.append(held.setdefault(key, len(held)))
+                upto = at + len(codes)
+                order = np.argsort(codes, kind="stable")
+                code = np.asarray(codes)[order]
+                heads = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+                for i in range(len(names)):
+                    part = w[i][at:upto][order]
+                    sums[i, code[heads]] += np.add.reduceat(x[at:upto][order] * part[:, None], heads, axis=0)
+                    totals[i, code[heads]] += np.add.reduceat(part, heads)
+                at = upto
+                if at < len(rows_of):
+                    yield from flush()
+        yield from flush()
+
+    parts = given.mapInArrow(run, schema)
+    add = lambda c: F.aggregate(F.slice(c, 2, F.size(c)), F.get(c, 0), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    both = parts.groupBy(*keys).agg(*(x for i in range(len(names)) for x in (F.collect_list(f"_s{i}").alias(f"_l{i}"), F.sum(f"_t{i}").alias(f"{names[i]}_total"))))
+    return both.select(*keys, *(x for i, n in enumerate(names) for x in (add(F.col(f"_l{i}")).alias(n), F.col(f"{n}_total"))))
+
+
 def weighted_mean(rows: DataFrame, keys: list[str], vector: str, weight: Column, out: str = "embedding") -> DataFrame:
-    """The weighted mean vector of each key; zero total weight: the plain mean. Sums are combined before the shuffle."""
-    parts = rows.select(*keys, weight.cast("double").alias("_w"), F.posexplode(vector).alias("_d", "_x"))
-    sums = parts.groupBy(*keys, "_d").agg(F.sum(F.col("_w") * F.col("_x")).alias("_s"), F.sum("_w").alias("_t"), F.avg("_x").alias("_m"))
-    value = F.when(F.col("_t") > 0, F.col("_s") / F.col("_t")).otherwise(F.col("_m"))
-    return sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_d"), value.alias("v")))).alias("_a")).select(*keys, F.transform("_a", lambda s: s["v"]).alias(out))
+    """The weighted mean vector of each key; zero total weight: the plain mean."""
+    sums = vector_sums(rows, keys, vector, {"_weighted": weight, "_plain": F.lit(1.0)})
+    mean = lambda n: F.transform(n, lambda x: x / F.col(f"{n}_total"))
+    return sums.select(*keys, F.when(F.col("_weighted_total") > 0, mean("_weighted")).otherwise(mean("_plain")).alias(out))
 
 
 def window_embeddings(windows: DataFrame, tiles: DataFrame, features: DataFrame, r: int, tile_tissue: float, width: int) -> DataFrame:
@@ -35,11 +111,43 @@ def window_embeddings(windows: DataFrame, tiles: DataFrame, features: DataFrame,
     return out.select("slide_id", "roi_id", F.coalesce("embedding", F.array_repeat(F.lit(0.0), width)).alias("embedding"))
 
 
+#: Points of one slide that are compared with each other: the candidates that passed are tens; more than this is an error.
+MOST_POINTS = 4096
+#: Numbers of a block of differences that a task holds.
+BLOCK_NUMBERS = 1 << 22
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in vectors])
+
+
+def _checked(pdf: pd.DataFrame, slide: str) -> pd.DataFrame:
+    if len(pdf) > MOST_POINTS:
+        raise ValueError(f"slide {pdf[slide].iloc[0]} has {len(pdf)} points to compare, over {MOST_POINTS}")
+    return pdf
+
+
 def history_similarity(candidates: DataFrame, history: DataFrame, slide: str = "slide_id", key: str = "roi_id") -> DataFrame:
-    """(slide, key, max_similarity): the greatest cosine of each candidate to the slide's earlier picks (bounded per slide)."""
-    a = candidates.select(slide, key, unit_vector(F.col("embedding")).alias("_a"))
-    b = history.select(slide, unit_vector(F.col("embedding")).alias("_b"))
-    return a.join(b, slide).groupBy(slide, key).agg(F.max(dot(F.col("_a"), F.col("_b"))).alias("max_similarity"))
+    """(slide, key, max_similarity): the greatest cosine of each candidate to the slide's earlier picks; slides without any are left out.
+
+    A slide's candidates meet its picks as two matrices in one task; both are bounded by MOST_POINTS.
+    """
+    kinds = {c: candidates.schema[c].dataType.simpleString() for c in (slide, key)}
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(norm > 0, norm, 1.0)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({slide: [], key: [], "max_similarity": []})
+        x, y = unit(_matrix(_checked(a, slide).embedding)), unit(_matrix(_checked(b, slide).embedding))
+        step = max(1, BLOCK_NUMBERS // len(y))
+        best = np.concatenate([(x[k : k + step] @ y.T).max(1) for k in range(0, len(x), step)])
+        return pd.DataFrame({slide: a[slide], key: a[key], "max_similarity": best})
+
+    both = candidates.select(slide, key, "embedding").groupBy(slide).cogroup(history.select(slide, "embedding").groupBy(slide))
+    return both.applyInPandas(run, f"{slide} {kinds[slide]}, {key} {kinds[key]}, max_similarity double")
 
 
 def with_novelty(candidates: DataFrame, history: DataFrame, alpha: float = 1.0, eps: float = 0.05) -> DataFrame:
@@ -49,15 +157,35 @@ def with_novelty(candidates: DataFrame, history: DataFrame, alpha: float = 1.0,
     return out.withColumn("novelty", novelty(F.col("max_similarity"), alpha, eps))
 
 
-def pairs(points: DataFrame, slide: str = "slide_id", key: str = "roi_id") -> DataFrame:
-    """Ordered pairs a <> b of one slide's points (the candidates that passed: tens for each slide)."""
-    a = points.select(F.col(slide), *(F.col(c).alias(f"a_{c}") for c in points.columns if c != slide))
-    b = points.select(F.col(slide), *(F.col(c).alias(f"b_{c}") for c in points.columns if c != slide))
-    return a.join(b, slide).where(F.col(f"a_{key}") != F.col(f"b_{key}"))
+def _pair_blocks(points: DataFrame, slide: str, key: str, extra: list[str], of: Callable, columns: str) -> DataFrame:
+    """Rows for the ordered pairs of one slide's points, block by block: `of` makes columns from a block of rows and all points."""
+    kinds = {c: points.schema[c].dataType.simpleString() for c in (slide, key)}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _checked(pdf, slide).sort_values(key).reset_index(drop=True)
+        x = _matrix(pdf.embedding)
+        step = max(1, BLOCK_NUMBERS // x.size)
+        blocks = []
+        for k in range(0, len(x), step):
+            rows = np.arange(k, min(k + step, len(x)))
+            a, b = np.repeat(rows, len(x)), np.tile(np.arange(len(x)), len(rows))
+            d2 = ((x[rows, None] - x[None]) ** 2).sum(-1).ravel()
+            blocks.append(of(pdf, a, b, d2))
+        return pd.concat(blocks).assign(**{slide: pdf[slide].iloc[0]})
+
+    schema = f"{slide} {kinds[slide]}, a_{key} {kinds[key]}, b_{key} {kinds[key]}, {columns}"
+    return points.select(slide, key, *extra, "embedding").groupBy(slide).applyInPandas(run, schema)
 
 
 def pair_distances(points: DataFrame, slide: str = "slide_id", key: str = "roi_id") -> DataFrame:
-    return pairs(points, slide, key).withColumn("d2", squared_distance(F.col("a_embedding"), F.col("b_embedding")))
+    """(slide, a_key, b_key, d2): squared distances of the ordered pairs a <> b of one slide's points (at most MOST_POINTS)."""
+
+    def of(pdf: pd.DataFrame, a: np.ndarray, b: np.ndarray, d2: np.ndarray) -> pd.DataFrame:
+        names = pdf[key].to_numpy()
+        far = names[a] != names[b]
+        return pd.DataFrame({f"a_{key}": names[a[far]], f"b_{key}": names[b[far]], "d2": d2[far]})
+
+    return _pair_blocks(points, slide, key, [], of, "d2 double")
 
 
 def bandwidth(distances: DataFrame, slide: str = "slide_id") -> DataFrame:
@@ -68,32 +196,46 @@ def bandwidth(distances: DataFrame, slide: str = "slide_id") -> DataFrame:
 def kernel_entries(points: DataFrame, r: int, tau: float | None = None, jitter: float = 1e-6) -> DataFrame:
     """(slide_id, a, b, value): q_a q_b exp(-d²/σ²) exp(-p²/τ²) for all pairs and the diagonal; τ is 1.5 r by default.
 
-    points: slide_id, roi_id, grid_i, grid_j, quality, embedding.
+    points: slide_id, roi_id, grid_i, grid_j, quality, embedding. A kernel is one slide's (at most MOST_POINTS points): its
+    entries are made in one task, from the distances that also give its bandwidth.
     """
     tau = 1.5 * r if tau is None or tau <= 0 else tau
-    far = pair_distances(points)
-    shift = (F.col("a_grid_i") - F.col("b_grid_i")) * (F.col("a_grid_i") - F.col("b_grid_i")) + (F.col("a_grid_j") - F.col("b_grid_j")) * (F.col("a_grid_j") - F.col("b_grid_j"))
-    value = F.col("a_quality") * F.col("b_quality") * F.exp(-F.col("d2") / (F.col("sigma") * F.col("sigma"))) * F.exp(-shift / F.lit(tau * tau))
-    off = far.join(bandwidth(far), "slide_id").select("slide_id", F.col("a_roi_id").alias("a"), F.col("b_roi_id").alias("b"), value.alias("value"))
-    return off.unionByName(points.select("slide_id", F.col("roi_id").alias("a"), F.col("roi_id").alias("b"), (F.col("quality") * F.col("quality") + jitter).alias("value")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _checked(pdf, "slide_id").sort_values("roi_id").reset_index(drop=True)
+        x, ids, q = _matrix(pdf.embedding), pdf.roi_id.to_numpy(), pdf.quality.to_numpy(float)
+        i, j = pdf.grid_i.to_numpy(float), pdf.grid_j.to_numpy(float)
+        n, step = len(x), max(1, BLOCK_NUMBERS // x.size)
+        d2 = np.concatenate([((x[k : k + step, None] - x[None]) ** 2).sum(-1) for k in range(0, n, step)])
+        some = d2[(d2 > 0) & (ids[:, None] != ids[None])]
+        s2 = np.sqrt(np.median(some)) ** 2 if len(some) else 1.0
+        p2 = (i[:, None] - i[None]) ** 2 + (j[:, None] - j[None]) ** 2
+        value = q[:, None] * q[None] * np.exp(-d2 / s2) * np.exp(-p2 / (tau * tau))
+        value[np.diag_indices(n)] = q * q + jitter
+        a, b = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+        return pd.DataFrame({"slide_id": pdf.slide_id.iloc[0], "a": ids[a], "b": ids[b], "value": value.ravel()})
+
+    kinds = {c: points.schema[c].dataType.simpleString() for c in ("slide_id", "roi_id")}
+    return points.select("slide_id", "roi_id", "grid_i", "grid_j", "quality", "embedding").groupBy("slide_id").applyInPandas(run, f"slide_id {kinds['slide_id']}, a {kinds['roi_id']}, b {kinds['roi_id']}, value double")
 
 
 def masked_mean(rows: DataFrame, keys: list[str], vector: str, valid: str, out: str = "pooled") -> DataFrame:
     """Mean vector of the valid rows; the count is at least 1, so without a valid row it is zeros."""
-    parts = rows.select(*keys, F.col(valid).alias("_ok"), F.posexplode(vector).alias("_d", "_x"))
-    sums = parts.groupBy(*keys, "_d").agg((F.sum(F.when(F.col("_ok"), F.col("_x").cast("double")).otherwise(0.0)) / F.greatest(F.lit(1), F.count_if("_ok"))).alias("v"))
-    return sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_d", "v"))).alias("_a")).select(*keys, F.transform("_a", lambda s: s["v"]).alias(out))
+    sums = vector_sums(rows, keys, vector, {"_valid": F.when(F.col(valid), 1.0).otherwise(0.0)})
+    return sums.select(*keys, F.transform("_valid", lambda x: x / F.greatest(F.lit(1.0), F.col("_valid_total"))).alias(out))
 
 
 def overlap_mean(rows: DataFrame, keys: list[str], vector: str, out: str = "target") -> DataFrame:
     """Mean of the vectors that fall on one cell, and how many there are."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    return weighted_mean(rows, keys, vector, F.lit(1.0), out).join(counts, keys)
+    sums = vector_sums(rows, keys, vector, {"_all": F.lit(1.0)})
+    return sums.select(*keys, F.transform("_all", lambda x: x / F.col("_all_total")).alias(out), F.col("_all_total").cast("long").alias("n"))
 
 
 def running_centre(batches: DataFrame, group: str, order: str, vector: str, momentum: float, start: list[float]) -> DataFrame:
-    """(group, centre) after folding each batch's mean in order: c = m c + (1 - m) x. Batches of a group are few."""
-    steps = batches.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vector).alias("v")))).alias("_s"))
+    """(group, centre) after folding each batch's mean in order: c = m c + (1 - m) x; more than MOST_LISTED batches of one group are an error."""
+    from gridloom.operators.select import checked_list
+
+    steps = checked_list(batches.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vector).alias("v")))).alias("_s")), group, "_s")
     first = F.array(*[F.lit(float(x)) for x in start])
     fold = F.aggregate("_s", first, lambda c, s: F.zip_with(c, s["v"], lambda a, b: a * F.lit(momentum) + b.cast("double") * F.lit(1 - momentum)))
     return steps.select(group, fold.alias("centre"))
@@ -107,6 +249,3 @@ def best_class(scores: DataFrame, keys: list[str], label: str, score: str) -> Da
 def extremes(points: DataFrame, columns: list[str], slide: str = "slide_id") -> DataFrame:
     return points.groupBy(slide).agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))))
 
-
-def first_of(window_rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return window_rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import importlib
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from gridloom.schemas import TILE_MANIFEST
@@ -69,17 +74,28 @@ def slide_id_of(metadata_json, folder):
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """The schema's columns; a table's own partition columns are left out."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def read_legacy_manifests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Tile manifests whose files disagree on types (an all-null column may have none): each file is cast on its own."""
-    out = None
-    for p in paths:
-        raw = spark.read.parquet(p)
-        one = raw.select(*((raw[f.name] if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TILE_MANIFEST))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], TILE_MANIFEST)
+    """Tile manifests whose files disagree on types (an all-null column may have none).
+
+    Files are read by tasks, each cast on its own; a column that a file lacks is null. The plan does not grow with the files.
+    """
+    if not paths:
+        return spark.createDataFrame([], TILE_MANIFEST)
+    wanted = to_arrow_schema(TILE_MANIFEST)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                for part in pq.ParquetFile(pa.BufferReader(content.as_buffer())).iter_batches():
+                    cols = [part.column(part.schema.get_field_index(x.name)).cast(x.type) if x.name in part.schema.names else pa.nulls(part.num_rows, x.type) for x in wanted]
+                    yield pa.RecordBatch.from_arrays(cols, schema=wanted)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(paths)
+    return files.select("content").mapInArrow(run, TILE_MANIFEST)
 
 
 def grid_rectangle(grid: DataFrame, rows: tuple[int, int], cols: tuple[int, int], block: int = 16) -> DataFrame:
@@ -89,19 +105,162 @@ def grid_rectangle(grid: DataFrame, rows: tuple[int, int], cols: tuple[int, int]
     return grid.where(F.col("grid_i").between(rows[0], rows[1] - 1) & F.col("grid_j").between(cols[0], cols[1] - 1))
 
 
+# Properties that hold micrometres per pixel, and the objective's power.
+SPACING_PROPERTIES = ("openslide.mpp-x", "openslide.mpp-y", "aperio.MPP")
+POWER_PROPERTIES = ("openslide.objective-power", "aperio.AppMag", "hamamatsu.SourceLens")
+
 #: How a slide is opened, by the ending of its path; folders of series files have the empty ending.
 _OPENERS: dict[str, Callable[[str], object]] = {}
 
 
 def register_opener(ending: str, opener: Callable[[str], object]) -> None:
+    """Register a reader in this process; jobs take readers as an option, so that executors have them, too."""
     _OPENERS[ending.lower()] = opener
 
 
-def open_slide(path: str) -> object:
-    for ending, opener in sorted(_OPENERS.items(), key=lambda x: -len(x[0])):
-        if path.lower().endswith(ending):
-            return opener(path)
-    raise ValueError(f"no reader for {path}")
+def local_path(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path
+
+
+def _known_opener(path: str) -> Callable[[str], object] | None:
+    """Readers of installed libraries, and of arrays saved by numpy."""
+    low = path.lower()
+    if low.endswith(".npy"):
+        import numpy as np
+
+        return lambda p: ArraySlide(np.load(local_path(p)))
+    if low.endswith(SLIDE_ENDINGS):
+        try:
+            import openslide
+        except ImportError:
+            return None
+        return lambda p: openslide.OpenSlide(local_path(p))
+    try:
+        import wsidicom
+    except ImportError:
+        return None
+    return lambda p: SeriesSlide.of(wsidicom.WsiDicom.open(local_path(p if not p.lower().endswith(SERIES_ENDING) else p.rpartition("/")[0])))
+
+
+def open_slide(path: str, openers: dict[str, Callable[[str], object]] | None = None) -> object:
+    """The slide at path, by the reader with the longest ending that fits: those given, else those registered, else known ones."""
+    for known in (openers or {}, _OPENERS):
+        for ending, opener in sorted(known.items(), key=lambda x: -len(x[0])):
+            if path.lower().endswith(ending.lower()):
+                return opener(path)
+    if opener := _known_opener(path):
+        return opener(path)
+    raise ValueError(f"no reader for {path}; give one with --opener ending=module:function")
+
+
+@contextlib.contextmanager
+def opened_slide(path: str, openers: dict[str, Callable[[str], object]] | None = None) -> Iterator[object]:
+    slide = open_slide(path, openers)
+    try:
+        yield slide
+    finally:
+        if hasattr(slide, "close"):
+            slide.close()
+
+
+def named_openers(texts: list[str] | None) -> dict[str, Callable[[str], object]]:
+    """Readers from `ending=module:function` texts (an empty ending is for folders of series files)."""
+    out = {}
+    for text in texts or []:
+        ending, _, target = text.partition("=")
+        out[ending] = named(target)
+    return out
+
+
+def named(target: str):
+    """What `module:name` names."""
+    module, _, name = target.rpartition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def numbers(properties: dict, keys: tuple[str, ...]) -> list[float]:
+    out = []
+    for k in keys:
+        with contextlib.suppress(TypeError, ValueError):
+            out.append(float(properties[k] if k in properties else None))
+    return out
+
+
+def spacing_of(properties: dict) -> float | None:
+    """Micrometres per pixel at level 0: the mean of the properties that are numbers."""
+    found = numbers(properties, SPACING_PROPERTIES)
+    return sum(found) / len(found) if found else None
+
+
+def power_of(properties: dict, spacing: float | None) -> float | None:
+    """The objective's power: the first positive property, else ten over the spacing."""
+    found = [x for x in numbers(properties, POWER_PROPERTIES) if x > 0]
+    return found[0] if found else (10.0 / spacing if spacing and spacing > 0 else None)
+
+
+def pair_of(spacing: object) -> tuple[float, float] | None:
+    """(row, column) spacing from a pair or from an object that names its parts; None where it has none."""
+    with contextlib.suppress(TypeError, ValueError, AttributeError):
+        if hasattr(spacing, "__len__"):
+            row, col = (float(x) for x in spacing)
+        elif hasattr(spacing, "row") and hasattr(spacing, "column"):
+            row, col = float(spacing.row), float(spacing.column)
+        else:
+            row, col = float(spacing.height if hasattr(spacing, "height") else spacing.y), float(spacing.width if hasattr(spacing, "width") else spacing.x)
+        return (row, col) if row > 0 and col > 0 else None
+    return None
+
+
+class SeriesSlide:
+    """A series of images, one for each level, read like a single file: places are in level-0 pixels, outside is black.
+
+    levels: (number of the level in the series, width, height), largest first. read(number, (x, y), (w, h)): pixels of a
+    level, at places of that level, all inside it. Spacings (millimetres) are tried in turn.
+    """
+
+    def __init__(self, levels: list[tuple[int, int, int]], read: Callable, spacings: tuple = (), power: object = None, close: Callable[[], None] | None = None):
+        self.numbers, self.read, self._close = [n for n, _, _ in levels], read, close
+        self.level_dimensions = [(int(w), int(h)) for _, w, h in levels]
+        self.level_downsamples = [self.level_dimensions[0][0] / w if w > 0 else 1.0 for w, _ in self.level_dimensions]
+        self.properties: dict[str, str] = {}
+        for spacing in spacings:
+            if found := pair_of(spacing):
+                self.properties |= {"openslide.mpp-y": str(found[0] * 1000), "openslide.mpp-x": str(found[1] * 1000)}
+                break
+        with contextlib.suppress(TypeError, ValueError):
+            if float(power) > 0:
+                self.properties["openslide.objective-power"] = str(float(power))
+
+    @classmethod
+    def of(cls, series: object) -> SeriesSlide:
+        """From an opened series whose levels have data sets, as series libraries have them."""
+        levels = list(series.levels)
+        first = levels[0].datasets[0]
+        sizes = [(int(getattr(x, "level", k)), x.datasets[0].TotalPixelMatrixColumns, x.datasets[0].TotalPixelMatrixRows) for k, x in enumerate(levels)]
+        image = getattr(getattr(series, "metadata", None), "image", None)
+        spacings = (getattr(image, "pixel_spacing", None), getattr(first, "PixelSpacing", None))
+        return cls(sizes, lambda n, at, size: series.read_region(at, n, size), spacings, getattr(first, "ObjectiveLensPower", None), series.close)
+
+    def read_region(self, location: tuple[int, int], level: int, size: tuple[int, int]):
+        import numpy as np
+
+        (w0, h0), (w, h) = self.level_dimensions[0], self.level_dimensions[level]
+        if min(size) <= 0:
+            raise ValueError(f"a region of {size} pixels")
+        x, y = round(location[0] * w / w0), round(location[1] * h / h0)
+        left, top, right, bottom = max(0, x), max(0, y), min(w, x + size[0]), min(h, y + size[1])
+        if right <= left or bottom <= top:
+            return np.zeros((size[1], size[0], 3), np.uint8)
+        got = np.asarray(self.read(self.numbers[level], (left, top), (right - left, bottom - top)))
+        if got.shape[:2] == (size[1], size[0]):
+            return got
+        out = np.zeros((size[1], size[0], got.shape[2]), got.dtype)
+        out[top - y : bottom - y, left - x : right - x] = got
+        return out
+
+    def close(self) -> None:
+        if self._close:
+            self._close()
 
 
 class ArraySlide:
@@ -123,6 +282,31 @@ class ArraySlide:
         return out
 
 
+class Fetched:
+    """Opens a series that a function first fetches into a folder; the folder is gone when the slide is closed."""
+
+    def __init__(self, fetch: Callable[[str, str], None], openers: dict[str, Callable[[str], object]] | None = None):
+        self.fetch, self.openers = fetch, openers
+
+    def __call__(self, uid: str) -> object:
+        folder = tempfile.mkdtemp(prefix="series-")
+        try:
+            self.fetch(uid, folder)
+            slide = open_slide(folder, self.openers)
+        except BaseException:
+            shutil.rmtree(folder, ignore_errors=True)
+            raise
+        inner = getattr(slide, "close", None)
+
+        def close() -> None:
+            if inner:
+                inner()
+            shutil.rmtree(folder, ignore_errors=True)
+
+        slide.close = close
+        return slide
+
+
 def with_series(series: DataFrame, fetch: Callable[[str, str], None], work: Callable[[str, pd.Series], pd.DataFrame], schema: StructType | str, key: str = "SeriesInstanceUID") -> DataFrame:
     """Results of `work` on each series, whose files `fetch(uid, folder)` puts into a folder that is gone afterwards.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from gridloom.schemas import FEATURE_GRID, TILE_MANIFEST, require
+from gridloom.storage import cut
 
 
 def without_nan(df: DataFrame) -> DataFrame:
@@ -36,10 +37,42 @@ def write_tile_manifest(tiles: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slide_id").parquet(path)
 
 
+#: Folders of a feature store: a slide is in one of them, whatever the number of slides and blocks.
+STORE_BUCKETS = 256
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    bucket = F.pmod(F.xxhash64(F.col("slide_id").cast("string")), F.lit(STORE_BUCKETS)).cast("int")
+    # a bucket's rows are spread over tasks by block rows, so a large slide is not one task's
+    placed = require(rows, FEATURE_GRID).withColumn("bucket", bucket)
+    return placed.repartition("bucket", "slide_id", "block_i").sortWithinPartitions("bucket", "slide_id", "block_i", "block_j")
+
+
 def write_features(rows: DataFrame, path: str) -> None:
-    """Feature cells by slide and block; blocks written again replace themselves alone."""
-    rows = require(rows, FEATURE_GRID).repartition("slide_id", "block_i").sortWithinPartitions("slide_id", "block_i", "block_j")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slide_id", "block_i", "block_j").parquet(path)
+    """Append feature cells that the store lacks.
+
+    Folders are buckets of slides; within a file cells are sorted by slide and block, so row groups are pruned by both.
+    """
+    _bucketed(rows).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def replace_features(store: DataFrame, rows: DataFrame, path: str) -> None:
+    """Put cells into the store that it may have already; only the buckets of their slides are written anew.
+
+    The new buckets are first written to the shared folder, as a table cannot be read while it is replaced.
+    """
+    from gridloom.operators.encode import upserted
+
+    new = _bucketed(rows).select("bucket").distinct()
+    old = require(store, FEATURE_GRID).withColumn("bucket", F.pmod(F.xxhash64(F.col("slide_id").cast("string")), F.lit(STORE_BUCKETS)).cast("int"))
+    touched = old.join(F.broadcast(new), "bucket", "left_semi").drop("bucket")
+    merged = cut(upserted(touched, require(rows, FEATURE_GRID)), "store-buckets")
+    _bucketed(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def metadata_json(slides: DataFrame, extra: str = "extra") -> DataFrame:
@@ -51,15 +84,18 @@ def metadata_json(slides: DataFrame, extra: str = "extra") -> DataFrame:
 
 
 def samples_document(candidates: DataFrame, roi_size: int, metadata: dict[str, str] | None = None) -> DataFrame:
-    """One row per slide as the samples document: passed and selected candidates as arrays, in order."""
+    """One row per slide as the samples document: passed and selected candidates as arrays, in order (at most MOST_LISTED each)."""
+    from gridloom.operators.select import checked_list
+
     item = F.struct("roi_id", "grid_i", "grid_j", "tissue_frac", "artifact_frac", "group_id")
     listed = candidates.groupBy("slide_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("passed_qc"), item))).alias("passed_candidates"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("pick").isNotNull(), F.struct("pick", item.alias("c"))))), lambda x: x["c"]).alias("selected_candidates"),
     )
+    listed = checked_list(listed, "slide_id", "passed_candidates")
     note = F.to_json(F.create_map(*[F.lit(x) for kv in (metadata or {"sampler": "gridloom"}).items() for x in kv]))
     return listed.select("slide_id", F.lit(roi_size).alias("roi_size"), "passed_candidates", "selected_candidates", note.alias("metadata"))
 
 
-def write_samples(candidates: DataFrame, roi_size: int, path: str, metadata: dict[str, str] | None = None) -> None:
-    samples_document(candidates, roi_size, metadata).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_samples(candidates: DataFrame, roi_size: int, path: str, metadata: dict[str, str] | None = None, mode: str = "overwrite") -> None:
+    samples_document(candidates, roi_size, metadata).write.mode(mode).option("ignoreNullFields", "false").json(path)
