@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.catalog import fixtures as fx
 from gridloom.catalog.fixtures import N_COLS, N_ROWS, R
 from gridloom.functions import scalar as sc
-from gridloom.operators import curate, encode, grid, groups, sampling, select, vectors, views
+from gridloom.operators import curate, encode, grid, groups, sampling, segment, select, vectors, views
 from gridloom.plans import jobs
 from gridloom.sources import readers, sinks
 from gridloom.storage import cut, scratch_path
@@ -79,7 +79,7 @@ def slide_table(spark, sf):
     return _slides(spark, sf)
 
 
-_NAMES = {"cols": "base_px_cols", "rows": "base_px_rows", "size_mb": "series_size", "power": "x20_px_cols", "near_spacing": "x20_px_spacing", "base_spacing": "base_px_spacing", "has_x20": "has_x20_level", "syntax": "base_transfer_syntax"}
+_NAMES = {"cols": "base_px_cols", "rows": "base_px_rows", "size_mb": "series_size", "power": "x20_px_cols", "spacing": "x20_px_spacing", "base_spacing": "base_px_spacing", "has_x20": "has_x20_level", "syntax": "base_transfer_syntax"}
 
 
 @query(
@@ -94,7 +94,7 @@ def quality_filters(spark, sf):
 
 def _dense(spark, sf):
     out = curate.density(_slides(spark, sf), "series_size", F.col("base_px_cols"), F.col("base_px_rows"), F.col("has_x20_level"), (F.col("x20_px_cols"), F.col("x20_px_rows")), 1e3)
-    return out.select("series_id", "patient_id", "site", "stain", "collection_id", "area_mpix", "mb_per_mpix").withColumn("grp", sc.group_key("site_codec", "site", "stain", "collection_id"))
+    return out.select("series_id", "patient_id", "site", "stain", "collection_id", "area_mpix", "mb_per_mpix").withColumn("grp", sc.density_key("site_codec", site="site", codec="stain", collection="collection_id"))
 
 
 DENSE = SLIDES.rstrip() + """,
@@ -120,18 +120,21 @@ def density_group_topq(spark, sf):
     return curate.density_filter(_dense(spark, sf), "group_topq", 0.25, group="grp")
 
 
-@query(DENSE + "SELECT * FROM dense WHERE mb_per_mpix >= 100 AND mb_per_mpix >= 150")
+@query(DENSE + "SELECT * FROM dense WHERE mb_per_mpix >= 150")
 def density_threshold(spark, sf):
-    return curate.density_filter(_dense(spark, sf), "threshold", threshold=150.0, least=100.0)
+    return curate.density_filter(_dense(spark, sf), "threshold", least=150.0)
 
 
-@query(_with(S_) + """SELECT series_id, replace(lower(upper(collection_id) || '-A'), '-', '_') AS collection_norm, coalesce(nullif(site, '5-LOW'), 'None') AS k_site,
- coalesce(nullif(site, '5-LOW'), 'None') || '||' || stain AS k_site_codec, collection_id || '||' || coalesce(nullif(site, '5-LOW'), 'None') || '||' || stain AS k_all FROM series""")
+@query(_with(S_, "x AS (SELECT series_id, collection_id AS c, nullif(site, '5-LOW') AS s, nullif(stain, 'P') AS t FROM series)") + """SELECT series_id, replace(lower(upper(c) || '-A'), '-', '_') AS collection_norm,
+ s AS d_site, s || '||' || t AS d_site_codec, c || '||' || s || '||' || t AS d_all, c AS b_collection, c || '||' || coalesce(s, 'UNKNOWN') AS b_collection_site, c || '||' || coalesce(s, 'UNKNOWN') || '||' || coalesce(t, 'UNKNOWN') AS b_all FROM x""")
 def group_keys(spark, sf):
-    s = fx.series(spark, sf).withColumn("site", F.nullif("site", F.lit("5-LOW")))
+    s = fx.series(spark, sf).withColumn("site", F.nullif("site", F.lit("5-LOW"))).withColumn("stain", F.nullif("stain", F.lit("P")))
     name = sc.normalised_name(F.concat(F.upper("collection_id"), F.lit("-A")))
-    key = lambda mode: sc.group_key(mode, "site", "stain", "collection_id")
-    return s.select("series_id", name.alias("collection_norm"), key("site").alias("k_site"), key("site_codec").alias("k_site_codec"), key("collection_site_codec").alias("k_all"))
+    dense = lambda mode: sc.density_key(mode, site="site", codec="stain", collection="collection_id")
+    ranked = s.select("series_id", name.alias("collection_norm"), dense("site").alias("d_site"), dense("site_codec").alias("d_site_codec"), dense("collection_site_codec").alias("d_all"), "collection_id", "site", "stain")
+    filled = sc.unknown_filled(ranked, ["site", "stain"])
+    group = lambda mode: sc.balance_key(mode, collection="collection_id", site="site", stain="stain")
+    return filled.select("series_id", "collection_norm", "d_site", "d_site_codec", "d_all", group("collection").alias("b_collection"), group("collection_site").alias("b_collection_site"), group("collection_site_stain").alias("b_all"))
 
 
 @query(_with(S_) + "SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY site ORDER BY md5(series_id::VARCHAR || ':0'), series_id) <= 50")
@@ -375,13 +378,38 @@ def dilate(spark, sf):
     return grid.dilated(t.where("size >= 45"), 2, dims)
 
 
-@query(
-    _with(G_, f"o AS (SELECT * FROM (VALUES {_offsets(1)}) o(dy, dx))", "c AS (SELECT slide_id, grid_i, grid_j FROM grid WHERE size >= 15)",
-          f"e AS (SELECT c.slide_id, c.grid_i, c.grid_j FROM c, o JOIN c d ON d.slide_id = c.slide_id AND d.grid_i = c.grid_i + dy AND d.grid_j = c.grid_j + dx GROUP BY ALL HAVING count(*) = {len(grid.ellipse(1))})")
-    + "SELECT DISTINCT slide_id, grid_i + dy AS grid_i, grid_j + dx AS grid_j FROM e, o"
-)
+_IN = f"{{i}} BETWEEN 0 AND {N_ROWS - 1} AND {{j}} BETWEEN 0 AND {N_COLS - 1}"
+
+
+def _eroded(name: str, of: str) -> str:
+    """SQL of an erosion: as many of the kernel's places are in the set as are in the grid."""
+    moved = _IN.format(i="grid_i + dy", j="grid_j + dx")
+    return f"""{name}_at AS (SELECT DISTINCT slide_id, grid_i - dy AS grid_i, grid_j - dx AS grid_j FROM {of}, o WHERE {_IN.format(i='grid_i - dy', j='grid_j - dx')}),
+{name} AS (SELECT a.slide_id, a.grid_i, a.grid_j FROM (SELECT *, grid_i + dy AS i, grid_j + dx AS j FROM {name}_at, o WHERE {moved}) a
+ LEFT JOIN {of} d ON d.slide_id = a.slide_id AND d.grid_i = a.i AND d.grid_j = a.j GROUP BY a.slide_id, a.grid_i, a.grid_j HAVING count(*) = count(d.slide_id))"""
+
+
+def _dilated(name: str, of: str) -> str:
+    return f"{name} AS (SELECT DISTINCT slide_id, grid_i + dy AS grid_i, grid_j + dx AS grid_j FROM {of}, o WHERE {_IN.format(i='grid_i + dy', j='grid_j + dx')})"
+
+
+_CELLS = (G_, f"o AS (SELECT * FROM (VALUES {_offsets(1)}) o(dy, dx))", "c AS (SELECT slide_id, grid_i, grid_j FROM grid WHERE size >= 15)")
+
+
+def _dims(t: DataFrame) -> DataFrame:
+    return t.select("slide_id").distinct().select("slide_id", F.lit(N_ROWS).alias("n_rows"), F.lit(N_COLS).alias("n_cols"))
+
+
+@query(_with(*_CELLS, _eroded("e", "c"), _dilated("d", "e")) + "SELECT * FROM d")
 def morphology_open(spark, sf):
-    return grid.opened(fx.tiles(spark, sf).where("size >= 15"), 1)
+    t = fx.tiles(spark, sf)
+    return grid.opened(t.where("size >= 15"), 1, _dims(t))
+
+
+@query(_with(*_CELLS, _dilated("d", "c"), _eroded("e", "d")) + "SELECT * FROM e")
+def morphology_close(spark, sf):
+    t = fx.tiles(spark, sf)
+    return grid.closed(t.where("size >= 15"), 1, _dims(t))
 
 
 @query(
@@ -512,9 +540,8 @@ _IOU = f"(greatest(0, {R} - abs(a.grid_i - b.grid_i)) * greatest(0, {R} - abs(a.
 
 @query(WINDOWS + f"SELECT a.slide_id, a.grid_i AS a_grid_i, a.grid_j AS a_grid_j, b.grid_i AS b_grid_i, b.grid_j AS b_grid_j, {_IOU} / ({2 * R * R}::DOUBLE - {_IOU}) AS iou FROM win a JOIN win b ON a.slide_id = b.slide_id AND (a.grid_i, a.grid_j) <> (b.grid_i, b.grid_j) WHERE {_IOU} > 0")
 def iou_pairs(spark, sf):
-    w = _windows(spark, sf).select("slide_id", (F.col("grid_i") * 1000 + F.col("grid_j")).alias("roi_id"), "grid_i", "grid_j")
-    p = vectors.pairs(w).withColumn("iou", sc.square_iou(F.col("a_grid_i"), F.col("a_grid_j"), F.col("b_grid_i"), F.col("b_grid_j"), R))
-    return p.where("iou > 0").select("slide_id", "a_grid_i", "a_grid_j", "b_grid_i", "b_grid_j", "iou")
+    p = select.overlapping_pairs(_windows(spark, sf), R)
+    return p.withColumn("iou", sc.square_iou(F.col("a_grid_i"), F.col("a_grid_j"), F.col("b_grid_i"), F.col("b_grid_j"), R))
 
 
 _REC_IOU = f"(greatest(0, {R} - abs(k.i - o.grid_i)) * greatest(0, {R} - abs(k.j - o.grid_j)))"
@@ -762,11 +789,10 @@ def comma_list(spark, sf):
     return c.select("c_custkey", F.get(parts, 0).alias("first"), F.size(parts).cast("long").alias("n"), sc.micrometres("c_acctbal").alias("um"))
 
 
-@query(_with(G_, "x AS (SELECT slide_id, grid_i, grid_j, tissue_frac AS student FROM grid WHERE size % 2 = 0)", "y AS (SELECT slide_id, grid_i, grid_j, artifact_frac AS teacher FROM grid WHERE size % 3 = 0)") + "SELECT * FROM x JOIN y USING (slide_id, grid_i, grid_j)")
+@query(_with(G_, V_, "y AS (SELECT slide_id, grid_i, grid_j, max(quality) AS teacher FROM vec GROUP BY ALL)") + "SELECT slide_id, grid_i, grid_j, tissue_frac AS student, teacher FROM grid JOIN y USING (slide_id, grid_i, grid_j)")
 def student_targets(spark, sf):
-    t = fx.tiles(spark, sf)
-    x = t.where("size % 2 = 0").select("slide_id", "grid_i", "grid_j", F.col("tissue_frac").alias("student"))
-    y = t.where("size % 3 = 0").select("slide_id", "grid_i", "grid_j", F.col("artifact_frac").alias("teacher"))
+    x = fx.tiles(spark, sf).select("slide_id", "grid_i", "grid_j", F.col("tissue_frac").alias("student"))
+    y = fx.vectors(spark, sf).groupBy("slide_id", "grid_i", "grid_j").agg(F.max("quality").alias("teacher"))
     return views.student_targets(x, y, ["slide_id", "grid_i", "grid_j"])
 
 
@@ -802,7 +828,9 @@ def feature_store(spark, sf):
     kept = encode.stored_features(rows, 64, valid=F.col("tissue_frac") >= 0.3)
     path = scratch_path(spark, "features")
     sinks.write_features(kept, path)
-    back = readers.read_table(spark, path, kept.schema)
+    from gridloom.schemas import FEATURE_GRID
+
+    back = readers.read_table(spark, path, FEATURE_GRID).withColumn("slide_id", F.col("slide_id").cast(kept.schema["slide_id"].dataType))
     return back.select("slide_id", "block_i", "block_j", "grid_i", "grid_j", "valid", F.posexplode("features").alias("k", "x")).select("slide_id", "block_i", "block_j", "grid_i", "grid_j", "k", F.col("x").cast("double").alias("value"), "valid")
 
 
@@ -859,18 +887,67 @@ def sample_rois(spark, sf):
     return jobs.sample_rois(t, _features(spark, sf), 3, k=2, target=16, width=64, least_tissue=0.4, radius=1, cover=0.6)
 
 
-@query(None)
+@query(ORDERED + """, c AS (SELECT *, CASE WHEN roi_id = 3 THEN 1 WHEN roi_id = 5 THEN 0 END AS pick FROM gated),
+d AS (SELECT slide_id, 'passed' AS kind, row_number() OVER (PARTITION BY slide_id ORDER BY roi_id) - 1 AS place, roi_id, grid_i, grid_j, tissue_frac, artifact_frac FROM c WHERE passed_qc
+ UNION ALL SELECT slide_id, 'selected', row_number() OVER (PARTITION BY slide_id ORDER BY pick) - 1, roi_id, grid_i, grid_j, tissue_frac, artifact_frac FROM c WHERE pick IS NOT NULL)
+SELECT slide_id, 3 AS roi_size, kind, place::INT AS place, roi_id, grid_i, grid_j, tissue_frac, artifact_frac FROM d""")
 def samples_document(spark, sf):
-    return sinks.samples_document(sample_rois(spark, sf), 3)
+    r = F.col("roi_id")
+    c = _gated(spark, sf).withColumn("pick", F.when(r == 3, 1).when(r == 5, 0)).withColumn("group_id", F.lit(None).cast("int"))
+    doc = sinks.samples_document(c, 3)
+    rows = [doc.select("slide_id", "roi_size", F.lit(kind).alias("kind"), F.posexplode(f"{kind}_candidates").alias("place", "c")) for kind in ("passed", "selected")]
+    return rows[0].unionByName(rows[1]).select("slide_id", "roi_size", "kind", "place", "c.roi_id", "c.grid_i", "c.grid_j", "c.tissue_frac", "c.artifact_frac")
+
+
+def _images(spark, sf):
+    """Grey thumbnails of the grids: a pixel for each cell, white where there is none."""
+    size = F.map_from_entries(F.collect_list(F.struct((F.col("grid_i") * N_COLS + F.col("grid_j")).alias("at"), "size")))
+    cells = fx.tiles(spark, sf).groupBy("slide_id").agg((F.max("grid_i") + 1).alias("height"), size.alias("m"))
+    greys = F.transform(F.sequence(F.lit(0), F.col("height") * N_COLS - 1), lambda at: F.lpad(F.hex(255 - F.coalesce(F.try_element_at("m", at), F.lit(0)) * 5), 2, "0"))
+    rgb = F.unhex(F.regexp_replace(F.array_join(greys, ""), "(..)", "$1$1$1"))
+    return cells.select(F.col("slide_id").cast("string").alias("slide_id"), "height", F.lit(N_COLS).alias("width"), rgb.alias("rgb"))
 
 
 @query(None)
 def tissue_masks(spark, sf):
-    cells = fx.tiles(spark, sf).groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("tile_id", "size"))).alias("a"))
-    hexes = F.array_join(F.transform("a", lambda s: F.lpad(F.hex(255 - s["size"] * 5), 2, "0")), "")
-    grey = F.unhex(F.regexp_replace(hexes, "(..)", "$1$1$1"))
-    images = cells.where(F.size("a") == N_ROWS * N_COLS).select(F.col("slide_id").cast("string").alias("slide_id"), F.lit(N_ROWS).alias("height"), F.lit(N_COLS).alias("width"), grey.alias("rgb"))
-    return grid.tissue_masks(images, 3, 4)
+    return grid.tissue_masks(_images(spark, sf), 3, 4)
+
+
+@query(_with(G_) + f"""SELECT slide_id::VARCHAR AS slide_id, t.tile_id, avg(CASE WHEN coalesce(g.size, 0) >= 20 THEN 1.0::DOUBLE ELSE 0 END) AS fraction
+ FROM (SELECT slide_id, max(grid_i) + 1 AS h FROM grid GROUP BY slide_id) s, (SELECT i * 5 + j AS tile_id, i * 3 AS i0, j * 4 AS j0 FROM range(4) a(i), range(5) b(j)) t, range(3) c(di), range(4) d(dj)
+ LEFT JOIN grid g ON g.slide_id = s.slide_id AND g.grid_i = i0 + di AND g.grid_j = j0 + dj WHERE i0 + di < h GROUP BY ALL""".replace("SELECT slide_id::VARCHAR AS slide_id, t", "SELECT s.slide_id::VARCHAR AS slide_id, t"))
+def packed_fractions(spark, sf):
+    import numpy as np
+
+    images = _images(spark, sf)
+
+    def dark(frames):
+        for pdf in frames:
+            yield pdf.assign(tissue=[np.packbits(np.frombuffer(x, np.uint8)[::3] <= 155).tobytes() for x in pdf.rgb])[["slide_id", "height", "width", "tissue"]]
+
+    masks = images.mapInPandas(dark, "slide_id string, height int, width int, tissue binary")
+    tiles = images.select("slide_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("tile_id"), "height").withColumn("tile_id", F.col("tile_id").cast("long"))
+    i, j = F.floor(F.col("tile_id") / 5) * 3, F.col("tile_id") % 5 * 4
+    boxes = tiles.select("slide_id", "tile_id", j.alias("x0_lvl0"), (j + 4).alias("x1_lvl0"), i.alias("y0_lvl0"), (i + 3).alias("y1_lvl0"), F.lit(1.0).alias("scale_x"), F.lit(1.0).alias("scale_y"), "height").where("y0_lvl0 < height")
+    return grid.packed_fractions(boxes, masks, "tissue", "fraction").select("slide_id", "tile_id", "fraction")
+
+
+@query(None)
+def artifact_masks(spark, sf):
+    """Artifacts of the grids' thumbnails by the stand-in segmenter; the slides are arrays made from the path."""
+    images = _images(spark, sf)
+    masks = grid.tissue_masks(images, 3, 4).select("slide_id", "height", "width", "tissue")
+    slides = masks.select("slide_id", F.concat(F.lit("grid-"), "slide_id").alias("slide_path"), F.lit(1.5).alias("mpp"), "height", "width", "tissue")
+    found = segment.artifact_masks(slides, segment.stand_in_segmenter(), {"": _striped}, patch=8, least=2, batch=3)
+    return found.select("slide_id", "height", "width", F.hex("artifact").alias("artifact"), "patches", "patches_read")
+
+
+def _striped(path: str):
+    import numpy as np
+
+    pixels = np.zeros((N_ROWS, N_COLS, 3), np.uint8)
+    pixels[:, ::2, 1] = 200
+    return readers.ArraySlide(pixels)
 
 
 @query(_with(S_) + "SELECT site, count(*) AS n FROM series GROUP BY site")
