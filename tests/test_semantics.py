@@ -28,17 +28,17 @@ def test_percent_rank_equals_pandas(spark):
     rng = np.random.default_rng(1)
     pdf = __import__("pandas").DataFrame({"id": range(500), "g": rng.integers(0, 4, 500), "v": rng.integers(0, 40, 500).astype(float)})
     df = spark.createDataFrame(pdf).repartition(7)
-    got = curate.global_percent_rank(df, "v").toPandas().set_index("id").pct.sort_index()
+    got = curate.percent_rank(df, "v").toPandas().set_index("id").pct.sort_index()
     assert np.allclose(got, pdf.v.rank(pct=True))
-    got = curate.grouped_percent_rank(df, "g", "v").toPandas().set_index("id").pct.sort_index()
+    got = curate.percent_rank(df, "v", "g").toPandas().set_index("id").pct.sort_index()
     assert np.allclose(got, pdf.groupby("g").v.rank(pct=True))
 
 
 def test_percent_rank_of_nothing_and_null_groups(spark):
     df = spark.createDataFrame([(1, None, None), (2, None, 3.0)], "id int, g string, v double")
-    assert curate.grouped_percent_rank(df, "g", "v").count() == 0
-    assert [r.pct for r in curate.global_percent_rank(df, "v").collect()] == [1.0]
-    assert curate.global_percent_rank(df.limit(0), "v").count() == 0
+    assert curate.percent_rank(df, "v", "g").count() == 0
+    assert [r.pct for r in curate.percent_rank(df, "v").collect()] == [1.0]
+    assert curate.percent_rank(df.limit(0), "v").count() == 0
 
 
 def test_balanced_unique_equals_the_greedy_loop(spark):
@@ -74,7 +74,9 @@ def test_zero_area_has_no_density(spark):
 
 def test_group_mode_must_be_known():
     with pytest.raises(ValueError):
-        sc.group_key("other", "a", "b", "c")
+        sc.density_key("other", site="a")
+    with pytest.raises(ValueError):
+        sc.balance_key("site", site="a")
 
 
 def cells(spark, a, slide="s"):
@@ -151,7 +153,12 @@ def test_groups_are_spread():
     x = np.array([[0.0], [9.0], [4.0]])
     ij = np.array([[0, 0], [0, 40], [40, 0]])
     got = select.diverse(x, np.array([1.0, 0.9, 0.1]), ij, np.array([3, 3, 5]), np.zeros((0, 2)), 2, 16)
+    assert got == [0, 1]
+    got = select.diverse(x, np.array([1.0, 0.9, 0.1]), ij, np.array([3, 3, 5]), np.zeros((0, 2)), 2, 16, spread=True)
     assert got == [0, 2]
+    # fewer picks than asked for are spread, too
+    got = select.diverse(x, np.array([1.0, 0.9, 0.1]), ij, np.array([3, 3, 5]), np.zeros((0, 2)), 3, 16, spread=True)
+    assert sorted(got) == [0, 1, 2]
 
 
 def test_determinantal_draw_has_k_different_items():
@@ -205,7 +212,7 @@ def test_encoding_from_slides(spark):
     a = np.zeros((8, 8, 3), np.uint8)
     a[4:, 4:] = 200
     tiles = spark.createDataFrame([("s", "x", 0, 0, 0, 0), ("s", "x", 1, 1, 4, 4), ("s", "x", 2, 2, 8, 8)], "slide_id string, slide_path string, grid_i int, grid_j int, x0_lvl0 int, y0_lvl0 int")
-    got = {r.grid_i: r.features[0] for r in encode.encode_slides(tiles, lambda p: readers.ArraySlide(a), encode.stand_in_encoder(2), 4, 2).collect()}
+    got = {r.grid_i: r.features[0] for r in encode.encode_slides(tiles, encode.stand_in_encoder(2), 4, 2, openers={"": lambda p: readers.ArraySlide(a)}).collect()}
     assert got[0] == got[2] == 1.0 and math.isclose(got[1], math.cos(200), abs_tol=1e-6)
 
 
