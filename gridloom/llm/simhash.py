@@ -1,29 +1,29 @@
 """SimHash near-duplicates: fingerprints, then a binary-trie self-join of the distinct fingerprints.
 
-A pair within `budget` differing bits has, in one of three parts of the 64 bits, at most budget // 3 differing bits.
-So the trie is walked three times, each time with another part on top, and a pair of nodes is dropped as soon as it
-has more differing bits than that part (or the whole word) allows. The top `depth` levels of each walk are done by
-Spark: a fingerprint goes to its own cell, and to the cells that one error leads to. A task walks the rest of its
-cells breadth-first with numpy and returns a spanning forest of the links it finds, never the links themselves.
+Cut into budget + k blocks, two fingerprints within `budget` differing bits agree in k blocks at least. So a trie is walked
+for each choice of k blocks, with the bits of those on top: there no pair of nodes may differ, so these levels are a shuffle
+by the blocks' bits. Below, a task walks pairs of nodes of its cells together, breadth-first with numpy, adds up differing
+bits, and drops a pair as soon as the budget is exceeded. It returns a spanning forest of the links it finds, never the links
+themselves. More fingerprints take more blocks on top (longer keys), so cells stay small however many there are.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut, fresh, parts_for, small, trim
 from gridloom.llm.components import connected_components
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
-#: First bit of each of the three parts, and their lengths.
-PARTS = ((0, 22), (22, 21), (43, 21))
+#: Members that a cell should have on average, about, and the most blocks on top.
+CELL, MOST_TOP = 64, 4
 #: Members of a cell that one task compares; larger cells are dealt as pairs of blocks.
 BLOCK = 8192
 
@@ -64,8 +64,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _rotated(fp, start: int):
-    return fp if not start else F.shiftleft(fp, start).bitwiseOR(F.shiftrightunsigned(fp, 64 - start))
+def orders(budget: int, top: int) -> tuple[list[list[tuple[int, int]]], int]:
+    """For each choice of `top` of the budget + top blocks the blocks (first bit, length), chosen ones first; and the least key length.
+
+    Bit 0 is the highest. Blocks differ in length by one at most.
+    """
+    n = budget + top
+    edges = [64 * i // n for i in range(n + 1)]
+    blocks = [(a, b - a) for a, b in zip(edges, edges[1:])]
+    out = [[*chosen, *(x for x in blocks if x not in chosen)] for chosen in itertools.combinations(blocks, top)]
+    return out, min(sum(length for _, length in order[:top]) for order in out)
+
+
+def blocks_on_top(rows: int, budget: int) -> int:
+    """The fewest blocks whose bits make cells of CELL members on average."""
+    return next((k for k in range(1, MOST_TOP) if rows / CELL <= 2.0 ** orders(budget, k)[1]), MOST_TOP)
+
+
+def reordered(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints with their blocks in another order."""
+    out = np.zeros_like(fp)
+    at = 0
+    for first, length in order:
+        at += length
+        out |= ((fp >> np.uint64(64 - first - length)) & np.uint64((1 << length) - 1)) << np.uint64(64 - at)
+    return out
 
 
 class Forest:
@@ -90,40 +113,40 @@ class Forest:
                 self.root = up
 
 
-def walk(value: np.ndarray, pairs: list[np.ndarray], first: int, part: np.ndarray, budget: int, forest: Forest, step: int = 1 << 20) -> None:
+def walk(value: np.ndarray, pairs: list[np.ndarray], first: int, budget: int, forest: Forest, step: int = 1 << 20) -> None:
     """Walk pairs of trie nodes down from bit `first`.
 
-    value: rotated fingerprints, ascending within each node. pairs: a_lo, a_hi, b_lo, b_hi (index ranges; equal ranges
-    for a node with itself) and the differing bits so far. part: bits that the top part has, of each pair.
+    value: reordered fingerprints, ascending within each node. pairs: a_lo, a_hi, b_lo, b_hi (index ranges; equal ranges for a
+    node with itself) of nodes that agree above.
     """
     leaf = 48
-    a0, a1, b0, b1, acc = pairs
+    a0, a1, b0, b1 = pairs
+    acc = np.zeros(len(a0), np.int64)
     for bit in range(first, 64):
         if not len(a0):
             return
         few = (a1 - a0) * (b1 - b0) <= leaf
         if few.any():
             _leaves(value, a0[few], a1[few], b0[few], b1[few], budget, forest, step)
-            keep = ~few
-            a0, a1, b0, b1, acc, part = (x[keep] for x in (a0, a1, b0, b1, acc, part))
+            a0, a1, b0, b1, acc = (x[~few] for x in (a0, a1, b0, b1, acc))
             if not len(a0):
                 return
         am, bm = _split(value, a0, a1, bit), _split(value, b0, b1, bit)
         same = a0 == b0
         kids = [
-            (a0, am, b0, bm, acc, part, None),
-            (am, a1, bm, b1, acc, part, None),
-            (a0, am, bm, b1, acc + 1, part, None),
-            (am, a1, b0, bm, acc + 1, part, same),  # of a node with itself, one of the two crossings is enough
+            (a0, am, b0, bm, acc, None),
+            (am, a1, bm, b1, acc, None),
+            (a0, am, bm, b1, acc + 1, None),
+            (am, a1, b0, bm, acc + 1, same),  # of a node with itself, one of the two crossings is enough
         ]
         out = []
-        for x0, x1, y0, y1, c, p, skip in kids:
-            ok = (x1 > x0) & (y1 > y0) & (c <= np.where(bit < p, budget // 3, budget))
+        for x0, x1, y0, y1, c, skip in kids:
+            ok = (x1 > x0) & (y1 > y0) & (c <= budget)
             if skip is not None:
                 ok &= ~skip
             ok &= ~((x0 == y0) & (x1 - x0 < 2))
-            out.append([x[ok] for x in (x0, x1, y0, y1, c, p)])
-        a0, a1, b0, b1, acc, part = (np.concatenate([o[i] for o in out]) for i in range(6))
+            out.append([x[ok] for x in (x0, x1, y0, y1, c)])
+        a0, a1, b0, b1, acc = (np.concatenate([o[i] for o in out]) for i in range(5))
     _leaves(value, a0, a1, b0, b1, budget, forest, step)
 
 
@@ -167,76 +190,62 @@ def _compare(value, i, j, budget, forest) -> None:
     forest.link(i[near], j[near])
 
 
-def _join_cells(cell: np.ndarray, side: np.ndarray, probe: np.ndarray, part: np.ndarray, same: np.ndarray, fp: np.ndarray, rep: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def _join_cells(cell: np.ndarray, side: np.ndarray, same: np.ndarray, fp: np.ndarray, rep: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the rows of each cell, as a forest of (rep, rep).
 
-    cell: number of the cell (one number per block pair). side: 0 or 1, of the block pair. probe: came by one error.
-    same: the block pair is a block with itself.
+    cell: number of the cell (one for each pair of blocks). side: 0 or 1, of the pair. same: the pair is a block with itself.
+    fp: reordered fingerprints; their highest `depth` bits are equal in a cell.
     """
-    group = (cell * 2 + side) * 2 + probe
-    low = fp & np.uint64((1 << (64 - depth)) - 1)  # a probe's own top bits are not those of the cell it came to
-    order = np.lexsort((low, group))
-    cell, group, part, same, fp, rep = (x[order] for x in (cell, group, part, same, fp, rep))
+    group = cell * 2 + side
+    order = np.lexsort((fp, group))
+    group, same, fp, rep = (x[order] for x in (group, same, fp, rep))
     heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     tails = np.r_[heads[1:], len(group)]
-    key, size = group[heads], len(heads)
-
-    def partner(offset: np.ndarray) -> np.ndarray:
-        """Index among heads of the group with that number, or -1."""
-        at = np.minimum(np.searchsorted(key, offset), size - 1)
-        return np.where(key[at] == offset, at, -1)
-
-    base = key // 4 * 4
-    kind = key % 4  # side * 2 + probe
-    found = []
-    for a_kind, b_kind, alone in ((0, 0, True), (0, 1, True), (0, 2, False), (0, 3, False), (2, 1, False)):
-        at = np.flatnonzero((kind == a_kind) & (same[heads] == alone))
-        to = partner(base[at] + b_kind)
-        at, to = at[to >= 0], to[to >= 0]
-        acc = np.full(len(at), int(a_kind % 2 != b_kind % 2))
-        found.append((heads[at], tails[at], heads[to], tails[to], acc, part[heads[at]]))
-    pairs = [np.concatenate([f[i] for f in found]) for i in range(6)]
+    key, alone = group[heads], same[heads]
+    # a block with itself, or its first side with the second, if there is one
+    left = np.flatnonzero(alone | (key % 2 == 0))
+    at = np.minimum(np.searchsorted(key, key[left] + 1), len(key) - 1)
+    right = np.where(alone[left], left, np.where(key[at] == key[left] + 1, at, -1))
+    left, right = left[right >= 0], right[right >= 0]
     forest = Forest(len(fp))
-    walk(fp, pairs[:5], depth, pairs[5], budget, forest)
+    walk(fp, [heads[left], tails[left], heads[right], tails[right]], depth, budget, forest)
     linked = forest.root != np.arange(len(fp))
     return rep[linked], rep[forest.root[linked]]
 
 
-def hamming_links(prints: DataFrame, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
+def hamming_links(prints: DataFrame, budget: int = BUDGET, block: int = BLOCK, top: int | None = None) -> DataFrame:
     """A forest of links (a, b) that connects exactly the fingerprints within `budget` bits of each other.
 
-    prints: (fp, rep), each fingerprint once; rep is the least id that has it and names it in the links. Cells over `block`
-    members are dealt as pairs of hashed blocks, so a task's rows stay bounded however dense a region is.
+    prints: (fp, rep), each fingerprint once; rep names it in the links. A fingerprint goes to one cell for each choice of
+    blocks. Cells over `block` members are dealt as pairs of hashed blocks, so a task's rows stay bounded however dense a
+    region is. top: blocks on top, by the number of fingerprints if not given; it changes the plan and not the result.
     """
     spark = prints.sparkSession
     rows = prints.count()
-    # cells of some 64 members on average; never deeper than a part
-    depth = min(21, max(1, math.ceil(math.log2(max(2, rows / 64)))))
-    frames = []
-    for number, (start, length) in enumerate(PARTS):
-        turned = prints.select("rep", _rotated(F.col("fp"), start).alias("v"))
-        top = F.shiftrightunsigned("v", 64 - depth)
-        flips = F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(depth)]), lambda b: F.col("top").bitwiseAND(b) != 0) if budget // 3 else F.array().cast("array<bigint>")
-        dealt = F.concat(F.array(F.lit(0).cast("long")), flips)
-        frames.append(
-            turned.withColumn("top", top)
-            .withColumn("flip", F.explode(dealt))
-            .select(F.lit(number).cast("byte").alias("part"), F.lit(length).cast("byte").alias("length"), F.col("top").bitwiseXOR(F.col("flip")).alias("cell"), (F.col("flip") != 0).cast("byte").alias("probe"), "v", "rep")
-        )
-    cells = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    choices, depth = orders(budget, top or blocks_on_top(rows, budget))
+    top = len(choices[0]) - budget
+
+    def key(order: list[tuple[int, int]]) -> Column:
+        out = F.lit(0).cast("long")
+        for first, length in order[:top]:
+            out = F.shiftleft(out, length).bitwiseOR(F.shiftrightunsigned("fp", 64 - first - length).bitwiseAND(F.lit((1 << length) - 1).cast("long")))
+        return out
+
+    dealt = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), key(order).alias("cell")) for i, order in enumerate(choices)]))
+    cells = prints.select("fp", "rep", dealt.alias("x")).select("x.choice", "x.cell", "fp", "rep")
     # large cells: k blocks; every pair of blocks (i <= j) is a task's cell, a row goes to the k pairs its block is in
-    hot = cut(cells.groupBy("part", "cell").count().where(F.col("count") > block).select("part", "cell", F.ceil(F.col("count") / block).cast("int").alias("k")), "hot")
+    hot = cut(cells.groupBy("choice", "cell").count().where(F.col("count") > block).select("choice", "cell", F.ceil(F.col("count") / block).cast("int").alias("k")), "hot")
     if n_hot := hot.count():
-        cells = cells.join(F.broadcast(hot) if n_hot <= 100_000 else hot, ["part", "cell"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        cells = cells.join(small(hot, n_hot), ["choice", "cell"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
     else:
         cells = cells.withColumn("k", F.lit(1))
-    own = F.pmod(F.xxhash64("v"), F.col("k")).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     cells = (
         cells.withColumn("s", own)
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("part", "length", "cell", "probe", "v", "rep", F.least("s", "o").cast("int").alias("i"), F.greatest("s", "o").cast("int").alias("j"), "s")
+        .select("choice", "cell", "fp", "rep", F.least("s", "o").cast("int").alias("i"), F.greatest("s", "o").cast("int").alias("j"), "s")
     )
-    n = parts_for(spark, rows * (3 + 3 * depth // 2), 200_000)
+    n = parts_for(spark, rows * len(choices), 200_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(batches)
@@ -246,16 +255,20 @@ def hamming_links(prints: DataFrame, budget: int = BUDGET, block: int = BLOCK) -
         del found
         cols = {c: table.column(c).to_numpy() for c in table.column_names}
         del table
-        keys = np.rec.fromarrays([cols["part"], cols["cell"], cols["i"], cols["j"]])
+        keys = np.rec.fromarrays([cols["choice"], cols["cell"], cols["i"], cols["j"]])
         cell = np.unique(keys, return_inverse=True)[1].astype(np.int64)
         del keys
-        same = cols["i"] == cols["j"]
+        fp = cols["fp"].view(np.uint64)
+        value = np.zeros_like(fp)
+        for c in np.unique(cols["choice"]):
+            mine = cols["choice"] == c
+            value[mine] = reordered(fp[mine], choices[c])
         side = np.where(cols["s"] == cols["i"], 0, 1).astype(np.int64)
-        a, b = _join_cells(cell, side, cols["probe"].astype(np.int64), cols["length"].astype(np.int64), same, cols["v"].view(np.uint64), cols["rep"], depth, budget)
+        a, b = _join_cells(cell, side, cols["i"] == cols["j"], value, cols["rep"], depth, budget)
         for k in range(0, len(a), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 65536]), pa.array(b[k : k + 65536])], ["a", "b"])
 
-    return cells.repartition(n, "part", "cell", "i", "j").mapInArrow(run, "a long, b long")
+    return cells.repartition(n, "choice", "cell", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def components(prints: DataFrame, budget: int = BUDGET) -> DataFrame:

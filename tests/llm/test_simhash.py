@@ -49,8 +49,24 @@ def test_long_text():
     assert simhash.fingerprint(text) == brute_print(text)
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 40])
-def test_links_equal_brute_force(spark, block):
+def test_blocks_cover_all_bits_and_some_choice_agrees():
+    rng = random.Random(1)
+    for top in (1, 2, 3, 4):
+        choices, depth = simhash.orders(4, top)
+        for order in choices:
+            assert sorted(b for first, length in order for b in range(first, first + length)) == list(range(64))
+        for _ in range(200):
+            f = rng.getrandbits(64)
+            g = f
+            for b in rng.sample(range(64), 4):
+                g ^= 1 << b
+            moved = [simhash.reordered(np.array([f, g], np.uint64), order) for order in choices]
+            assert any(int(a ^ b) >> (64 - depth) == 0 for a, b in moved) and all(int(a ^ b).bit_count() == 4 for a, b in moved)
+    assert [simhash.blocks_on_top(n, 4) for n in (1, 10**5, 10**7, 10**9, 10**11)] == [1, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize(("block", "top"), [(simhash.BLOCK, None), (40, 1), (40, 2), (simhash.BLOCK, 2), (simhash.BLOCK, 3), (30, 4)])
+def test_links_equal_brute_force(spark, block, top):
     """Dense groups, chains and strangers; with small blocks the hot cells are split."""
     rng = random.Random(3)
     prints = set()
@@ -64,7 +80,7 @@ def test_links_equal_brute_force(spark, block):
     prints |= {rng.getrandbits(64) for _ in range(900)} | {0, 1, (1 << 64) - 1}
     pairs = list(enumerate(sorted(prints)))
     signed = [(i, int(np.uint64(f).astype(np.int64))) for i, f in pairs]
-    links = simhash.hamming_links(spark.createDataFrame(signed, "rep long, fp long"), block=block)
+    links = simhash.hamming_links(spark.createDataFrame(signed, "rep long, fp long"), block=block, top=top)
     found = {r.node: r.component for r in components.connected_components(links).collect()}
     assert {i: found.get(i, i) for i, _ in pairs} == brute_components(pairs)
 
