@@ -221,8 +221,8 @@ _ENCODERS: dict[str, Encoder] = {}
 def encode_decode(docs: DataFrame, tokenizer_path: str, as_array: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, `ids` and `decoded` of every row of docs; other columns are ignored.
 
-    ids is binary (little-endian unsigned 32-bit integers), or an array of int. Null and empty texts have no ids. Texts
-    are encoded whole; memory follows CHUNK_CHARS and the longest text. The file at tokenizer_path is read by the driver
+    ids is binary (little-endian unsigned 32-bit integers), or an array of int. Null and empty texts have no ids; repeated
+    rows each have theirs; no documents: no rows. Ties between pairs of one rank go to the leftmost. Texts are encoded whole; memory follows CHUNK_CHARS and the longest text. The file at tokenizer_path is read by the driver
     and sent to the executors (a vocabulary's size does not follow the data).
     """
     with open(tokenizer_path, encoding="utf-8") as f:
