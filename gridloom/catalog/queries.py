@@ -431,6 +431,16 @@ def nearest_resample(spark, sf):
     return grid.resampled(cells, (N_ROWS, N_COLS), (7, 13), "size")
 
 
+def _floored(k: str, n_in: int, n_out: int) -> str:
+    return f"least(floor({k} * {n_in / n_out!r}::DOUBLE), {n_in - 1})::INT"
+
+
+@query(_with(G_) + f"SELECT g.slide_id, y::INT AS y, x::INT AS x, g.size FROM range(23) a(y), range(9) b(x) JOIN grid g ON g.grid_i = {_floored('y', N_ROWS, 23)} AND g.grid_j = {_floored('x', N_COLS, 9)}")
+def floor_resample(spark, sf):
+    cells = fx.tiles(spark, sf).select("slide_id", F.col("grid_i").alias("y"), F.col("grid_j").alias("x"), "size")
+    return grid.resampled(cells, (N_ROWS, N_COLS), (23, 9), "size", centred=False)
+
+
 # ---------------------------------------------------------------- groups
 
 CELLS = "size >= 36"
@@ -731,6 +741,13 @@ def augmented_crops(spark, sf):
     return views.augmented(cells, _CROP, F.concat_ws("/", F.col("slide_id").cast("string"), F.col("view").cast("string"))).select("slide_id", "view", "i", "j", "valid", "features")
 
 
+@query(None)
+def train_views(spark, sf):
+    """The views of one epoch from the windows that each grid's sample holds."""
+    c = _gated(spark, sf).withColumn("pick", F.when(F.col("roi_id") == 3, 0).when(F.col("roi_id") == 5, 1))
+    return jobs.train_views(c, fx.tiles(spark, sf).drop("tile_id", "size"), _features(spark, sf), R, epoch=2, sizes=(3, 2), counts=(2, 4))
+
+
 PAIRED = ORDERED.rstrip() + ",\n" + FEATURES + f""",
 two AS (SELECT slide_id, max(CASE WHEN roi_id = 0 THEN grid_i END) AS ai, max(CASE WHEN roi_id = 0 THEN grid_j END) AS aj, max(CASE WHEN roi_id = 1 THEN grid_i END) AS bi, max(CASE WHEN roi_id = 1 THEN grid_j END) AS bj FROM ord GROUP BY slide_id),
 side AS (SELECT slide_id, 'a' AS side, ai AS i0, aj AS j0 FROM two UNION ALL SELECT slide_id, 'b', bi, bj FROM two),

@@ -178,12 +178,15 @@ def otsu_threshold(values: DataFrame, value: str, group: str, n: int = 256) -> D
     return run.withColumn("b", between).groupBy(group).agg(F.max(F.struct("b", (-F.col("v")).alias("v"))).alias("m")).select(group, (-F.col("m.v")).alias("threshold"))
 
 
-def resampled(cells: DataFrame, size_in: tuple[int, int], size_out: tuple[int, int], value: str) -> DataFrame:
-    """Nearest-neighbour resampling of a dense (slide_id, y, x, value) by index: out k reads in trunc((k + 0.5) s - 0.5), clamped."""
+def resampled(cells: DataFrame, size_in: tuple[int, int], size_out: tuple[int, int], value: str, centred: bool = True) -> DataFrame:
+    """Nearest-neighbour resampling of a dense (slide_id, y, x, value) by index, clamped to the grid.
+
+    centred: out k reads in trunc((k + 0.5) s - 0.5), by pixel centres; else floor(k s), as image libraries do.
+    """
 
     def source(k: str, n_in: int, n_out: int) -> Column:
         raw = (F.col(k) + 0.5) * F.lit(n_in / n_out) - 0.5
-        whole = F.when(raw < 0, F.ceil(raw)).otherwise(F.floor(raw))
+        whole = F.when(raw < 0, F.ceil(raw)).otherwise(F.floor(raw)) if centred else F.floor(F.col(k) * F.lit(n_in / n_out))
         return F.least(F.greatest(whole, F.lit(0)), F.lit(n_in - 1)).cast("int")
 
     slides = cells.select("slide_id").distinct()

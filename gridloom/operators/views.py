@@ -55,7 +55,7 @@ def stitched(blocks: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
     return at.where(F.col("y").between(top, bottom - 1) & F.col("x").between(left, right - 1)).select("slide_id", (F.col("y") - top).alias("y"), (F.col("x") - left).alias("x"), "class_id")
 
 
-def crop_positions(rois: DataFrame, key: str, rows: int, cols: int, crop: int, n: int, kind: str, seed: int = 0, corners: bool = False) -> DataFrame:
+def crop_positions(rois: DataFrame, key: str, rows: int, cols: int, crop: int, n: int, kind: str, seed: int | str = 0, corners: bool = False) -> DataFrame:
     """(key, view_type, view, r0, c0): n crops of each window, by a hash of the key.
 
     Two crops that span the slack are put in opposite corners, on either diagonal, where `corners` asks for it.
@@ -80,25 +80,29 @@ def crop_cells(crops: DataFrame, key: str, crop: int) -> DataFrame:
     return cells.withColumn("grid_i", F.col("r0") + F.col("i")).withColumn("grid_j", F.col("c0") + F.col("j"))
 
 
-def masked_cells(cells: DataFrame, key: Column, ratio: float, valid: str = "valid", seed: int = 0) -> DataFrame:
+def masked_cells(cells: DataFrame, key: Column, ratio: float, valid: str = "valid", seed: int | str = 0) -> DataFrame:
     """cells with masked: a draw by the cell's key under the ratio, for valid cells; none if the ratio is 0 or less."""
     draw = (uniform(key, seed) < ratio) if ratio > 0 else F.lit(False)
     return cells.withColumn("masked", draw & F.col(valid))
 
 
-def augmented(cells: DataFrame, crop: int, view_key: Column, features: str = "features", valid: str = "valid", flip: float = 0.5, step: float = 0.05, posterise: float = 0.5, noise: float = 0.005, noisy: float = 0.5, seed: int = 0) -> DataFrame:
-    """Crop cells flipped, posterised and with noise, each by a draw for the whole view; invalid cells are zeros.
+def augmented(cells: DataFrame, crop: int, view_key: Column, features: str = "features", valid: str = "valid", flip: float = 0.5, step: float = 0.05, posterise: float = 0.5, noise: float = 0.005, seed: int | str = 0) -> DataFrame:
+    """Crop cells flipped, each way by a draw for the whole view, and by a third draw posterised and with noise; invalid cells are zeros.
 
-    Noise is Gaussian by Box-Muller from two hash draws for each number.
+    A step or a noise of 0 or less leaves that part out. Noise is Gaussian by Box-Muller from two hash draws for each number.
     """
     draw = lambda what: uniform(F.concat_ws("/", view_key, F.lit(what)), seed)
     i = F.when(draw("flip-i") < flip, crop - 1 - F.col("i")).otherwise(F.col("i"))
     j = F.when(draw("flip-j") < flip, crop - 1 - F.col("j")).otherwise(F.col("j"))
-    v = F.col(features)
-    v = F.when(draw("posterise") < posterise, posterised(v.cast("array<double>"), step)).otherwise(v.cast("array<double>"))
-    cell = F.concat_ws("/", view_key, i.cast("string"), j.cast("string"))
-    normal = lambda k: F.sqrt(-2 * F.log(uniform(F.concat_ws("/", cell, k.cast("string"), F.lit("u")), seed))) * F.cos(F.lit(2 * math.pi) * uniform(F.concat_ws("/", cell, k.cast("string"), F.lit("v")), seed))
-    v = F.when(draw("noise") < noisy, F.transform(v, lambda x, k: x + F.lit(noise) * normal(k))).otherwise(v)
+    v = changed = F.col(features).cast("array<double>")
+    if step > 0:
+        changed = posterised(changed, step)
+    if noise > 0:
+        cell = F.concat_ws("/", view_key, i.cast("string"), j.cast("string"))
+        u = lambda k, part: uniform(F.concat_ws("/", cell, k.cast("string"), F.lit(part)), seed)
+        normal = lambda k: F.sqrt(-2 * F.log(u(k, "u"))) * F.cos(F.lit(2 * math.pi) * u(k, "v"))
+        changed = F.transform(changed, lambda x, k: x + F.lit(noise) * normal(k))
+    v = F.when(draw("posterise") < posterise, changed).otherwise(v)
     return cells.withColumn("_f", F.when(F.col(valid), v).otherwise(F.transform(v, lambda x: F.lit(0.0)))).withColumn("i", i).withColumn("j", j).drop(features).withColumnRenamed("_f", features)
 
 

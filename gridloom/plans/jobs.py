@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalar as sc
 from gridloom.functions.scalar import quality
-from gridloom.operators import curate, grid, sampling, select, vectors
+from gridloom.operators import curate, grid, sampling, select, vectors, views
 from gridloom.operators.encode import encode_stats, missing_tiles, needed_tiles
 from gridloom.sources import readers, sinks
 from gridloom.storage import cut
@@ -59,6 +59,41 @@ def sample_rois(cells: DataFrame, features: DataFrame | None, r: int, *, k: int
     return found.join(picked, ["slide_id", "roi_id"], "left")
 
 
+# Sides of global and local crops, how many of each, and shares of cells that are masked.
+CROP_SIDES, CROP_COUNTS = (14, 6), (2, 10)
+MASKED = {"teacher_global": 0.0, "student_global": 0.45, "student_local": 0.55}
+
+
+def train_views(candidates: DataFrame, cells: DataFrame, features: DataFrame, r: int, epoch: int = 0, batch: int = 4, tile_tissue: float = 0.3, sizes: tuple[int, int] = CROP_SIDES, counts: tuple[int, int] = CROP_COUNTS, masked: dict[str, float] = MASKED, seed: int = 0, **changes) -> DataFrame:
+    """The cells of every crop that one epoch of training reads, in its batches of slides; the models are not part of this.
+
+    candidates: sampled windows, as sample_rois returns them. Of each slide two windows are taken (pick_pair); of each, global
+    crops, which teacher and student see with masks of their own, and local ones for the student alone. Every cell is one
+    row: batch, slide_id, side (a or b), role, view_type, view, r0, c0, size, i, j, features, valid, masked. Draws depend on
+    the epoch, the window and the view.
+    """
+    pairs = select.pick_pair(candidates)
+    placed = lambda which, side: candidates.select("slide_id", F.col("roi_id").alias(which), F.col("grid_i").alias(f"{side}_i"), F.col("grid_j").alias(f"{side}_j"))
+    both = pairs.join(placed("first", "a"), ["slide_id", "first"]).join(placed("second", "b"), ["slide_id", "second"])
+    dealt = cut(views.batches(both.select("slide_id", "a_i", "a_j", "b_i", "b_j"), "slide_id", batch, epoch, seed), "pairs")
+    window = cut(views.paired_windows(dealt, features, cells, r, tile_tissue).withColumn("roi", F.concat_ws("/", F.col("slide_id").cast("string"), "side")), "windows")
+    rois = window.select("slide_id", "side", "roi").distinct()
+    draw, out = f"{seed}:{epoch}", None
+    for kind, size, n in (("global", sizes[0], counts[0]), ("local", sizes[1], counts[1])):
+        if size > r:
+            raise ValueError(f"a crop of {size} cells is larger than the window")
+        crops = views.crop_cells(views.crop_positions(rois, "roi", r, r, size, n, kind, draw, corners=kind == "global"), "roi", size)
+        met = crops.join(window.select("slide_id", "side", "roi", F.col("i").alias("grid_i"), F.col("j").alias("grid_j"), "features", "valid"), ["roi", "grid_i", "grid_j"])
+        view = F.concat_ws("/", "roi", "view_type", F.col("view").cast("string"))
+        changed = views.augmented(met, size, view, seed=draw, **changes)
+        for role in ("teacher", "student"):
+            if f"{role}_{kind}" in masked:
+                key = F.concat_ws("/", view, F.lit(role), F.col("i").cast("string"), F.col("j").cast("string"))
+                one = views.masked_cells(changed, key, masked[f"{role}_{kind}"], seed=draw).select("slide_id", "side", F.lit(role).alias("role"), "view_type", "view", "r0", "c0", F.lit(size).alias("size"), "i", "j", "features", "valid", "masked")
+                out = one if out is None else out.unionByName(one)
+    return out.join(dealt.select("slide_id", "batch"), "slide_id")
+
+
 def encode_missing(windows: DataFrame, tiles: DataFrame, store: DataFrame, r: int, least_tissue: float, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
     """(tiles to encode now, statistics per slide) of an incremental run."""
     needed = needed_tiles(windows, tiles, r, least_tissue)

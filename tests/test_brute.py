@@ -203,15 +203,42 @@ def test_augmented_crops(spark):
         flips = u(f"{key}/flip-i") < 0.5, u(f"{key}/flip-j") < 0.5
         i, j = 2 - r.i if flips[0] else r.i, 2 - r.j if flips[1] else r.j
         v = list(r.features)
-        if coarse := u(f"{key}/posterise") < 0.5:
+        if changed := u(f"{key}/posterise") < 0.5:
             v = [round(x / 0.05) * 0.05 for x in v]
-        if noisy := u(f"{key}/noise") < 0.5:
             v = [x + 0.005 * math.sqrt(-2 * math.log(u(f"{key}/{i}/{j}/{k}/u"))) * math.cos(2 * math.pi * u(f"{key}/{i}/{j}/{k}/v")) for k, x in enumerate(v)]
-        kinds.add((*flips, coarse, noisy))
+        kinds.add((*flips, changed))
         assert np.allclose(got[r.view, i, j], v if r.valid else [0.0] * 3, atol=1e-12)
     assert len(kinds) > 4
 
 
+def test_train_views(spark):
+    """Every cell of every crop against plain slicing of the windows, up to flips and changes that its draws say."""
+    rows = queries.QUERIES["train_views"](spark, SF).collect()
+    tiles = {(r.slide_id, r.grid_i, r.grid_j): r for r in fx.tiles(spark, SF).collect()}
+    feats = {(r.slide_id, r.grid_i, r.grid_j): r.features for r in queries._features(spark, SF).collect()}
+    chosen = {r.slide_id: r for r in select.pick_pair(queries._gated(spark, SF).withColumn("pick", F.when(F.col("roi_id") == 3, 0).when(F.col("roi_id") == 5, 1))).collect()}
+    at = {(r.slide_id, r.roi_id): (r.grid_i, r.grid_j) for r in queries._gated(spark, SF).collect()}
+    assert {r.slide_id for r in rows} == set(chosen)
+    seen = set()
+    for r in rows:
+        top, left = at[r.slide_id, chosen[r.slide_id]["first" if r.side == "a" else "second"]]
+        key = f"{r.slide_id}/{r.side}/{r.view_type}/{r.view}"
+        assert (r.size, r.view < (2 if r.view_type == "global" else 4)) == (3 if r.view_type == "global" else 2, True)
+        i = r.size - 1 - r.i if u(f"{key}/flip-i", "0:2") < 0.5 else r.i
+        j = r.size - 1 - r.j if u(f"{key}/flip-j", "0:2") < 0.5 else r.j
+        cell = (r.slide_id, top + r.r0 + i, left + r.c0 + j)
+        assert r.valid == (float(np.float16(tiles[cell].tissue_frac)) >= 0.3)
+        if not r.valid:
+            assert not any(r.features) and not r.masked
+        elif u(f"{key}/posterise", "0:2") >= 0.5:
+            assert np.allclose(r.features, feats[cell])
+        ratio = {"teacherglobal": 0.0, "studentglobal": 0.45, "studentlocal": 0.55}[r.role + r.view_type]
+        assert r.masked == (r.valid and ratio > 0 and u(f"{key}/{r.role}/{r.i}/{r.j}", "0:2") < ratio)
+        seen.add((r.slide_id, r.side, r.role, r.view_type, r.view, r.i, r.j))
+    assert len(seen) == len(rows) == len(chosen) * 2 * (2 * 2 * 9 + 4 * 4)
+    assert {r.batch for r in rows} == set(range(-(-len(chosen) // 4)))
+
+
 # ---------------------------------------------------------------- candidates
 
 
