@@ -271,3 +271,69 @@ def test_results_do_not_depend_on_partitions(spark):
 def test_corner_crops_are_opposite(spark):
     got = views.crop_positions(spark.range(20), "id", 16, 16, 14, 2, "global", corners=True).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("r0", "c0"))).alias("p")).collect()
     assert {tuple((x.r0, x.c0) for x in r.p) for r in got} == {((0, 0), (2, 2)), ((0, 2), (2, 0))}
+
+
+def test_outputs_of_models_in_any_form():
+    v = np.arange(6.0).reshape(2, 3)
+    assert (encode.selected_output({"other": v * 0, "features": v}, 3) == v).all() and (encode.selected_output({"x": v}, 3) == v).all()
+    assert (encode.selected_output((v, "rest"), 3) == v).all() and (encode.selected_output([v], 3) == v).all()
+    tokens = np.stack([v, v + 1], axis=1)
+    assert (encode.selected_output({"last_hidden_state": tokens}, 3) == v).all()
+    with pytest.raises(ValueError):
+        encode.selected_output(v, 4)
+
+
+def test_tiles_as_bytes():
+    assert encode.as_bytes_range(np.array([[0.0, 0.5, 1.0]])).tolist() == [[0, 127, 255]]
+    assert encode.as_bytes_range(np.array([[0.0, 300.0, -4.0]])).tolist() == [[0, 255, 0]]
+    assert encode.as_bytes_range(np.array([1], np.uint8)).dtype == np.uint8
+
+
+def test_legend(spark):
+    from gridloom.operators import views
+
+    assert [r.class_id for r in views.legend(spark).collect()] == [1, 2, 3, 4, 5, 6, 7]
+    only = views.legend(spark, artifacts_only=True).collect()
+    assert [(r.class_id, r.name) for r in only][0] == (2, "Tissue fold") and len(only) == 5
+
+
+def test_members_of_groups(spark):
+    df = spark.createDataFrame([(1, 0.3, 0.1), (2, 0.1, 0.0), (3, 0.9, 0.3), (4, 0.9, None), (5, None, 0.0)], "id int, tissue_frac double, artifact_frac double")
+    assert sorted(r.id for r in groups.member_cells(df, 0.2, 0.25).collect()) == [1, 4]
+
+
+def test_percentiles_of_the_first_candidates(spark):
+    a = np.random.default_rng(9).random((14, 14))
+    run = lambda **k: sampling.candidates_of(cells(spark, a), 3, 50, 5, least_tissue=0.9, radius=1, cover=0.5, valid_share=0.1, **k)
+    assert run().where("passed_qc").count() == 0
+    relative = run(tissue_percentile=50.0)
+    first = relative.where("roi_id < 32")
+    assert first.count() == 32 and abs(first.where("passed_qc").count() - 16) <= 1
+
+
+def test_unknown_and_keys(spark):
+    df = spark.createDataFrame([("c", None, "x", None), ("c", "s", None, "t")], "collection string, site string, codec string, stain string")
+    filled = sc.unknown_filled(df, ["site", "stain", "missing"])
+    got = filled.select(sc.balance_key("collection_site_stain", collection="collection", site="site", stain="stain").alias("b"), sc.density_key("site_codec", site="site", codec="codec").alias("d")).collect()
+    assert {(r.b, r.d) for r in got} == {("c||UNKNOWN||UNKNOWN", "UNKNOWN||x"), ("c||s||t", None)}
+    assert df.select(sc.balance_key("collection_site", collection="collection", site="site").alias("b")).first().b == "c||None"
+
+
+def test_buckets_of_values(spark):
+    bounds = [0.5, 1.5, 2.5]
+    got = {r.v: r.b for r in spark.createDataFrame([(x,) for x in (0.0, 0.5, 1.0, 1.5, 9.0)], "v double").select("v", sc.bucket_of(F.col("v"), bounds).alias("b")).collect()}
+    assert got == {0.0: 0, 0.5: 0, 1.0: 1, 1.5: 1, 9.0: 3}
+
+
+def test_ranks_over_many_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    pdf = __import__("pandas").DataFrame({"id": range(900), "g": rng.choice(["a", "b", "b", "b"], 900), "v": np.round(rng.normal(size=900), 2)})
+    monkeypatch.setattr(curate, "BUCKET_ROWS", 40)
+    df = spark.createDataFrame(pdf).repartition(5)
+    assert np.allclose(curate.percent_rank(df, "v").toPandas().set_index("id").pct.sort_index(), pdf.v.rank(pct=True))
+    assert np.allclose(curate.percent_rank(df, "v", "g").toPandas().set_index("id").pct.sort_index(), pdf.groupby("g").v.rank(pct=True))
+    placed, total = curate.hash_positions(df.select("id"), "id", 3)
+    import hashlib
+
+    order = sorted(range(900), key=lambda i: (hashlib.md5(f"{i}:3".encode()).hexdigest(), i))
+    assert total == 900 and {r.id: r.position for r in placed.collect()} == {i: k for k, i in enumerate(order)}
