@@ -1,10 +1,10 @@
 """License scan: sparse TF-IDF cosine to licence templates, then inheritance from the nearest directory.
 
-Lines are compared with one-line notices; runs of words, and whole texts, with headers of several lines and licence texts.
+Lines, and sentences of lines, are compared with one-line notices; runs of words, and whole texts, with headers of several lines and licence texts.
 
 Everything is built-in functions. Template terms are few and fixed; their document frequencies are counted over all texts.
-A line can only reach the threshold if it holds one of the heaviest terms of a template (what is left of the template
-without them is too light), so lines without any of those are not taken apart; this loses nothing.
+A line or sentence can only reach the threshold if it holds one of the heaviest terms of a template (what is left of the
+template without them is too light), so lines without any of those are not taken apart; this loses nothing.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ FILE_SHARE = 0.5
 HEADER_STEPS, BODY_STEPS, HEADER_WORDS = 64, 8, 256
 #: Ratio of the levels to which the first bound rounds shares up.
 LEVEL = 1.25
+#: Where a sentence ends within a line.
+SENTENCE_END = r"([.!?])[ \t]+"
 LICENCE_NAME = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
 
@@ -85,7 +87,8 @@ def needed_terms(weights: dict[str, float], threshold: float) -> list[str]:
 def licence_lines(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, idfs: tuple[dict[str, float], float] | None = None) -> DataFrame:
     """(doc_id, path, text_words, matches array<struct<score, licence, line_words>>, text_key) of every row of docs (doc_id, path, text).
 
-    matches: the lines whose best template reaches the threshold, with that template (ties: the first by name). idfs, as
+    matches: the lines, and sentences of lines, whose best template reaches the threshold, with that template (ties: the
+    first by name); line_words is 0 for a sentence. idfs, as
     inverse_frequencies makes them, are counted over docs if not given.
     """
     templates = templates or TEMPLATES
@@ -118,13 +121,16 @@ def licence_lines(docs: DataFrame, templates: dict[str, str] | None = None, thre
 
     rows = docs.select("doc_id", F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lines = F.when(F.col("text").rlike(holds), F.filter(F.split("text", "\n"), lambda x: x.rlike(holds))).otherwise(F.array().cast("array<string>"))
-    each = F.transform(F.col("lines"), lambda x: words(x))
+    # sentences of the lines that have several; they count no words, so a file's share is that of its lines
+    parts = F.flatten(F.transform(F.filter("lines", lambda x: x.rlike(SENTENCE_END)), lambda x: F.split(F.regexp_replace(x, SENTENCE_END, "$1\n"), "\n")))
+    units = F.concat(F.transform("lines", lambda x: F.struct(x.alias("s"), F.lit(1).alias("line"))), F.transform(F.filter(parts, lambda x: x.rlike(holds)), lambda x: F.struct(x.alias("s"), F.lit(0).alias("line"))))
+    each = F.transform(units, lambda x: F.struct(words(x["s"]).alias("w"), x["line"].alias("line")))
     scored = F.transform(
         F.col("line_words"),
-        lambda w: F.struct(
-            F.array_max(F.array(*[F.struct(score(w, name).alias("dot"), F.lit(-k).alias("k")) for k, name in enumerate(counts)])).alias("best"),
-            F.sqrt(squared_norm(w)).alias("norm"),
-            F.size(w).alias("n"),
+        lambda u: F.struct(
+            F.array_max(F.array(*[F.struct(score(u["w"], name).alias("dot"), F.lit(-k).alias("k")) for k, name in enumerate(counts)])).alias("best"),
+            F.sqrt(squared_norm(u["w"])).alias("norm"),
+            (F.size(u["w"]) * u["line"]).alias("n"),
         ),
     )
     names = F.array(*[F.lit(name) for name in counts])
@@ -213,7 +219,7 @@ def parent(path: Column) -> Column:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, path, own_licence, score, licence, basis, from_dir) of every row of docs (doc_id, path, text).
 
-    own_licence: that of the best matching line, run of words or whole text (ties: the first by name); given templates
+    own_licence: that of the best matching line, sentence, run of words or whole text (ties: the first by name); given templates
     replace the notices and the blocks. Licence files, by name or because what matches holds half of their words, give
     their licence to their directory (several: the best score, then name). A file without an own licence has that of the
     nearest directory at or above it which has one; basis is own, inherited or none. Null texts match nothing; a null path is in no directory. Repeated rows each have their result.
@@ -282,7 +288,8 @@ n AS (SELECT count(*) AS n FROM files),
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM words SEMI JOIN terms USING (term) GROUP BY term),
 idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM terms LEFT JOIN df USING (term), n),
 tnorm AS (SELECT licence, sqrt(sum(tf * idf * tf * idf)) AS norm FROM tw JOIN idf USING (term) GROUP BY licence),
-lines AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM files)),
+whole AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM files)),
+lines AS (FROM whole UNION ALL SELECT doc_id, -1 - row_number() OVER () AS line, s FROM (SELECT doc_id, unnest(string_split(regexp_replace(s, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS s FROM whole WHERE regexp_matches(s, '[.!?][ \t]'))),
 lw AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+')) AS term FROM lines) GROUP BY ALL),
 near AS (SELECT DISTINCT doc_id, line FROM lw SEMI JOIN terms USING (term)),
 lnorm AS (SELECT doc_id, line, sum(tf) AS k, sqrt(sum(tf * tf * coalesce(idf, ln(n + 1) + 1) * coalesce(idf, ln(n + 1) + 1))) AS norm
@@ -292,7 +299,7 @@ sims AS (SELECT doc_id, line, licence, k, dot / tnorm.norm / lnorm.norm AS sim F
 hits AS (SELECT doc_id, line, k, floor(sim * 1e6 + 0.5) / 1e6 AS score, licence FROM sims WHERE sim >= {THRESHOLD}
          QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY floor(sim * 1e9 + 0.5) DESC, licence) = 1),
 own AS (SELECT doc_id, licence AS own_licence, score FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1),
-share AS (SELECT doc_id, sum(k) AS held FROM hits GROUP BY doc_id),
+share AS (SELECT doc_id, sum(CASE WHEN line >= 0 THEN k ELSE 0 END) AS held FROM hits GROUP BY doc_id),
 size AS (SELECT doc_id, count(*) AS k FROM words GROUP BY doc_id),
 given AS (SELECT dir, own_licence AS given FROM files JOIN own USING (doc_id) JOIN share USING (doc_id) JOIN size USING (doc_id)
           WHERE name = 'LICENSE' OR held >= size.k * {FILE_SHARE}

@@ -66,3 +66,16 @@ along with this program.  If not, see <https://www.gnu.org/licenses/>.
     assert len(got) == len(rows)
     assert [(got[i].licence, got[i].basis) for i in range(1, 8)] == [("Apache-2.0", "own"), ("GPL-3.0", "own"), ("MIT", "own"), ("MIT", "inherited"), ("GPL-3.0", "own"), ("GPL-3.0", "inherited"), ("MIT", "own")]
     assert all(got[8 + i].basis == "none" for i in range(20))
+
+
+def test_notices_inside_longer_lines(spark):
+    rows = [
+        (1, "a/x", "This tool does many useful things for its users every day. Released under the MIT License. See the docs for how to install it.\nmore"),
+        (2, "b/x", "First! Use of this source code is governed by a BSD-style license that can be found in the LICENSE file. Copyright of the authors and others since long ago."),
+        (3, "c/x", "It says nothing of rights. The public house has a free version, and other sentences. Nothing more."),
+        (4, "d/x", "Some words come before it here.  This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. And some after it."),
+    ]
+    rows += [(9 + i, f"n/{i}", f"plain text number{i} of the software, released under the public house. More of the same.") for i in range(30)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i].own_licence for i in (1, 2, 3, 4)] == ["MIT", "BSD-3-Clause", None, "MPL-2.0"]
+    assert all(got[9 + i].own_licence is None for i in range(30))
