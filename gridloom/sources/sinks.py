@@ -37,8 +37,9 @@ def write_tile_manifest(tiles: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slide_id").parquet(path)
 
 
-#: Folders of a feature store: a slide is in one of them, whatever the number of slides and blocks.
-STORE_BUCKETS = 256
+#: Folders of a feature store: a slide is in one of them, whatever the number of slides and blocks. A folder gets at most so
+#: many files each time, by block rows, so a large slide is not one task's and files stay few.
+STORE_BUCKETS, BUCKET_FILES = 256, 8
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -48,9 +49,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def _bucketed(rows: DataFrame) -> DataFrame:
     bucket = F.pmod(F.xxhash64(F.col("slide_id").cast("string")), F.lit(STORE_BUCKETS)).cast("int")
-    # a bucket's rows are spread over tasks by block rows, so a large slide is not one task's
     placed = require(rows, FEATURE_GRID).withColumn("bucket", bucket)
-    return placed.repartition("bucket", "slide_id", "block_i").sortWithinPartitions("bucket", "slide_id", "block_i", "block_j")
+    return placed.repartition("bucket", F.pmod(F.xxhash64("slide_id", "block_i"), F.lit(BUCKET_FILES))).sortWithinPartitions("bucket", "slide_id", "block_i", "block_j")
 
 
 def write_features(rows: DataFrame, path: str) -> None:
