@@ -222,7 +222,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     own_licence: that of the best matching line, sentence, run of words or whole text (ties: the first by name); given templates
     replace the notices and the blocks. Licence files, by name or because what matches holds half of their words, give
     their licence to their directory (several: the best score, then name). A file without an own licence has that of the
-    nearest directory at or above it which has one; basis is own, inherited or none. Null texts match nothing; a null path is in no directory. Repeated rows each have their result.
+    nearest directory at or above it which has one; basis is own, inherited or none. Null texts match nothing; a null path is in no directory. Repeated rows each have their result; no
+    documents: no rows. Texts are read whole, however long.
     """
     blocks, terms = None, {w for t in (templates or TEMPLATES).values() for w in _words(t)}
     if not templates:

@@ -167,8 +167,8 @@ def fit(table: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs.
 
-    Null texts count as empty and are scored as such; repeated rows have equal scores. Without labelled rows all scores
-    are 0.5.
+    Null texts count as empty and are scored as such; repeated rows, and equal texts, have equal scores. Texts are read
+    whole, however long. Without labelled rows all scores are 0.5; no documents: no rows.
     """
     table = cut(features(docs), "statistics")
     sent = docs.sparkSession.sparkContext.broadcast(fit(table, labels))
