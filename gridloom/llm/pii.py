@@ -36,6 +36,8 @@ KEPT_WORDS = 200_000
 SIDE_WORDS, SIDE_CHARS = 5, 160
 #: Bits of an entity's surprisal that may be left when a term is read for it to be disclosed, and that must be gained.
 MOST_LEFT, LEAST_GAIN = 1.0, 1.0
+#: Places that a term is taken to have besides those seen: with two, a term seen twice passes only if it stands nowhere else.
+SMOOTH = 2
 #: Different windows of an entity that must hold the term (all, if it has fewer), and places beside it: one shows nothing.
 LEAST_WINDOWS, LEAST_TIMES = 3, 2
 
@@ -225,10 +227,10 @@ def bits(times: Column, total: Column, slots: Column, words: int) -> tuple[Colum
     """Bits of an entity's surprisal that are left when a term is read, and bits gained (their pointwise mutual information).
 
     The entity has `slots` of all `words` places beside it; the term stands beside it at `times` of its `total` places,
-    smoothed by one more place that is as likely beside it as any.
+    smoothed by SMOOTH more places that are as likely beside it as any.
     """
     before = slots / F.lit(float(max(1, words)))
-    after = (times + before) / (total + 1)
+    after = (times + SMOOTH * before) / (total + SMOOTH)
     return -F.log2(after), F.log2(after / before)
 
 

@@ -72,7 +72,7 @@ def disclosed(texts):
     for (entity, term), n in times.items():
         asked = min(3, len(set().union(*wins[entity].values())))
         before = slots[entity] / words
-        after = (n + before) / (totals[term] + 1)
+        after = (n + 2 * before) / (totals[term] + 2)
         if n >= 2 and len(wins[entity][term]) >= asked and -math.log2(after) <= 1 and math.log2(after / before) >= 1:
             ok.add(term)
     out = {}
