@@ -187,10 +187,6 @@ def unit_vector(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(F.lit(1.0)))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-
-
 def luminance(r: Column, g: Column, b: Column) -> Column:
     """8-bit grey value, rounded half up."""
     return F.floor(r * 0.299 + g * 0.587 + b * 0.114 + 0.5).cast("int")

@@ -337,3 +337,18 @@ def test_ranks_over_many_buckets(spark, monkeypatch):
 
     order = sorted(range(900), key=lambda i: (hashlib.md5(f"{i}:3".encode()).hexdigest(), i))
     assert total == 900 and {r.id: r.position for r in placed.collect()} == {i: k for k, i in enumerate(order)}
+
+
+def test_readers_by_ending():
+    readers.register_opener(".Zzz", lambda p: ("registered", p))
+    assert readers.open_slide("a/b.ZZZ") == ("registered", "a/b.ZZZ")
+    assert readers.open_slide("a/b.zzz", {"zz": lambda p: "short", "b.zzz": lambda p: "given"}) == "given"
+    assert readers.named_openers([".x=os.path:basename"])[".x"]("a/b.x") == "b.x"
+    with pytest.raises(ValueError, match="no reader"):
+        readers.open_slide("a/b.unknown.txt")
+
+
+def test_largest_level_within(spark):
+    df = spark.createDataFrame([([8000, 2000, 500], [4000, 1000, 250])], "w array<int>, h array<int>")
+    at = lambda most: df.select(sc.level_within(F.col("w"), F.col("h"), most).alias("i")).first().i
+    assert (at(2048), at(9000), at(100)) == (1, 0, 2)
