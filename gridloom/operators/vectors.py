@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import novelty, tile_weight, to_half
+from gridloom.storage import cut, small
 
 
 def window_cells(windows: DataFrame, r: int, keep: tuple[str, ...] = ("slide_id", "roi_id")) -> DataFrame:
@@ -111,10 +113,15 @@ def window_embeddings(windows: DataFrame, tiles: DataFrame, features: DataFrame,
     return out.select("slide_id", "roi_id", F.coalesce("embedding", F.array_repeat(F.lit(0.0), width)).alias("embedding"))
 
 
-#: Points of one slide that are compared with each other: the candidates that passed are tens; more than this is an error.
+#: Points of a block. A slide's points are dealt into blocks by a hash, and a task compares two of them: 16 blocks at most,
+#: so that a point is sent to few tasks, unless blocks would get so large that a task could not hold them.
+BLOCK_POINTS, MOST_BLOCKS, LARGEST_BLOCK = 2048, 16, 16_384
+#: Numbers of a piece of differences that a task works on and hands on at once; few, for the processor's cache.
+BLOCK_NUMBERS = 1 << 16
+#: Partitions that pairs of blocks are dealt to, at most.
+MOST_PARTS = 10_000
+#: Points that `_checked` lets pass: for callers that hold all numbers of one slide's pairs at once.
 MOST_POINTS = 4096
-#: Numbers of a block of differences that a task holds.
-BLOCK_NUMBERS = 1 << 22
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -127,27 +134,62 @@ def _checked(pdf: pd.DataFrame, slide: str) -> pd.DataFrame:
     return pdf
 
 
+def _vectors(table: pa.Table) -> np.ndarray:
+    """The embeddings of a table as a matrix of doubles."""
+    lists = table["embedding"].combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy())
+    if lists.null_count or (len(lengths) and lengths.min() != lengths.max()):
+        raise ValueError("vectors differ in length")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _blocks(points: DataFrame, slide: str, name: str) -> DataFrame:
+    """(slide, name): the number of blocks of each slide that needs more than one."""
+    n = F.count("*")
+    many = F.greatest(F.least(F.ceil(n / BLOCK_POINTS), F.lit(MOST_BLOCKS)), F.ceil(n / LARGEST_BLOCK)).cast("int")
+    return points.groupBy(slide).agg(many.alias(name)).where(F.col(name) > 1)
+
+
+def _parts(points: DataFrame, tasks: int) -> int:
+    return max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, tasks))
+
+
 def history_similarity(candidates: DataFrame, history: DataFrame, slide: str = "slide_id", key: str = "roi_id") -> DataFrame:
     """(slide, key, max_similarity): the greatest cosine of each candidate to the slide's earlier picks; slides without any are left out.
 
-    A slide's candidates meet its picks as two matrices in one task; both are bounded by MOST_POINTS.
+    A block of a slide's candidates meets a block of its different picks as two matrices in one task, whatever their number.
     """
     kinds = {c: candidates.schema[c].dataType.simpleString() for c in (slide, key)}
+    a = cut(candidates.select(slide, key, "embedding").where(F.col(slide).isNotNull()), "candidates")
+    b = cut(history.select(F.col(slide).cast(kinds[slide]).alias(slide), "embedding").where(F.col(slide).isNotNull()).distinct(), "history")
+    na, nb = cut(_blocks(a, slide, "_na"), "blocks"), cut(_blocks(b, slide, "_nb"), "blocks")
+    both = na.join(nb, slide, "full").select(slide, F.coalesce("_na", F.lit(1)).alias("_na"), F.coalesce("_nb", F.lit(1)).alias("_nb"))
+    tasks = both.agg(F.sum(F.col("_na").cast("long") * F.col("_nb"))).first()[0] or 0
+
+    def dealt(rows: DataFrame, of: str, own: str, other: str, *more: Column) -> DataFrame:
+        n = lambda c: F.coalesce(c, F.lit(1))
+        met = rows.join(small(both), slide, "left").withColumn(own, F.pmod(F.xxhash64(of), n(f"_n{own[1]}")).cast("int"))
+        return met.withColumn(other, F.explode(F.sequence(F.lit(0), n(f"_n{other[1]}") - 1))).select(slide, *more, "embedding", "_a", "_b")
+
+    rows = dealt(a, key, "_a", "_b", F.col(key)).withColumn("_new", F.lit(True))
+    rows = rows.unionByName(dealt(b, "embedding", "_b", "_a", F.lit(None).cast(kinds[key]).alias(key)).withColumn("_new", F.lit(False)))
 
     def unit(x: np.ndarray) -> np.ndarray:
         norm = np.sqrt((x * x).sum(1, keepdims=True))
         return x / np.where(norm > 0, norm, 1.0)
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({slide: [], key: [], "max_similarity": []})
-        x, y = unit(_matrix(_checked(a, slide).embedding)), unit(_matrix(_checked(b, slide).embedding))
-        step = max(1, BLOCK_NUMBERS // len(y))
-        best = np.concatenate([(x[k : k + step] @ y.T).max(1) for k in range(0, len(x), step)])
-        return pd.DataFrame({slide: a[slide], key: a[key], "max_similarity": best})
-
-    both = candidates.select(slide, key, "embedding").groupBy(slide).cogroup(history.select(slide, "embedding").groupBy(slide))
-    return both.applyInPandas(run, f"{slide} {kinds[slide]}, {key} {kinds[key]}, max_similarity double")
+    def run(table: pa.Table) -> pa.Table:
+        new = table["_new"]
+        mine, past = table.filter(new), table.filter(pc.invert(new))
+        best = np.zeros(0)
+        if len(past) and len(mine):
+            x, y = unit(_vectors(mine)), unit(_vectors(past)).T
+            step = max(1, 16 * BLOCK_NUMBERS // y.shape[1])
+            best = np.concatenate([(x[k : k + step] @ y).max(1) for k in range(0, len(x), step)])
+        return pa.table({slide: mine[slide][: len(best)], key: mine[key][: len(best)], "max_similarity": best})
+
+    found = rows.repartition(_parts(rows, tasks), slide, "_a", "_b").groupBy(slide, "_a", "_b").applyInArrow(run, f"`{slide}` {kinds[slide]}, `{key}` {kinds[key]}, max_similarity double")
+    return found.groupBy(slide, key).agg(F.max("max_similarity").alias("max_similarity"))
 
 
 def with_novelty(candidates: DataFrame, history: DataFrame, alpha: float = 1.0, eps: float = 0.05) -> DataFrame:
