@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -199,35 +200,78 @@ def with_novelty(candidates: DataFrame, history: DataFrame, alpha: float = 1.0,
     return out.withColumn("novelty", novelty(F.col("max_similarity"), alpha, eps))
 
 
-def _pair_blocks(points: DataFrame, slide: str, key: str, extra: list[str], of: Callable, columns: str) -> DataFrame:
-    """Rows for the ordered pairs of one slide's points, block by block: `of` makes columns from a block of rows and all points."""
-    kinds = {c: points.schema[c].dataType.simpleString() for c in (slide, key)}
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The squared distances of the rows of x to those of y, summed from the first column to the last, as SQL does."""
+    out, step = np.empty((len(x), len(y))), max(1, BLOCK_NUMBERS // max(1, len(y)))
+    columns = np.ascontiguousarray(y.T)
+    for k in range(0, len(x), step):
+        part = out[k : k + step]
+        part[:] = 0
+        held = np.empty_like(part)
+        for c in range(len(columns)):
+            np.subtract(x[k : k + step, c, None], columns[c], out=held)
+            held *= held
+            part += held
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _checked(pdf, slide).sort_values(key).reset_index(drop=True)
-        x = _matrix(pdf.embedding)
-        step = max(1, BLOCK_NUMBERS // x.size)
-        blocks = []
-        for k in range(0, len(x), step):
-            rows = np.arange(k, min(k + step, len(x)))
-            a, b = np.repeat(rows, len(x)), np.tile(np.arange(len(x)), len(rows))
-            d2 = ((x[rows, None] - x[None]) ** 2).sum(-1).ravel()
-            blocks.append(of(pdf, a, b, d2))
-        return pd.concat(blocks).assign(**{slide: pdf[slide].iloc[0]})
 
-    schema = f"{slide} {kinds[slide]}, a_{key} {kinds[key]}, b_{key} {kinds[key]}, {columns}"
-    return points.select(slide, key, *extra, "embedding").groupBy(slide).applyInPandas(run, schema)
+def _pairs(points: DataFrame, slide: str, key: str, extra: list[str], of: Callable[[pa.Table, pa.Table, bool], Iterator[pa.RecordBatch]], columns: str) -> DataFrame:
+    """What `of` makes of each two blocks of a slide's points, and of each block with itself (its last argument is true then).
 
+    points are read twice, so they should be a table. Rows without a slide or a key have no pairs.
+    """
+    kind = points.schema[slide].dataType.simpleString()
+    known = points.select(slide, key, *extra, "embedding").where(F.col(slide).isNotNull() & F.col(key).isNotNull())
+    many = cut(_blocks(known, slide, "_n"), "blocks")
+    tasks = many.agg(F.sum(F.col("_n").cast("long") * (F.col("_n") + 1) / 2)).first()[0] or 0
+    n = F.coalesce("_n", F.lit(1))
+    dealt = known.join(small(many), slide, "left").withColumn("_b", F.pmod(F.xxhash64(key), n).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), n - 1)))
+    dealt = dealt.select(slide, key, *extra, "embedding", "_b", F.least("_b", "_c").alias("_lo"), F.greatest("_b", "_c").alias("_hi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        lo, hi, own = table["_lo"][0], table["_hi"][0], table["_b"]
+        a = table.filter(pc.equal(own, lo))
+        b = a if lo == hi else table.filter(pc.equal(own, hi))
+        if len(a) and len(b):
+            for part in of(a, b, lo == hi):
+                yield pa.RecordBatch.from_arrays([pa.repeat(a[slide][0], part.num_rows), *part.columns], [slide, *part.schema.names])
+
+    return dealt.repartition(_parts(points, math.ceil(tasks)), slide, "_lo", "_hi").groupBy(slide, "_lo", "_hi").applyInArrow(run, f"`{slide}` {kind}, {columns}")
 
-def pair_distances(points: DataFrame, slide: str = "slide_id", key: str = "roi_id") -> DataFrame:
-    """(slide, a_key, b_key, d2): squared distances of the ordered pairs a <> b of one slide's points (at most MOST_POINTS)."""
 
-    def of(pdf: pd.DataFrame, a: np.ndarray, b: np.ndarray, d2: np.ndarray) -> pd.DataFrame:
-        names = pdf[key].to_numpy()
-        far = names[a] != names[b]
-        return pd.DataFrame({f"a_{key}": names[a[far]], f"b_{key}": names[b[far]], "d2": d2[far]})
+def _codes(table: pa.Table, key: str) -> np.ndarray:
+    """Numbers that are the same where keys are."""
+    return table[key].combine_chunks().dictionary_encode().indices.to_numpy()
 
-    return _pair_blocks(points, slide, key, [], of, "d2 double")
+
+def _each_pair(points: DataFrame, slide: str, key: str, extra: list[str], value: Callable[[np.ndarray, pa.Table, np.ndarray, pa.Table], np.ndarray], name: str) -> DataFrame:
+    """(slide, a_key, b_key, name): a row for each ordered pair with different keys; value makes the numbers of some rows against a block."""
+    kind = points.schema[key].dataType.simpleString()
+
+    def of(a: pa.Table, b: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        x, y, names = _vectors(a), _vectors(b), [f"a_{key}", f"b_{key}", name]
+        ka, kb = a[key].combine_chunks(), b[key].combine_chunks()
+        codes = _codes(a, key) if same else None
+        step = max(1, BLOCK_NUMBERS // len(y))
+        for k in range(0, len(x), step):
+            rows, all_b = np.arange(k, min(k + step, len(x))), np.arange(len(y))
+            v = value(squared_distances(x[rows], y), a.slice(k, len(rows)), b).ravel()
+            i, j = np.repeat(rows, len(y)), np.tile(all_b, len(rows))
+            if same:  # all of its ordered pairs are here; keys of other blocks differ
+                far = codes[i] != codes[j]
+                i, j, v = i[far], j[far], v[far]
+            left, right = ka.take(pa.array(i)), kb.take(pa.array(j))
+            yield pa.RecordBatch.from_arrays([left, right, pa.array(v)], names)
+            if not same:
+                yield pa.RecordBatch.from_arrays([right, left, pa.array(v)], names)
+
+    return _pairs(points, slide, key, extra, of, f"`a_{key}` {kind}, `b_{key}` {kind}, `{name}` double")
+
+
+def pair_distances(points: DataFrame, slide: str = "slide_id", key: str = "roi_id") -> DataFrame:
+    """(slide, a_key, b_key, d2): squared distances of the ordered pairs a <> b of one slide's points, however many they are."""
+    return _each_pair(cut(points.select(slide, key, "embedding"), "points"), slide, key, [], lambda d2, a, b: d2, "d2")
 
 
 def bandwidth(distances: DataFrame, slide: str = "slide_id") -> DataFrame:

@@ -33,3 +33,20 @@ def test_novelty_does_not_depend_on_blocks(spark, monkeypatch):
     for a, b in ((x, y), (x, y[:4]), (x[:3], y)):
         got = {r.roi_id: r.max_similarity for r in vectors.history_similarity(points_of(spark, a), points_of(spark, b).drop("roi_id")).collect()}
         assert np.allclose([got[k] for k in range(len(a))], cosines(a, b))
+
+
+def test_every_pair_of_many_points(spark):
+    x = np.random.default_rng(6).normal(size=(MANY, 2))
+    got = vectors.pair_distances(points_of(spark, x).unionByName(points_of(spark, x[:3], "t")).unionByName(points_of(spark, x[:4], None)))
+    assert [tuple(r) for r in got.groupBy("slide_id").count().orderBy("slide_id").collect()] == [("s", MANY * (MANY - 1)), ("t", 6)]
+    some = got.where("slide_id = 's' and a_roi_id in (0, 77) and b_roi_id >= 4100").collect()
+    assert len(some) == 200 and all(np.isclose(r.d2, ((x[r.a_roi_id] - x[r.b_roi_id]) ** 2).sum()) for r in some)
+
+
+def test_pairs_do_not_depend_on_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_POINTS", 8)
+    monkeypatch.setattr(vectors, "BLOCK_NUMBERS", 50)
+    x = np.random.default_rng(7).normal(size=(61, 3))
+    points = points_of(spark, x).unionByName(points_of(spark, x[:1]))  # a row twice: no pair with itself
+    got = sorted(tuple(r)[1:3] for r in vectors.pair_distances(points).collect())
+    assert got == sorted([(a, b) for a in range(61) for b in range(61) if a != b] + [p for k in range(1, 61) for p in ((0, k), (k, 0))])
