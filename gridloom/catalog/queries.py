@@ -635,7 +635,7 @@ def pair_distance(spark, sf):
 
 @query(PAIRS + f"SELECT slide_id, {_q('sigma')} AS sigma FROM sg")
 def median_sigma(spark, sf):
-    return vectors.bandwidth(vectors.pair_distances(_points(spark, sf))).select("slide_id", sc.quantised("sigma").alias("sigma"))
+    return vectors.bandwidths(_points(spark, sf)).select("slide_id", sc.quantised("sigma").alias("sigma"))
 
 
 @query(PAIRS + f"SELECT slide_id, a, b, {_q('qq * exp(-d2 / (sigma * sigma)) * exp(-p2 / (6::DOUBLE * 6::DOUBLE))')} AS value FROM pr JOIN sg USING (slide_id) UNION ALL SELECT slide_id, vec_id::INT, vec_id::INT, {_q('quality * quality + 1e-6::DOUBLE')} FROM vec")

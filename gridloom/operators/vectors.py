@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import novelty, tile_weight, to_half
@@ -275,10 +275,99 @@ def pair_distances(points: DataFrame, slide: str = "slide_id", key: str = "roi_i
 
 
 def bandwidth(distances: DataFrame, slide: str = "slide_id") -> DataFrame:
-    """(slide, sigma): root of the median positive squared distance; 1 where there is none."""
+    """(slide, sigma): root of the median positive squared distance; 1 where there is none. For slides of few points: see bandwidths."""
     return distances.groupBy(slide).agg(F.coalesce(F.sqrt(F.median(F.when(F.col("d2") > 0, F.col("d2")))), F.lit(1.0)).alias("sigma"))
 
 
+#: Bits of a distance that one pass over the pairs finds, of the 63 that positive numbers have: three passes.
+PASS_BITS = 21
+
+
+def _distance_bits(x: np.ndarray, y: np.ndarray, wanted: np.ndarray, shift: int, prefixes: list[int] | None) -> np.ndarray:
+    """The bits, from `shift` upwards, of the positive squared distances of the wanted pairs that begin with one of the prefixes.
+
+    One product of matrices gives all distances with a bounded error. Only where that leaves the bits open is a distance
+    summed as squared_distances does. More of them than asked for may be returned, if prefixes are given.
+    """
+    nx, ny = (x * x).sum(1)[:, None], (y * y).sum(1)
+    size = nx + ny
+    near = size - 2 * (x @ y.T)
+    size *= 16 * (x.shape[1] + 8) * 2.0**-53
+    least, most = near - size, near + size
+    if prefixes is None:
+        low, high = least.view(np.int64) >> shift, most.view(np.int64) >> shift
+        sure = (least > 0) & (low == high)
+        found, open_ = low[sure & wanted], ~sure & wanted
+    else:
+        ends = [np.array([p << shift + PASS_BITS, p + 1 << shift + PASS_BITS]).view(np.float64) for p in prefixes]
+        found, open_ = np.zeros(0, np.int64), ~np.logical_and.reduce([(most < low) | (least >= high) for low, high in ends]) & wanted
+    i, j = np.nonzero(open_)
+    d2 = np.zeros(len(i))
+    for c in range(x.shape[1] if len(i) else 0):
+        d2 += (x[i, c] - y[j, c]) ** 2
+    d2 = d2[~(d2 <= 0)]
+    d2[np.isnan(d2)] = np.nan  # of one sign
+    return np.concatenate([found, d2.view(np.int64) >> shift])
+
+
+def bandwidths(points: DataFrame, slide: str = "slide_id", key: str = "roi_id") -> DataFrame:
+    """(slide, sigma): bandwidth() of pair_distances(), exact, without a row for a pair.
+
+    Positive numbers are ordered as their bits are. Each pass goes over all pairs and counts the next bits of those that
+    begin like the median (like the two middle ones), so a task holds at most 2 ** (PASS_BITS + 1) counts.
+    """
+    kind = points.schema[slide].dataType.simpleString()
+    points = cut(points.select(slide, key, "embedding").where(F.col(slide).isNotNull() & F.col(key).isNotNull()), "points")
+    slides = points.groupBy(slide).agg(F.min(key).alias("_least"), F.max(key).alias("_most")).where("_least < _most").select(slide)
+    target = None
+    for shift in range(2 * PASS_BITS, -1, -PASS_BITS):
+
+        def of(a: pa.Table, b: pa.Table, same: bool, shift: int = shift) -> Iterator[pa.RecordBatch]:
+            x, y = _vectors(a), _vectors(b)
+            codes = _codes(a, key) if same else None
+            prefixes = sorted(set(a["_prefixes"][0].as_py())) if shift < 2 * PASS_BITS else [0]
+            counts = {p: np.zeros(0, np.int64) for p in prefixes}
+            step = max(1, BLOCK_NUMBERS // len(y))
+            for k in range(0, len(x), step):
+                first = k + 1 if same else 0  # a pair once
+                rows = np.arange(k, min(k + step, len(x)))
+                wanted = np.ones((len(rows), len(y) - first), bool)
+                if same:
+                    wanted = (np.arange(first, len(y)) > rows[:, None]) & (codes[first:] != codes[rows, None])
+                bits = _distance_bits(x[rows], y[first:], wanted, shift, prefixes if shift < 2 * PASS_BITS else None)
+                for p in prefixes:
+                    mine = bits[bits >> PASS_BITS == p] if shift < 2 * PASS_BITS else bits
+                    if len(mine):
+                        more = np.bincount(mine & ((1 << PASS_BITS) - 1))
+                        if len(more) > len(counts[p]):
+                            counts[p] = np.concatenate([counts[p], np.zeros(len(more) - len(counts[p]), np.int64)])
+                        counts[p][: len(more)] += more
+            for p, n in counts.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int64)), pa.array(at), pa.array(n[at])], ["_prefix", "_bin", "_count"])
+
+        if target is None:
+            rows = points
+        else:
+            both = target.groupBy(slide).agg(F.collect_list("_prefix").alias("_prefixes"))
+            rows = points.join(small(both), slide)
+        counts = cut(_pairs(rows, slide, key, [] if target is None else ["_prefixes"], of, "_prefix long, _bin long, _count long").groupBy(slide, "_prefix", "_bin").agg(F.sum("_count").alias("_count")), "counts")
+        if target is None:  # the places of the middle ones, from 0
+            sums = counts.groupBy(slide).agg(F.sum("_count").alias("_sum"))
+            target = sums.select(slide, F.lit(0).cast("long").alias("_prefix"), F.posexplode(F.array(F.floor((F.col("_sum") - 1) / 2), F.floor(F.col("_sum") / 2))).alias("_half", "_place"))
+        upto = F.sum("_count").over(Window.partitionBy(slide, "_half").orderBy("_bin"))
+        met = counts.join(small(target), [slide, "_prefix"]).withColumn("_upto", upto)
+        hit = met.where((F.col("_upto") > F.col("_place")) & (F.col("_upto") - F.col("_count") <= F.col("_place")))
+        target = cut(hit.select(slide, "_half", (F.shiftleft("_prefix", PASS_BITS) + F.col("_bin")).alias("_prefix"), (F.col("_place") - (F.col("_upto") - F.col("_count"))).alias("_place")), "places")
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(b.column(1).to_numpy().view(np.float64))], [slide, "_d2"])
+
+    middle = target.select(slide, "_prefix").mapInArrow(numbers, f"`{slide}` {kind}, _d2 double").groupBy(slide).agg(F.min("_d2").alias("_d"), F.max("_d2").alias("_e"))
+    return slides.join(middle, slide, "left").select(slide, F.coalesce(F.sqrt(F.col("_d") + (F.col("_e") - F.col("_d")) * 0.5), F.lit(1.0)).alias("sigma"))
+
+
 def kernel_entries(points: DataFrame, r: int, tau: float | None = None, jitter: float = 1e-6) -> DataFrame:
     """(slide_id, a, b, value): q_a q_b exp(-d²/σ²) exp(-p²/τ²) for all pairs and the diagonal; τ is 1.5 r by default.
 

@@ -50,3 +50,38 @@ def test_pairs_do_not_depend_on_blocks(spark, monkeypatch):
     points = points_of(spark, x).unionByName(points_of(spark, x[:1]))  # a row twice: no pair with itself
     got = sorted(tuple(r)[1:3] for r in vectors.pair_distances(points).collect())
     assert got == sorted([(a, b) for a in range(61) for b in range(61) if a != b] + [p for k in range(1, 61) for p in ((0, k), (k, 0))])
+
+
+def medians(points):
+    return {r.slide_id: r.sigma for r in vectors.bandwidths(points).collect()}
+
+
+def plain_sigma(x):
+    d2 = np.concatenate([((x[k] - x[k + 1 :]) ** 2).sum(-1) for k in range(len(x))])
+    d2 = d2[d2 > 0]
+    return np.sqrt(np.median(d2)) if len(d2) else 1.0
+
+
+def test_bandwidth_of_many_points(spark):
+    """More points than were compared at once, and slides of any other kind: copies, far and near ones, one point."""
+    rng = np.random.default_rng(4)
+    slides = {
+        "s": rng.normal(size=(MANY, 3)), "even": rng.normal(size=(5, 2)), "odd": rng.normal(size=(3, 2)), "one": np.ones((1, 2)), "equal": np.ones((6, 2)),
+        "copies": np.repeat(rng.normal(size=(4, 2)), 30, 0), "far": rng.normal(size=(40, 2)) * 10.0 ** rng.integers(-150, 150, (40, 1)), "steps": np.arange(50.0)[:, None],
+    }
+    points = points_of(spark, slides["s"])
+    for name, x in list(slides.items())[1:]:
+        points = points.unionByName(points_of(spark, x, name))
+    got = medians(points.unionByName(points_of(spark, np.zeros((3, 2)), None)))
+    assert set(got) == set(slides) - {"one"}
+    for name, sigma in got.items():
+        assert np.isclose(sigma, plain_sigma(slides[name]), rtol=1e-14, atol=0), name
+
+
+def test_bandwidth_does_not_depend_on_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_POINTS", 8)
+    x = np.random.default_rng(5).normal(size=(61, 3)).round(1)
+    points = points_of(spark, x)
+    assert np.isclose(medians(points)["s"], plain_sigma(x), rtol=1e-14)
+    twice = points.unionByName(points)  # rows of one key are no pair
+    assert medians(twice) == {r.slide_id: r.sigma for r in vectors.bandwidth(vectors.pair_distances(twice)).collect()}
