@@ -125,10 +125,6 @@ MOST_PARTS = 10_000
 MOST_POINTS = 4096
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in vectors])
-
-
 def _checked(pdf: pd.DataFrame, slide: str) -> pd.DataFrame:
     if len(pdf) > MOST_POINTS:
         raise ValueError(f"slide {pdf[slide].iloc[0]} has {len(pdf)} points to compare, over {MOST_POINTS}")
@@ -371,27 +367,22 @@ def bandwidths(points: DataFrame, slide: str = "slide_id", key: str = "roi_id")
 def kernel_entries(points: DataFrame, r: int, tau: float | None = None, jitter: float = 1e-6) -> DataFrame:
     """(slide_id, a, b, value): q_a q_b exp(-d²/σ²) exp(-p²/τ²) for all pairs and the diagonal; τ is 1.5 r by default.
 
-    points: slide_id, roi_id, grid_i, grid_j, quality, embedding. A kernel is one slide's (at most MOST_POINTS points): its
-    entries are made in one task, from the distances that also give its bandwidth.
+    points: slide_id, roi_id, grid_i, grid_j, quality, embedding. The bandwidth σ is that of all pairs of the slide
+    (bandwidths); entries are made block by block, however many points a slide has.
     """
     tau = 1.5 * r if tau is None or tau <= 0 else tau
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _checked(pdf, "slide_id").sort_values("roi_id").reset_index(drop=True)
-        x, ids, q = _matrix(pdf.embedding), pdf.roi_id.to_numpy(), pdf.quality.to_numpy(float)
-        i, j = pdf.grid_i.to_numpy(float), pdf.grid_j.to_numpy(float)
-        n, step = len(x), max(1, BLOCK_NUMBERS // x.size)
-        d2 = np.concatenate([((x[k : k + step, None] - x[None]) ** 2).sum(-1) for k in range(0, n, step)])
-        some = d2[(d2 > 0) & (ids[:, None] != ids[None])]
-        s2 = np.sqrt(np.median(some)) ** 2 if len(some) else 1.0
-        p2 = (i[:, None] - i[None]) ** 2 + (j[:, None] - j[None]) ** 2
-        value = q[:, None] * q[None] * np.exp(-d2 / s2) * np.exp(-p2 / (tau * tau))
-        value[np.diag_indices(n)] = q * q + jitter
-        a, b = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
-        return pd.DataFrame({"slide_id": pdf.slide_id.iloc[0], "a": ids[a], "b": ids[b], "value": value.ravel()})
-
-    kinds = {c: points.schema[c].dataType.simpleString() for c in ("slide_id", "roi_id")}
-    return points.select("slide_id", "roi_id", "grid_i", "grid_j", "quality", "embedding").groupBy("slide_id").applyInPandas(run, f"slide_id {kinds['slide_id']}, a {kinds['roi_id']}, b {kinds['roi_id']}, value double")
+    given = cut(points.select("slide_id", "roi_id", *(F.col(c).cast("double").alias(c) for c in ("grid_i", "grid_j", "quality")), "embedding"), "points")
+
+    def value(d2: np.ndarray, a: pa.Table, b: pa.Table) -> np.ndarray:
+        i, j, q = ((a[c].to_numpy()[:, None], b[c].to_numpy()) for c in ("grid_i", "grid_j", "quality"))
+        sigma = a["sigma"][0].as_py()
+        p2 = (i[0] - i[1]) ** 2 + (j[0] - j[1]) ** 2
+        return q[0] * q[1] * np.exp(-d2 / (sigma * sigma)) * np.exp(-p2 / (tau * tau))
+
+    scaled = cut(given.join(small(cut(bandwidths(given), "bandwidths")), "slide_id"), "points")
+    entries = _each_pair(scaled, "slide_id", "roi_id", ["grid_i", "grid_j", "quality", "sigma"], value, "value")
+    diagonal = given.select("slide_id", F.col("roi_id").alias("a"), F.col("roi_id").alias("b"), (F.col("quality") * F.col("quality") + F.lit(jitter)).alias("value"))
+    return entries.select("slide_id", F.col("a_roi_id").alias("a"), F.col("b_roi_id").alias("b"), "value").unionByName(diagonal)
 
 
 def masked_mean(rows: DataFrame, keys: list[str], vector: str, valid: str, out: str = "pooled") -> DataFrame:

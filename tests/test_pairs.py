@@ -85,3 +85,29 @@ def test_bandwidth_does_not_depend_on_blocks(spark, monkeypatch):
     assert np.isclose(medians(points)["s"], plain_sigma(x), rtol=1e-14)
     twice = points.unionByName(points)  # rows of one key are no pair
     assert medians(twice) == {r.slide_id: r.sigma for r in vectors.bandwidth(vectors.pair_distances(twice)).collect()}
+
+
+def plain_kernel(x, i, j, q, tau):
+    d2, p2 = ((x[:, None] - x[None]) ** 2).sum(-1), (i[:, None] - i) ** 2 + (j[:, None] - j) ** 2
+    k = q[:, None] * q * np.exp(-d2 / plain_sigma(x) ** 2) * np.exp(-p2 / tau**2)
+    k[np.diag_indices(len(x))] = q * q + 1e-6
+    return k
+
+
+def test_kernel_does_not_depend_on_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_POINTS", 8)
+    rng = np.random.default_rng(8)
+    x, (i, j), q = rng.normal(size=(61, 3)), rng.integers(0, 9, (2, 61)).astype(float), rng.random(61)
+    points = points_of(spark, x, grid_i=i, grid_j=j, quality=q).unionByName(points_of(spark, x[:1], "one", grid_i=i, grid_j=j, quality=q))
+    got = vectors.kernel_entries(points, 4).collect()
+    kernel = plain_kernel(x, i, j, q, 6.0)
+    assert len(got) == 61 * 61 + 1 and len({(r.slide_id, r.a, r.b) for r in got}) == len(got)
+    assert all(np.isclose(r.value, kernel[r.a, r.b], rtol=1e-12) for r in got)
+
+
+def test_kernel_of_many_points(spark):
+    rng = np.random.default_rng(9)
+    x, (i, j), q = rng.normal(size=(MANY, 2)), rng.integers(0, 9, (2, MANY)).astype(float), rng.random(MANY)
+    entries = vectors.kernel_entries(points_of(spark, x, grid_i=i, grid_j=j, quality=q), 4)
+    n, trace = entries.selectExpr("count(*)", "sum(if(a = b, value, 0))").first()
+    assert n == MANY * MANY and np.isclose(trace, (q * q + 1e-6).sum())
