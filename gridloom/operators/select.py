@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.storage import cut, small
+
 
 def farthest_points(x: np.ndarray, q: np.ndarray, k: int, seed: int | str = 0) -> list[int]:
     """k indices: first the greatest quality (a hash with the seed breaks ties), then ever the greatest distance² x quality.
@@ -31,6 +34,14 @@ def farthest_points(x: np.ndarray, q: np.ndarray, k: int, seed: int | str = 0) -
     return chosen
 
 
+#: Jitter of a kernel's diagonal.
+JITTER = 1e-6
+#: Candidates of one slide whose kernel is made whole, to draw by its eigenvectors; more are drawn by rejection.
+EIGEN_POINTS = 512
+#: Draws that are tried with each number of pivots.
+TRIALS = 500
+
+
 def kernel_matrix(x: np.ndarray, q: np.ndarray, ij: np.ndarray, r: int, tau: float | None = None) -> np.ndarray:
     d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
     p2 = ((ij[:, None] - ij[None]) ** 2).sum(-1)
@@ -38,31 +49,36 @@ def kernel_matrix(x: np.ndarray, q: np.ndarray, ij: np.ndarray, r: int, tau: flo
     s2 = float(np.median(some)) if len(some) else 1.0
     tau = 1.5 * r if tau is None or tau <= 0 else tau
     m = q[:, None] * q[None] * np.exp(-d2 / s2) * np.exp(-p2 / tau**2)
-    return (m + m.T) / 2 + 1e-6 * np.eye(len(x))
+    return (m + m.T) / 2 + JITTER * np.eye(len(x))
 
 
-def determinantal(kernel: np.ndarray, k: int, seed: int) -> list[int]:
-    """An exact draw of k items from a k-DPP: eigenvectors by elementary symmetric polynomials, then one item at a time."""
-    rng = np.random.default_rng(seed)
-    value, vector = np.linalg.eigh(kernel)
-    value = np.maximum(value, 0)
+def _symmetric(value: np.ndarray, k: int) -> np.ndarray:
+    """e[i, m]: the i-th elementary symmetric polynomial of the first m values, up to i = k."""
     n = len(value)
     e = np.zeros((k + 1, n + 1))
     e[0] = 1
     for size in range(1, k + 1):
         for m in range(1, n + 1):
             e[size, m] = e[size, m - 1] + value[m - 1] * e[size - 1, m - 1]
-    if not np.isfinite(e).all() or e[k, n] <= 0:
-        raise ValueError("the kernel has too little rank")
+    return e
+
+
+def _taken(value: np.ndarray, e: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
+    """Which k eigenvectors a draw is made of."""
     left, take = k, []
-    for m in range(n, 0, -1):
+    for m in range(len(value), 0, -1):
         if left and rng.random() < value[m - 1] * e[left - 1, m - 1] / e[left, m]:
             take.append(m - 1)
             left -= 1
-    v, out = vector[:, take], []
+    return take
+
+
+def _items(v: np.ndarray, rng: np.random.Generator) -> list[int]:
+    """A draw from the projection onto orthonormal columns, one item for each."""
+    out = []
     while v.shape[1]:
         p = np.maximum((v**2).sum(1), 0)
-        item = int(rng.choice(n, p=p / p.sum()))
+        item = int(rng.choice(len(v), p=p / p.sum()))
         out.append(item)
         pivot = int(np.abs(v[item]).argmax())
         v = v - np.outer(v[:, pivot], v[item] / v[item, pivot])
@@ -72,16 +88,81 @@ def determinantal(kernel: np.ndarray, k: int, seed: int) -> list[int]:
     return out
 
 
+def determinantal(kernel: np.ndarray, k: int, seed: int) -> list[int]:
+    """An exact draw of k items from a k-DPP: eigenvectors by elementary symmetric polynomials, then one item at a time."""
+    rng = np.random.default_rng(seed)
+    value, vector = np.linalg.eigh(kernel)
+    value = np.maximum(value, 0)
+    e = _symmetric(value, k)
+    if not np.isfinite(e).all() or e[k, -1] <= 0:
+        raise ValueError("the kernel has too little rank")
+    return _items(vector[:, _taken(value, e, k, rng)], rng)
+
+
+def determinantal_by_rejection(x: np.ndarray, q: np.ndarray, ij: np.ndarray, tau: float, s2: float, k: int, seed: int) -> list[int]:
+    """A draw as exact as that of determinantal(kernel_matrix()), whose kernel L is never made whole.
+
+    A proposal is a k-DPP of B Bᵀ + D: B has some columns of a pivoted Cholesky factor of L, D is a diagonal with
+    L_S ⪯ (B Bᵀ + D)_S for each set S of k items. It is a mixture: t items from the t-DPP of B Bᵀ, the others alone, in
+    proportion to D. S is taken with probability det(L_S) / det((B Bᵀ + D)_S), so what is taken is a draw of the k-DPP of L,
+    however many are rejected. Without pivots D is L's diagonal (Hadamard); with pivots it is k times that of what is left of L,
+    as no matrix of k rows exceeds k times its diagonal. Where candidates are so alike that sets are rejected, there are more
+    pivots; a draw holds a number for each candidate and pivot.
+    """
+    rng, n = np.random.default_rng(seed), len(x)
+
+    def row(at: int) -> np.ndarray:
+        """A row of L without its jitter."""
+        return q[at] * q * np.exp(-((x - x[at]) ** 2).sum(1) / s2) * np.exp(-((ij - ij[at]) ** 2).sum(1) / tau**2)
+
+    def block(s: list[int]) -> np.ndarray:
+        d2, p2 = ((x[s][:, None] - x[s]) ** 2).sum(-1), ((ij[s][:, None] - ij[s]) ** 2).sum(-1)
+        return np.outer(q[s], q[s]) * np.exp(-d2 / s2) * np.exp(-p2 / tau**2) + JITTER * np.eye(k)
+
+    rest, b = q * q, np.zeros((n, 0))
+    for pivots in (0, *(m for m in (1 << p for p in range(5, 40)) if m < n), n):
+        done, b = b.shape[1], np.concatenate([b, np.zeros((n, pivots - b.shape[1]))], 1)
+        while done < pivots and rest.max() > 1e-3 * JITTER:
+            at = int(rest.argmax())
+            b[:, done] = (row(at) - b[:, :done] @ b[at, :done]) / math.sqrt(rest[at])
+            rest = np.maximum(rest - b[:, done] ** 2, 0)
+            rest[at], done = 0, done + 1
+        b = b[:, :done]
+        d = (k if pivots else 1) * rest + JITTER
+        value, vector = np.linalg.eigh(b.T @ b)
+        value, scale = np.maximum(value, 0), d.sum() + (b * b).sum()
+        e = _symmetric(value / scale, k)
+        alone = np.array([math.exp((k - t) * math.log(d.sum() / scale) - math.lgamma(k - t + 1)) for t in range(k + 1)])
+        weight = e[:, -1] * alone
+        if not np.isfinite(weight).all() or weight.sum() <= 0:
+            raise ValueError("the kernel has too little rank")
+        sums = np.cumsum(d)
+        for _ in range(TRIALS):
+            t = int(rng.choice(k + 1, p=weight / weight.sum()))
+            take = _taken(value / scale, e, t, rng)
+            s = _items(b @ (vector[:, take] / np.sqrt(value[take])), rng) if t else []
+            s += np.minimum(np.searchsorted(sums, rng.random(k - t) * sums[-1], side="right"), n - 1).tolist()
+            if len(set(s)) < k:
+                continue
+            bound = np.linalg.det(b[s] @ b[s].T + np.diag(d[s]))
+            if bound > 0 and rng.random() * bound < np.linalg.det(block(s)):
+                return s
+        if done < pivots:  # more columns would not differ
+            break
+    raise ValueError("the kernel has too little rank")
+
+
 def iou(a: np.ndarray, b: np.ndarray, size: int) -> float:
     inter = max(0, size - abs(int(a[0]) - int(b[0]))) * max(0, size - abs(int(a[1]) - int(b[1])))
     return inter / (2 * size * size - inter)
 
 
-def diverse(x: np.ndarray, q: np.ndarray, ij: np.ndarray, group: np.ndarray, history: np.ndarray, k: int, size: int, nms: float = 0.3, most_history: float | None = 0.6, method: str = "fps", seed: int = 0, tau: float | None = None, spread: bool = False) -> list[int]:
+def diverse(x: np.ndarray, q: np.ndarray, ij: np.ndarray, group: np.ndarray, history: np.ndarray, k: int, size: int, nms: float = 0.3, most_history: float | None = 0.6, method: str = "fps", seed: int = 0, tau: float | None = None, spread: bool = False, s2: float | None = None) -> list[int]:
     """Indices picked from one slide's candidates: a diverse set, without overlaps, filled up by quality.
 
     spread: where two or more picks are all of one known group, the weakest of them makes room for the best candidate of
-    another group that may stand beside the rest.
+    another group that may stand beside the rest. s2: the squared bandwidth; with it, kdpp
+    makes no kernel of more than EIGEN_POINTS candidates.
     """
     n = len(x)
     if n == 0 or k <= 0:
@@ -93,7 +174,10 @@ def diverse(x: np.ndarray, q: np.ndarray, ij: np.ndarray, group: np.ndarray, his
         order = []
         if method == "kdpp":
             try:
-                order = determinantal(kernel_matrix(x, q, ij, size, tau), k, seed)
+                if n <= EIGEN_POINTS or s2 is None:
+                    order = determinantal(kernel_matrix(x, q, ij, size, tau), k, seed)
+                else:
+                    order = determinantal_by_rejection(x, q, ij, 1.5 * size if tau is None or tau <= 0 else tau, s2, k, seed)
             except (ValueError, np.linalg.LinAlgError):
                 order = []
         order = order or farthest_points(x, q, k, seed)
@@ -128,18 +212,29 @@ def select_diverse(candidates: DataFrame, k: int, size: int, history: DataFrame
     """(slide_id, roi_id, pick) of the chosen candidates (slide_id, roi_id, grid_i, grid_j, quality, group_id, embedding).
 
     history (slide_id, grid_i, grid_j): earlier picks to stay away from. One slide's candidates are one task's rows; they
-    are bounded by the number asked for per slide.
+    are bounded by the number asked for per slide. For kdpp the bandwidths of slides with more than EIGEN_POINTS are found
+    before, over blocks of their pairs.
     """
+    from gridloom.operators.vectors import bandwidths
+
     kind = candidates.schema["slide_id"].dataType.simpleString()
     past = history.groupBy("slide_id").agg(F.collect_list(F.array("grid_i", "grid_j")).alias("past")) if history is not None else None
     rows = candidates.select("slide_id", "roi_id", "grid_i", "grid_j", "quality", F.coalesce("group_id", F.lit(-1)).alias("group_id"), "embedding")
     rows = rows.join(past, "slide_id", "left") if past is not None else rows.withColumn("past", F.lit(None).cast("array<array<int>>"))
+    rows = rows.withColumn("_sigma", F.lit(None).cast("double"))
+    if options.get("method") == "kdpp":
+        rows = cut(rows, "candidates")
+        many = cut(rows.groupBy("slide_id").agg(F.count("*").alias("_n")).where(F.col("_n") > EIGEN_POINTS).select("slide_id"), "large-slides")
+        if not many.isEmpty():
+            sigmas = cut(bandwidths(rows.join(small(many), "slide_id")), "bandwidths")
+            rows = rows.drop("_sigma").join(small(sigmas.withColumnRenamed("sigma", "_sigma")), "slide_id", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("roi_id").reset_index(drop=True)
+        sigma = pdf["_sigma"].iloc[0]
         past = pdf.past.iloc[0]
         past = np.array([list(p) for p in past]) if past is not None and len(past) else np.zeros((0, 2))
-        got = diverse(np.stack([np.asarray(e, float) for e in pdf.embedding]), pdf.quality.to_numpy(float), pdf[["grid_i", "grid_j"]].to_numpy(), pdf.group_id.to_numpy(), past, k, size, **options)
+        got = diverse(np.stack([np.asarray(e, float) for e in pdf.embedding]), pdf.quality.to_numpy(float), pdf[["grid_i", "grid_j"]].to_numpy(), pdf.group_id.to_numpy(), past, k, size, s2=None if pd.isna(sigma) else sigma * sigma, **options)
         return pd.DataFrame({"slide_id": pdf.slide_id.iloc[got], "roi_id": pdf.roi_id.iloc[got].astype(np.int32), "pick": np.arange(len(got), dtype=np.int32)})
 
     return rows.groupBy("slide_id").applyInPandas(run, _PICKED.format(kind=kind))

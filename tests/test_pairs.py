@@ -1,8 +1,14 @@
 """Pairs within one slide of any number of points, against plain numpy."""
 
+import contextlib
+import itertools
+import tracemalloc
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from gridloom.operators import vectors
+from gridloom.operators import select, vectors
 
 MANY = 4200  # more than one task held once
 
@@ -111,3 +117,39 @@ def test_kernel_of_many_points(spark):
     entries = vectors.kernel_entries(points_of(spark, x, grid_i=i, grid_j=j, quality=q), 4)
     n, trace = entries.selectExpr("count(*)", "sum(if(a = b, value, 0))").first()
     assert n == MANY * MANY and np.isclose(trace, (q * q + 1e-6).sum())
+
+
+@pytest.mark.parametrize("spread,trials", [(1.0, 500), (0.02, 20), (0.02, 2)])
+def test_draws_by_rejection_have_the_right_frequencies(monkeypatch, spread, trials):
+    """How often each set is drawn, against the determinants of all sets; candidates that are much alike need pivots."""
+    monkeypatch.setattr(select, "TRIALS", trials)
+    rng = np.random.default_rng(10)
+    x, ij, q = rng.normal(size=(6, 2)) * spread, np.arange(12).reshape(6, 2) * spread, np.array([1.0, 0.8, 0.6, 0.9, 0.7, 0.5])
+    d2, p2 = ((x[:, None] - x) ** 2).sum(-1), ((ij[:, None] - ij) ** 2).sum(-1)
+    kernel = np.outer(q, q) * np.exp(-d2 / 2.0) * np.exp(-p2 / 36.0) + 1e-6 * np.eye(6)
+    sets = list(itertools.combinations(range(6), 3))
+    weight = np.array([np.linalg.det(kernel[np.ix_(p, p)]) for p in sets])
+    drawn = []
+    for seed in range(5000):
+        with contextlib.suppress(ValueError):
+            drawn.append(tuple(sorted(select.determinantal_by_rejection(x, q, ij, 6.0, 2.0, 3, seed))))
+    assert len(drawn) > 2000
+    share = np.array([drawn.count(p) for p in sets]) / len(drawn)
+    assert np.abs(share - weight / weight.sum()).max() < 0.03
+
+
+def test_kdpp_of_many_candidates(spark):
+    """No kernel of a slide is made whole; equal candidates, too, give a draw."""
+    rng = np.random.default_rng(11)
+    x, (i, j), q = rng.normal(size=(MANY, 16)), rng.integers(0, 400, (2, MANY)).astype(float), rng.random(MANY)
+    columns = dict(grid_i=i, grid_j=j, quality=q)
+    points = points_of(spark, x, **columns).unionByName(points_of(spark, np.ones((600, 16)), "equal", **columns)).unionByName(points_of(spark, x[:9], "few", **columns))
+    want = select.diverse(x[:9], q[:9], np.stack([i, j], 1)[:9], np.zeros(9), np.zeros((0, 2)), 4, 4, method="kdpp")
+    tracemalloc.start()
+    big = select.determinantal_by_rejection(x, q, np.stack([i, j], 1), 6.0, 30.0, 4, 0)
+    assert len(set(big)) == 4 and tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+    got = {}
+    for r in select.select_diverse(points.withColumn("group_id", F.lit(0)), 4, 4, method="kdpp").orderBy("slide_id", "pick").collect():
+        got.setdefault(r.slide_id, []).append(r.roi_id)
+    assert {s: len(set(p)) for s, p in got.items()} == {"s": 4, "equal": 4, "few": 4} and got["few"] == want
