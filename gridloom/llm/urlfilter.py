@@ -98,7 +98,7 @@ def path_tokens(path: Column) -> Column:
 
 
 def pieces(names: DataFrame) -> DataFrame:
-    """(name, piece): all that a word of the name may be, each once for each name."""
+    """(name, piece): all that a word of the name may be, each once for each name; words of pages have no decimal digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,6 +107,8 @@ def pieces(names: DataFrame) -> DataFrame:
                 seen: set[str] = set()
                 for start in range(len(name)):
                     for end in range(start + 1, min(len(name), start + LONGEST_WORD) + 1):
+                        if name[end - 1].isdecimal():
+                            break
                         if (piece := name[start:end]) not in seen:
                             seen.add(piece)
                             rows.append((name, piece))
@@ -169,12 +171,11 @@ def segment(name: str, words: dict[str, float], floor: float | None = None) -> l
 
 
 def segmented(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """(name, words) of each distinct name in the hosts of urls: the words of its likeliest split; itself if it has digits."""
+    """(name, words) of each distinct name in the hosts of urls: the words of its likeliest split, digits in it or not."""
     each = cut(urls.select(F.explode(names_of(F.col("host"))).alias("name")).distinct(), "host-names")
-    letters = each.where(~F.col("name").rlike(r"\p{N}"))
-    if not (n := letters.count()):
+    if not (n := each.count()):
         return each.select("name", F.array("name").alias("words"))
-    found = cut(pieces(letters.repartition(parts_for(urls.sparkSession, n, TASK_NAMES))), "name-pieces")
+    found = cut(pieces(each.repartition(parts_for(urls.sparkSession, n, TASK_NAMES))), "name-pieces")
     counts, total = word_counts(pages, found.select("piece"))
     # names without a known word stay, too
     known = found.join(small(counts), "piece").groupBy("name").agg(F.collect_list(F.struct("piece", "n")).alias("known"))
@@ -185,8 +186,7 @@ def segmented(urls: DataFrame, pages: DataFrame) -> DataFrame:
             out = [segment(name, {k["piece"]: math.log(k["n"] / total) for k in known or ()}, floor) for name, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["name", "words"])
 
-    split = letters.join(known, "name", "left").select("name", "known").mapInArrow(run, "name string, words array<string>")
-    return cut(split.unionByName(each.where(F.col("name").rlike(r"\p{N}")).select("name", F.array("name").alias("words"))), "names")
+    return cut(each.join(known, "name", "left").select("name", "known").mapInArrow(run, "name string, words array<string>"), "names")
 
 
 @dataclass
